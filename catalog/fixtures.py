@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.parsing import NA_TOKENS, NUMBER
 from tidemark.operators import cleaning, series
 from tidemark.schema import Layout
-from tidemark.scratch import materialize
+from tidemark.scratch import materialize, spread
 
 FEATURES = ["f_qty", "f_price", "f_disc", "f_tax"]
 TIES = ["k1", "k2", "k3", "k4"]
@@ -59,7 +59,7 @@ def once(label: str, build):
     return get
 
 
-typed = once("typed", lambda spark, sf: cleaning.type_readings(raw_readings(spark, sf), LAYOUT))
+typed = once("typed", lambda spark, sf: cleaning.type_readings(spread(raw_readings(spark, sf)), LAYOUT))
 clean = once("clean", lambda spark, sf: cleaning.clean(raw_readings(spark, sf), LAYOUT))
 splits = once("splits", lambda spark, sf: series.split_series(clean(spark, sf), LAYOUT))
 

@@ -25,10 +25,9 @@ def placeholder_to_null(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; anything that is not a plain finite number becomes null."""
-    text = F.trim(placeholder_to_null(c))
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """Text to double; anything that is not a plain number, placeholders included, becomes null."""
+    text = F.trim(c)
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def finite(c: Column) -> Column:

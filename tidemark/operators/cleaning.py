@@ -10,7 +10,7 @@ from tidemark.functions.parsing import finite, na_to_null, to_number, to_obs_tim
 from tidemark.operators.quantiles import MAX_GROUP_VALUES, feature_quantiles
 from tidemark.operators.series import fill_series
 from tidemark.schema import Layout
-from tidemark.scratch import materialize
+from tidemark.scratch import materialize, spread
 
 # Fixed value: fence width in inter-quartile ranges.
 FENCE = 2.0
@@ -21,12 +21,13 @@ def type_readings(df: DataFrame, layout: Layout) -> DataFrame:
     def typed(c: str) -> Column:
         text = isinstance(df.schema[c].dataType, StringType)
         if c in layout.features:
-            return to_number(F.col(c)) if text else finite(F.col(c))
+            return to_number(F.col(c)) if text else F.col(c).cast("double")
         if c == layout.time:
-            return to_obs_time(na_to_null(F.col(c))) if text else F.col(c).cast("timestamp_ntz")
+            return to_obs_time(F.col(c)) if text else F.col(c).cast("timestamp_ntz")
         return na_to_null(F.col(c)) if text else F.col(c)
 
-    return df.select(*[typed(c).alias(c) for c in df.columns])
+    parsed = df.select(*[typed(c).alias(c) for c in df.columns])
+    return parsed.withColumns({f: finite(F.col(f)) for f in layout.available(df)})
 
 
 def drop_empty(df: DataFrame, layout: Layout) -> DataFrame:
@@ -66,7 +67,7 @@ def clean(
     The typed and the filled rows are written once each, because the quartiles
     need all typed rows and the medians all filled rows before the next step.
     """
-    kept = materialize(drop_empty(type_readings(df, layout), layout), "typed")
+    kept = drop_empty(materialize(type_readings(spread(df), layout), "typed"), layout)
     fences = iqr_fences(kept, layout, group_values=group_values)
     filled = materialize(fill_series(null_outliers(kept, fences), layout, group_rows=group_rows), "filled")
     return fill_median(filled, layout, group_values=group_values)
@@ -98,7 +99,7 @@ def outlier_report(df: DataFrame, layout: Layout, **kw) -> DataFrame:
 
 def quality_report(raw: DataFrame, layout: Layout, **kw) -> DataFrame:
     """Per feature: missing, outliers, rows before and after dropping empty rows."""
-    typed = materialize(type_readings(raw, layout), "typed")
+    typed = materialize(type_readings(spread(raw), layout), "typed")
     features = layout.available(typed)
     kept = drop_empty(typed, layout)
     rows_in = typed.agg(F.count(F.lit(1)).alias("rows_in"))

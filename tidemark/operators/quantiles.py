@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.series import BLOCK, ordered_blocks
-from tidemark.scratch import max_group_rows
+from tidemark.operators.series import BLOCK, largest_group, ordered_blocks
+from tidemark.scratch import materialize
 
-MAX_GROUP_VALUES = 200_000
+MAX_GROUP_VALUES = 1_000_000
 
 
 def exact_quantiles(
@@ -22,19 +22,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: keys, ``q`` (array in probs order), ``cnt``.
 
-    Equal values collapse before anything is shuffled by group. Groups with few
-    distinct values then use the built-in aggregate; otherwise the collapsed
-    values are range-partitioned and the wanted ranks are looked up in the few
-    blocks that hold them.
+    Equal values collapse into a (value, count) table before anything is grouped.
+    Groups with few distinct values then use the built-in aggregate; otherwise
+    the table is range-partitioned and the wanted ranks are looked up in the
+    few blocks that hold them.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    distinct = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_d"))
-    if (distinct.agg(F.max("_d")).first()[0] or 0) <= group_values:
+    counts = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values")
+    if largest_group(counts, keys) <= group_values:
         return counts.groupBy(*keys).agg(
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("q"),
             F.sum("_n").alias("cnt"),
         )
-    return _ranked(counts, keys, probs, value, max_group_rows(df.sparkSession, group_values))
+    return _ranked(counts, keys, probs, value, group_values)
 
 
 def _ranked(counts: DataFrame, keys: list[str], probs: list[float], value: str, rows: int) -> DataFrame:

@@ -45,3 +45,12 @@ def max_group_rows(spark: SparkSession, override: int | None = None) -> int:
     if override is not None:
         return override
     return int(spark.conf.get("spark.tidemark.maxGroupRows", str(MAX_GROUP_ROWS)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input of fewer partitions than cores one partition per core.
+
+    Large inputs already have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
