@@ -33,8 +33,7 @@ def _edge(where: Column, d: Column) -> Column:
 
 
 def lag_sums(
-    long: DataFrame, keys: list[str], max_lag: int, *, parts: DataFrame | None = None,
-    group_rows: int | None = None,
+    long: DataFrame, keys: list[str], max_lag: int, *, group_rows: int | None = None
 ) -> DataFrame:
     """Per series: length, mean, ``s`` = sums of d[t]*d[t-k] for k = 0..max_lag, edges.
 
