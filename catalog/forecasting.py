@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog import query, r6, s6
 from catalog.prepare import rows_per_block
-from tidemark.operators import linear, metrics as m
+from tidemark.operators import learners, linear, metrics as m
+from tidemark.plans import forecast
+from tidemark.scratch import scratch_path
 
 KEYS = ["station", "feature"]
 
@@ -110,3 +112,73 @@ def arima_forecast(spark, sf):
 def sarima_forecast(spark, sf):
     models = sarima_models(spark, sf)
     return linear.against_actual(_long(spark, sf), linear.forecast_linear(models, KEYS), models, KEYS)
+
+
+# ---- learned forecasters ---------------------------------------------------
+
+@query("boosted_trees")
+def boosted_trees(spark, sf):
+    return learners.one_step(_long(spark, sf), KEYS, "xgboost", learners.boosted())[0]
+
+
+@query("boosted_tree_importances")
+def boosted_tree_importances(spark, sf):
+    samples = learners.scaled_samples(_long(spark, sf), KEYS, "xgboost")
+    return learners.importances(spark, learners.fit_features(samples, learners.boosted()))
+
+
+@query("sequence_one_step")
+def sequence_one_step(spark, sf):
+    return learners.one_step(_long(spark, sf), KEYS, "cnn_lstm", learners.forest())[0]
+
+
+@query("sequence_multi_step")
+def sequence_multi_step(spark, sf):
+    return learners.multi_step(_long(spark, sf), KEYS, "cnn_gru_attention", learners.ridge(), 5)[0]
+
+
+@query("hybrid_forecast")
+def hybrid_forecast(spark, sf):
+    return learners.hybrid(_long(spark, sf), KEYS, arima_models(spark, sf), learners.forest())[0]
+
+
+@query("forecast_run_scores")
+def forecast_run_scores(spark, sf):
+    """All models by name on the three stations with the most rows."""
+    run = forecast.forecast(fx.splits(spark, sf), fx.LAYOUT, ["all"], top_n=3, horizon=5)
+    return run.all_metrics()
+
+
+@query("forecast_run_status")
+def forecast_run_status(spark, sf):
+    """Per-series status over short series, some below the length floors."""
+    from tidemark.operators.series import split_series
+
+    splits = split_series(fx.short_readings(spark, sf), fx.SHORT)
+    return forecast.forecast(splits, fx.SHORT, ["arima", "cnn_gru_attention"], top_n=None).status
+
+
+_scaled = f"""{fx.LONG_CTE}, s AS (SELECT station, feature, avg(value) FILTER (WHERE split = 'train') AS center,
+    stddev_samp(value) FILTER (WHERE split = 'train') AS scale FROM long GROUP BY ALL),
+  w AS (SELECT station, feature, split, pos, value,
+    row_number() OVER (PARTITION BY station, feature, split ORDER BY pos) - 1 AS sp,
+    lag(value, 1) OVER v AS x1, lag(value, 12) OVER v AS x12 FROM long
+    WINDOW v AS (PARTITION BY station, feature ORDER BY pos))
+  SELECT station, feature, split, pos, {s6('(value - center) / scale')} AS y1, {s6('(x1 - center) / scale')} AS x1,
+    {s6('(x12 - center) / scale')} AS x12 FROM w JOIN s USING (station, feature) WHERE sp >= 12"""
+
+
+@query("scaled_samples", f"WITH {_scaled}")
+def scaled_samples(spark, sf):
+    out = learners.scaled_samples(_long(spark, sf), KEYS, "xgboost")
+    return out.select(*KEYS, "split", "pos", *[r6(c).alias(c) for c in ("y1", "x1", "x12")])
+
+
+@query("model_round_trip")
+def model_round_trip(spark, sf):
+    """Pooled models saved, loaded and applied."""
+    samples = learners.scaled_samples(_long(spark, sf), KEYS, "cnn_lstm")
+    fitted = learners.fit_features(samples, learners.ridge())
+    path = scratch_path(spark, "pooled-models")
+    learners.save_models(fitted, path)
+    return learners.predict_features(samples, learners.load_models(list(fitted), path)).select(*KEYS, "pos", "forecast")

@@ -279,6 +279,7 @@ def supervised_frame(
     carry_context: bool = False,
     value: str = "value",
     group_rows: int | None = None,
+    attach: DataFrame | None = None,
 ) -> DataFrame:
     """Model samples: ``x1`` (latest) … ``x{lookback}`` and targets ``y1`` … ``y{horizon}``.
 
@@ -287,7 +288,7 @@ def supervised_frame(
     """
     shifts = {f"x{k}": (value, k) for k in range(1, lookback + 1)}
     shifts |= {f"y{k}": (value, 1 - k) for k in range(2, horizon + 1)}
-    frame = lagged(long, keys, shifts, group_rows=group_rows).withColumn("y1", F.col(value))
+    frame = lagged(long, keys, shifts, group_rows=group_rows, attach=attach).withColumn("y1", F.col(value))
     frame = split_positions(frame)
     reach = F.col("pos") if carry_context else F.col("split_pos")
     inside = (reach >= lookback) & (F.col("split_pos") + horizon <= F.col("split_n"))
