@@ -100,6 +100,8 @@ def predict_features(samples: DataFrame, models: dict[str, PipelineModel], *, sp
         return model.transform(rows).withColumn("forecast", F.col("center") + F.col("scale") * F.col("scaled"))
 
     parts = [one(f, m) for f, m in models.items()]
+    if not parts:  # no series was long enough
+        return samples.limit(0).withColumn("forecast", F.lit(None).cast("double"))
     return reduce(lambda a, b: a.unionByName(b), parts).drop("inputs", "scaled")
 
 
