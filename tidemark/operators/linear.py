@@ -189,7 +189,7 @@ MODEL_FIELDS = (
     "ma array<double>, sigma2 double, val_rmse double, last_values array<double>, "
     "last_errors array<double>, one_step array<double>")
 _names = [f.split()[0] for f in MODEL_FIELDS.split(", ")]
-_ints = {c: "Int32" for c in ("p", "d", "q", "sp", "sd", "period")}
+_types = {c: "Int32" for c in ("p", "d", "q", "sp", "sd", "period")}
 
 
 def _key_fields(df: DataFrame, names: list[str]) -> str:
@@ -216,7 +216,7 @@ def fit_linear(
                     rows.append(fit_series(r, orders))
                 except (ValueError, np.linalg.LinAlgError) as e:
                     rows.append(dict(status=f"failed: {e}"))
-            fitted = pd.DataFrame(rows, columns=_names).astype(_ints)
+            fitted = pd.DataFrame({c: pd.Series([x.get(c) for x in rows], dtype=_types.get(c, object)) for c in _names})
             yield pd.concat([batch[[*keys, *kept]].reset_index(drop=True), fitted], axis=1)
 
     fields = f"{_key_fields(sums, keys)}, n_train long, n_val long, n_test long, center double, {MODEL_FIELDS}"
