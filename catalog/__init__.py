@@ -25,10 +25,10 @@ def query(name: str, sql: str | None = None):
 
 # Both engines round with the same arithmetic. The cut sits just off the half so
 # that a value exactly between two steps does not flip on the last bit of a sum.
-def r6(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * F.lit(1e6) + F.lit(0.5001)).cast("double") / F.lit(1e6)
+def r6(c: Column | str, digits: int = 6) -> Column:
+    c, unit = F.col(c) if isinstance(c, str) else c, 10.0**digits
+    return F.floor(c * F.lit(unit) + F.lit(0.5001)).cast("double") / F.lit(unit)
 
 
-def s6(expr: str) -> str:
-    return f"(floor(({expr}) * 1e6 + 0.5001e0) / 1e6)"
+def s6(expr: str, digits: int = 6) -> str:
+    return f"(floor(({expr}) * 1e{digits} + 0.5001e0) / 1e{digits})"

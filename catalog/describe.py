@@ -237,18 +237,13 @@ def stations_per_category(spark, sf):
     return stats.stations_per_category(stats.station_modes(fx.clean(spark, sf)))
 
 
-_dash = {"category": "f_qty"}
-
-
 def _dashboard(spark, sf):
-    return reports.dashboard(
-        fx.clean(spark, sf), fx.LAYOUT,
-        pairs=[("f_qty", "f_price"), ("f_disc", "f_tax"), ("f_qty", "f_tax")])
+    return reports.dashboard(fx.clean(spark, sf), fx.LAYOUT, pairs=[("f_qty", "f_price")])
 
 
 for _a, _b in [("f_qty", "f_price"), ("f_disc", "f_tax"), ("f_qty", "f_tax")]:
     def _pair(spark, sf, a=_a, b=_b):
-        return _dashboard(spark, sf)[f"{a}_vs_{b}"]
+        return reports.scatter_pairs(fx.clean(spark, sf), [(a, b)], fx.LAYOUT)[f"{a}_vs_{b}"]
 
     query(f"scatter_{_a}_{_b}", f"WITH {fx.CLEAN_CTE} SELECT {_a} AS x, {_b} AS y, category FROM clean")(_pair)
 
@@ -303,7 +298,7 @@ def series_trends(spark, sf):
     WHERE station IN (SELECT station FROM top)),
   l AS (SELECT station, feature, avg(value) AS mean, regr_slope(value, x) AS slope,
         regr_intercept(value, x) AS intercept FROM p GROUP BY ALL)
-  SELECT station, feature, obs_time, value, x AS pos, {s6('mean')} AS mean, {s6('intercept + slope * x')} AS trend,
+  SELECT station, feature, obs_time, value, x AS pos, {s6('mean', 4)} AS mean, {s6('intercept + slope * x', 4)} AS trend,
   printf('Mean: %.2f', mean) AS label
   FROM p JOIN l USING (station, feature)""")
 def station_series_report(spark, sf):
@@ -322,6 +317,6 @@ def _with_lines(long):
     placed = with_position(trimmed.drop("pos", "n"), keys, time_order(fx.LAYOUT))
     joined = stats.attach_series_stats(placed.drop("n"), lines.where("mean is not null"), keys, "n")
     return joined.select(
-        "station", "feature", "obs_time", "value", "pos", r6("mean").alias("mean"),
-        r6(F.col("intercept") + F.col("slope") * F.col("pos")).alias("trend"),
+        "station", "feature", "obs_time", "value", "pos", r6("mean", 4).alias("mean"),
+        r6(F.col("intercept") + F.col("slope") * F.col("pos"), 4).alias("trend"),
         F.format_string("Mean: %.2f", "mean").alias("label"))

@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_readings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
-        f"SELECT {RAW_COLUMNS.format(text='STRING')} FROM {{lineitem}}", lineitem=table(spark, sf, "lineitem"))
+        f"SELECT {RAW_COLUMNS.format(text='STRING')} FROM {{lineitem}}", lineitem=spread(table(spark, sf, "lineitem")))
 
 
 _derived: dict[tuple, DataFrame] = {}
@@ -59,7 +59,7 @@ def once(label: str, build):
     return get
 
 
-typed = once("typed", lambda spark, sf: cleaning.type_readings(spread(raw_readings(spark, sf)), LAYOUT))
+typed = once("typed", lambda spark, sf: cleaning.type_readings(raw_readings(spark, sf), LAYOUT))
 clean = once("clean", lambda spark, sf: cleaning.clean(raw_readings(spark, sf), LAYOUT))
 splits = once("splits", lambda spark, sf: series.split_series(clean(spark, sf), LAYOUT))
 

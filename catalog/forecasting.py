@@ -36,14 +36,14 @@ _ar1 = f"""{fx.LONG_CTE}, c AS (SELECT station, feature, count(*) FILTER (WHERE
     c0 / (1 - phi) + pow(phi, step) * (last - c0 / (1 - phi)) AS forecast,
     1.959963984540054 * sqrt(s2 * (1 - pow(phi, 2 * step)) / (1 - phi * phi)) AS half
     FROM t JOIN f USING (station, feature) JOIN e USING (station, feature))"""
-_ar1_sql = f"""WITH {_ar1} SELECT station, feature, obs_time, step, actual, {s6('forecast')} AS forecast,
-  {s6('forecast - half')} AS lo, {s6('forecast + half')} AS hi FROM g"""
+_ar1_sql = f"""WITH {_ar1} SELECT station, feature, obs_time, step, actual, {s6('forecast', 4)} AS forecast,
+  {s6('forecast - half', 4)} AS lo, {s6('forecast + half', 4)} AS hi FROM g"""
 
 
 def _ar1_rows(spark, sf, steps_per_row=linear.STEPS_PER_ROW, **kw):
     long, models = _linear(spark, sf, [linear.Order(1, 0, 0)], **kw)
     out = linear.against_actual(long, linear.forecast_linear(models, KEYS, steps_per_row=steps_per_row), models, KEYS)
-    return out.select(*KEYS, "obs_time", "step", "actual", *[r6(c).alias(c) for c in ("forecast", "lo", "hi")])
+    return out.select(*KEYS, "obs_time", "step", "actual", *[r6(c, 4).alias(c) for c in ("forecast", "lo", "hi")])
 
 
 @query("ar1_forecast", _ar1_sql)
@@ -81,13 +81,13 @@ def ar1_metrics(spark, sf):
 
 @query("ar1_one_step", f"""WITH {_ar1}, a AS (SELECT station, feature, pos, value,
     lag(value) OVER (PARTITION BY station, feature ORDER BY pos) AS x FROM long)
-  SELECT station, feature, pos, {s6('c0 + phi * x')} AS linear, {s6('value - c0 - phi * x')} AS error
+  SELECT station, feature, pos, {s6('c0 + phi * x', 3)} AS linear, {s6('value - c0 - phi * x', 3)} AS error
   FROM a JOIN f USING (station, feature) WHERE pos >= 12""")
 def ar1_one_step(spark, sf):
     """One-step predictions and residuals of the fitted autoregression on every reading."""
     long, models = _linear(spark, sf, [linear.Order(1, 0, 0)])
     out = linear.one_step_errors(long, models, KEYS).where("pos >= 12")
-    return out.select(*KEYS, "pos", r6("linear").alias("linear"), r6("error").alias("error"))
+    return out.select(*KEYS, "pos", r6("linear", 3).alias("linear"), r6("error", 3).alias("error"))
 
 
 arima_models = fx.once(
@@ -124,7 +124,7 @@ def boosted_trees(spark, sf):
 @query("boosted_tree_importances")
 def boosted_tree_importances(spark, sf):
     samples = learners.scaled_samples(_long(spark, sf), KEYS, "xgboost")
-    return learners.importances(spark, learners.fit_features(samples, learners.boosted()))
+    return learners.importances(spark, learners.fit_features(samples, learners.boosted())["y1"])
 
 
 @query("sequence_one_step")
@@ -178,7 +178,7 @@ def scaled_samples(spark, sf):
 def model_round_trip(spark, sf):
     """Pooled models saved, loaded and applied."""
     samples = learners.scaled_samples(_long(spark, sf), KEYS, "cnn_lstm")
-    fitted = learners.fit_features(samples, learners.ridge())
+    fitted = learners.fit_features(samples, learners.ridge())["y1"]
     path = scratch_path(spark, "pooled-models")
     learners.save_models(fitted, path)
     return learners.predict_features(samples, learners.load_models(list(fitted), path)).select(*KEYS, "pos", "forecast")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.parsing import is_significant, order_hint, series_key
 from tidemark.operators.series import lagged
+from tidemark.scratch import balance
 
 # Least length of an analysed series, most lags, 97.5 % normal quantile.
 MIN_LENGTH = 20
@@ -26,10 +28,16 @@ MAX_LAGS = 40
 Z975 = 1.959963984540054
 
 
-def _edge(where: Column, d: Column) -> Column:
-    """Values of a few boundary rows in position order."""
-    rows = F.sort_array(F.collect_list(F.when(where, F.struct(F.col("pos"), d.alias("d")))))
-    return F.transform(rows, lambda r: r["d"])
+def edge_values(long: DataFrame, keys: list[str], lengths: DataFrame, edges: dict[str, Column]) -> DataFrame:
+    """Per series, the ``value`` of a few boundary rows in position order, one array per edge.
+
+    Kept apart from the sums: collecting lists would take those out of generated code.
+    """
+    by_key = long.select(*keys, "pos", "value").join(lengths, keys)
+    near = by_key.where(reduce(lambda a, b: a | b, edges.values()))
+    lists = near.groupBy(*keys).agg(*[
+        F.sort_array(F.collect_list(F.when(c, F.struct("pos", "value")))).alias(name) for name, c in edges.items()])
+    return lists.withColumns({name: F.transform(name, lambda r: r["value"]) for name in edges})
 
 
 def lag_sums(
@@ -47,12 +55,14 @@ def lag_sums(
     d = F.col("value") - F.col("mean")
     products = [F.sum(d * d)] + [F.sum(d * (F.col(f"_l{k}") - F.col("mean"))) for k in range(1, max_lag + 1)]
     sums = rows.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(d).alias("total"),
-        *[p.alias(f"_s{k}") for k, p in enumerate(products)],
-        _edge(F.col("pos") <= max_lag, d).alias("head"),
-        _edge(F.col("pos") >= F.col("n") - 1 - max_lag, d).alias("tail"))
+        F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum(d).alias("total"),
+        *[p.alias(f"_s{k}") for k, p in enumerate(products)])
     names = [f"_s{k}" for k in range(max_lag + 1)]
-    return sums.withColumn("s", F.array(*[F.coalesce(c, F.lit(0.0)) for c in names])).drop(*names)
+    packed = sums.withColumn("s", F.array(*[F.coalesce(c, F.lit(0.0)) for c in names])).drop(*names)
+    ends = F.col("n") - 1 - max_lag
+    raw = edge_values(long, keys, stats.select(*keys, "n"), {"head": F.col("pos") <= max_lag, "tail": F.col("pos") >= ends})
+    centred = {e: F.transform(e, lambda v: v - F.col("mean")) for e in ("head", "tail")}
+    return packed.join(raw, keys).withColumns(centred)
 
 
 def analysed(sums: DataFrame) -> DataFrame:
@@ -94,7 +104,7 @@ def _durbin_levinson(r: Column, lags: Column) -> Column:
 
 def pacf(sums: DataFrame, keys: list[str]) -> DataFrame:
     """Partial autocorrelation per lag (Yule–Walker) with its constant 95 % band."""
-    arrays = analysed(sums).select(*keys, "n", _durbin_levinson(F.col("acf"), F.col("lags")).alias("p"))
+    arrays = analysed(balance(sums, keys)).select(*keys, "n", _durbin_levinson(F.col("acf"), F.col("lags")).alias("p"))
     flat = arrays.select(*keys, "n", F.posexplode("p").alias("_i", "pacf"))
     return flat.select(
         *keys, "n", (F.col("_i") + 1).alias("lag"), "pacf", (Z975 / F.sqrt(F.col("n"))).alias("band"))
@@ -211,7 +221,7 @@ def stationarity(sums: DataFrame, keys: list[str], *, max_lag: int | None = None
             tests = tests.astype({"used_lag": "Int32", "nobs": "Int64", "adf_stat": "float64", "adf_p_value": "float64"})
             yield pd.concat([batch[keys].reset_index(drop=True), tests], axis=1)
 
-    tested = wanted.mapInPandas(solve, f"{key_fields}, {ADF_FIELDS}")
+    tested = balance(wanted, keys).mapInPandas(solve, f"{key_fields}, {ADF_FIELDS}")
     number = {c: F.when(~F.isnan(c), F.col(c)) for c in ("adf_stat", "adf_p_value")}
     verdict = tested.withColumns(number).withColumn("is_stationary", is_significant(F.col("adf_p_value")))
     return verdict.withColumn("orders", order_hint(F.col("is_stationary")))

@@ -6,9 +6,10 @@ its train split, so that one Spark ML model serves every station.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -21,7 +22,7 @@ from tidemark.scratch import materialize
 
 SEED = 17
 INPUTS = [f"x{k}" for k in range(1, LOOKBACK + 1)]
-Regressors = Callable[[], object]
+PARALLEL_FITS = 4
 
 
 def boosted() -> GBTRegressor:
@@ -87,10 +88,21 @@ def fit_pooled(samples: DataFrame, regressor, feature: str, target: str = "y1")
     return PipelineModel(stages=[assembler, learner.fit(rows)])
 
 
-def fit_features(samples: DataFrame, regressor, target: str = "y1") -> dict[str, PipelineModel]:
-    """One pooled model per feature; the number of features is a property of the schema."""
+def fit_features(samples: DataFrame, regressor, targets: tuple[str, ...] = ("y1",)) -> dict[str, dict[str, PipelineModel]]:
+    """One pooled model per target and feature, a few fits at a time.
+
+    The number of features is a property of the schema.
+    """
     features = [r[0] for r in samples.select("feature").distinct().orderBy("feature").collect()]
-    return {f: fit_pooled(samples, regressor, f, target) for f in features}
+    jobs = [(t, f) for t in targets for f in features]
+
+    def fit(job):
+        target, feature = job
+        return fit_pooled(samples, regressor, feature, target)
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        models = list(pool.map(inheritable_thread_target(samples.sparkSession)(fit), jobs))
+    return {t: {f: m for (u, f), m in zip(jobs, models) if u == t} for t in targets}
 
 
 def predict_features(samples: DataFrame, models: dict[str, PipelineModel], *, split: str = "test") -> DataFrame:
@@ -114,7 +126,7 @@ def one_step(
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Twelve points to the next one: (test forecasts, fitted models)."""
     samples = scaled_samples(long, keys, model, group_rows=group_rows)
-    fitted = fit_features(samples, regressor)
+    fitted = fit_features(samples, regressor)["y1"]
     out = predict_features(samples, fitted)
     ids = [c for c in ("obs_time", "pos") if c in out.columns]
     return out.select(*keys, *ids, _actual(out).alias("actual"), "forecast"), fitted
@@ -125,10 +137,10 @@ def multi_step(
 ) -> tuple[DataFrame, dict[int, dict[str, PipelineModel]]]:
     """Twelve points to the next ``horizon``, one pooled model per step."""
     samples = scaled_samples(long, keys, model, horizon=horizon, group_rows=group_rows)
-    fitted, parts = {}, []
+    by_target = fit_features(samples, regressor, tuple(f"y{k}" for k in range(1, horizon + 1)))
+    fitted, parts = {int(t[1:]): models for t, models in by_target.items()}, []
     for step in range(1, horizon + 1):
         target = f"y{step}"
-        fitted[step] = fit_features(samples, regressor, target)
         out = predict_features(samples, fitted[step])
         ids = [c for c in ("obs_time", "pos") if c in out.columns]
         parts.append(out.select(
@@ -142,7 +154,7 @@ def hybrid(
     """Linear one-step prediction plus a learner on its residuals; both parts are returned."""
     errors = materialize(one_step_errors(long, linear_models, keys, group_rows=group_rows), "residuals")
     samples = scaled_samples(errors, keys, "arima_ann", value="error", group_rows=group_rows)
-    fitted = fit_features(samples, regressor)
+    fitted = fit_features(samples, regressor)["y1"]
     out = predict_features(samples, fitted).withColumnRenamed("forecast", "residual")
     ids = [c for c in ("obs_time", "pos") if c in out.columns]
     return out.select(

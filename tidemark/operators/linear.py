@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.autocorr import Z975, LagSums, _edge, regress, shift
+from tidemark.operators.autocorr import Z975, LagSums, edge_values, regress, shift
 from tidemark.operators.series import floors, lagged
+from tidemark.scratch import balance
 
 MAX_LAG = 12
 STEPS_PER_ROW = 10_000
@@ -87,18 +88,22 @@ def split_lag_sums(long: DataFrame, keys: list[str], max_lag: int, *, group_rows
     train = F.col("split") == "train"
     products = [d * d] + [d * (F.col(f"_l{k}") - F.col("center")) for k in range(1, max_lag + 1)]
     last = max_lag + 1
+    kept = ("n_train", "n_val", "n_test", "n", "center")
     sums = wide.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in ("n_train", "n_val", "n_test", "n", "center")],
+        *[F.max(c).alias(c) for c in kept],
         F.sum(d).alias("total_all"), F.sum(F.when(train, d)).alias("total_train"),
         *[F.sum(x).alias(f"_a{k}") for k, x in enumerate(products)],
-        *[F.sum(F.when(train, x)).alias(f"_t{k}") for k, x in enumerate(products)],
-        _edge(F.col("pos") < last, d).alias("head"),
-        _edge(train & (F.col("pos") >= F.col("n_train") - last), d).alias("tail_train"),
-        _edge(F.col("pos") >= F.col("n") - last, d).alias("tail_all"))
+        *[F.sum(F.when(train, x)).alias(f"_t{k}") for k, x in enumerate(products)])
     packed = {
         f"s_{name}": F.array(*[F.coalesce(f"_{p}{k}", F.lit(0.0)) for k in range(last)])
         for name, p in (("all", "a"), ("train", "t"))}
-    return sums.withColumns(packed).drop(*[f"_{p}{k}" for p in "at" for k in range(last)])
+    arrays = sums.withColumns(packed).drop(*[f"_{p}{k}" for p in "at" for k in range(last)])
+    pos, cut = F.col("pos"), F.col("n_train")
+    edges = {
+        "head": pos < last, "tail_train": (pos < cut) & (pos >= cut - last), "tail_all": pos >= F.col("n") - last}
+    raw = edge_values(rows, keys, fitted.select(*keys, "n", "n_train"), edges)
+    centred = {e: F.transform(e, lambda v: v - F.col("center")) for e in edges}
+    return arrays.join(raw, keys).withColumns(centred)
 
 
 def _stable(poly: np.ndarray) -> bool:
@@ -220,7 +225,7 @@ def fit_linear(
             yield pd.concat([batch[[*keys, *kept]].reset_index(drop=True), fitted], axis=1)
 
     fields = f"{_key_fields(sums, keys)}, n_train long, n_val long, n_test long, center double, {MODEL_FIELDS}"
-    return sums.mapInPandas(solve, fields)
+    return balance(sums, keys).mapInPandas(solve, fields)
 
 
 def _advance(c: np.ndarray, q: np.ndarray, steps: int):
@@ -286,7 +291,7 @@ def forecast_linear(models: DataFrame, keys: list[str], *, steps_per_row: int =
                 yield pd.concat(
                     [pd.DataFrame({k: [getattr(r, k)] * len(out) for k in keys}), out], axis=1)
 
-    return wanted.mapInPandas(run, f"{_key_fields(models, keys)}, step long, forecast double, lo double, hi double")
+    return balance(wanted, [*keys, "start"]).mapInPandas(run, f"{_key_fields(models, keys)}, step long, forecast double, lo double, hi double")
 
 
 def against_actual(long: DataFrame, forecasts: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:

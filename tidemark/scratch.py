@@ -54,3 +54,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def balance(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread a small per-series table over all cores before costly per-row work.
+
+    Adaptive execution would otherwise merge it into a few partitions by size.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
