@@ -86,7 +86,7 @@ def _histogram_sql(bins: str) -> str:
       h AS (SELECT feature, least(floor((v - lo) / (hi - lo) * bins), bins - 1) AS bin, count(*) AS n
             FROM u JOIN b USING (feature) GROUP BY ALL),
       e AS (SELECT feature, lo, hi, bins, unnest(range(CAST(bins AS BIGINT))) AS bin FROM b)
-      SELECT e.feature, CAST(e.bin AS INTEGER) AS bin, {s6('lo + e.bin * ((hi - lo) / bins)')} AS "left",
+      SELECT e.feature, CAST(e.bin AS BIGINT) AS bin, {s6('lo + e.bin * ((hi - lo) / bins)')} AS "left",
         {s6('lo + (e.bin + 1) * ((hi - lo) / bins)')} AS "right", coalesce(h.n, 0) AS n
       FROM e LEFT JOIN h ON h.feature = e.feature AND h.bin = e.bin"""
 

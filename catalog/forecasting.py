@@ -42,7 +42,7 @@ _ar1_sql = f"""WITH {_ar1} SELECT station, feature, obs_time, step, actual, {s6(
 
 def _ar1_rows(spark, sf, steps_per_row=linear.STEPS_PER_ROW, **kw):
     long, models = _linear(spark, sf, [linear.Order(1, 0, 0)], **kw)
-    out = linear.against_actual(long, linear.forecast_linear(models, KEYS, steps_per_row=steps_per_row), models, KEYS)
+    out = linear.against_actual(long, linear.forecast_linear(models, KEYS, steps_per_row=steps_per_row), KEYS)
     return out.select(*KEYS, "obs_time", "step", "actual", *[r6(c, 4).alias(c) for c in ("forecast", "lo", "hi")])
 
 
@@ -75,7 +75,7 @@ def ar2_coefficients(spark, sf):
   {s6('avg(abs(actual - forecast))')} AS MAE FROM g GROUP BY ALL""")
 def ar1_metrics(spark, sf):
     long, models = _linear(spark, sf, [linear.Order(1, 0, 0)])
-    pairs = linear.against_actual(long, linear.forecast_linear(models, KEYS), models, KEYS)
+    pairs = linear.against_actual(long, linear.forecast_linear(models, KEYS), KEYS)
     return m.forecast_metrics(pairs, KEYS).select(*KEYS, r6("RMSE").alias("RMSE"), r6("MAE").alias("MAE"))
 
 
@@ -105,13 +105,13 @@ def arima_models_query(spark, sf):
 @query("arima_forecast")
 def arima_forecast(spark, sf):
     models = arima_models(spark, sf)
-    return linear.against_actual(_long(spark, sf), linear.forecast_linear(models, KEYS), models, KEYS)
+    return linear.against_actual(_long(spark, sf), linear.forecast_linear(models, KEYS), KEYS)
 
 
 @query("sarima_forecast")
 def sarima_forecast(spark, sf):
     models = sarima_models(spark, sf)
-    return linear.against_actual(_long(spark, sf), linear.forecast_linear(models, KEYS), models, KEYS)
+    return linear.against_actual(_long(spark, sf), linear.forecast_linear(models, KEYS), KEYS)
 
 
 # ---- learned forecasters ---------------------------------------------------

@@ -167,7 +167,7 @@ def test_search_picks_the_seasonal_order(spark):
     seasonal = linear.fit_linear(rows, KEYS, linear.sarima_orders(12), model="sarima")
     model = seasonal.first()
     assert model["sp"] + model["sd"] > 0
-    out = linear.against_actual(rows, linear.forecast_linear(seasonal, KEYS), seasonal, KEYS).toPandas()
+    out = linear.against_actual(rows, linear.forecast_linear(seasonal, KEYS), KEYS).toPandas()
     assert len(out) == 40 and np.abs(out.actual - out.forecast).max() < 2
 
 

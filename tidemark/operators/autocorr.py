@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.parsing import is_significant, order_hint, series_key
 from tidemark.operators.series import lagged
+from tidemark.operators.stats import attach_series_stats
 from tidemark.scratch import balance
 
 # Least length of an analysed series, most lags, 97.5 % normal quantile.
@@ -28,12 +29,16 @@ MAX_LAGS = 40
 Z975 = 1.959963984540054
 
 
-def edge_values(long: DataFrame, keys: list[str], lengths: DataFrame, edges: dict[str, Column]) -> DataFrame:
+def edge_values(
+    long: DataFrame, keys: list[str], lengths: DataFrame, edges: dict[str, Column],
+    *, group_rows: int | None = None,
+) -> DataFrame:
     """Per series, the ``value`` of a few boundary rows in position order, one array per edge.
 
     Kept apart from the sums: collecting lists would take those out of generated code.
     """
-    by_key = long.select(*keys, "pos", "value").join(lengths, keys)
+    by_key = attach_series_stats(
+        long.select(*keys, "pos", "value"), lengths.withColumn("_len", F.col("n")), keys, "_len", group_rows=group_rows)
     near = by_key.where(reduce(lambda a, b: a | b, edges.values()))
     lists = near.groupBy(*keys).agg(*[
         F.sort_array(F.collect_list(F.when(c, F.struct("pos", "value")))).alias(name) for name, c in edges.items()])
@@ -60,7 +65,8 @@ def lag_sums(
     names = [f"_s{k}" for k in range(max_lag + 1)]
     packed = sums.withColumn("s", F.array(*[F.coalesce(c, F.lit(0.0)) for c in names])).drop(*names)
     ends = F.col("n") - 1 - max_lag
-    raw = edge_values(long, keys, stats.select(*keys, "n"), {"head": F.col("pos") <= max_lag, "tail": F.col("pos") >= ends})
+    edges = {"head": F.col("pos") <= max_lag, "tail": F.col("pos") >= ends}
+    raw = edge_values(long, keys, stats.select(*keys, "n"), edges, group_rows=group_rows)
     centred = {e: F.transform(e, lambda v: v - F.col("mean")) for e in ("head", "tail")}
     return packed.join(raw, keys).withColumns(centred)
 

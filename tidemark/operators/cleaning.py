@@ -102,11 +102,12 @@ def quality_report(raw: DataFrame, layout: Layout, **kw) -> DataFrame:
     typed = materialize(type_readings(spread(raw), layout), "typed")
     features = layout.available(typed)
     kept = drop_empty(typed, layout)
-    rows_in = typed.agg(F.count(F.lit(1)).alias("rows_in"))
-    rows_out = kept.agg(F.count(F.lit(1)).alias("rows_out"))
+    known = F.coalesce(*[F.col(f) for f in features]).isNotNull()
+    before, after = typed.agg(F.count(F.lit(1)), F.count_if(known)).first()
     return (
         missing_report(typed, features)
         .join(outlier_report(kept, layout, **kw), "feature", "left")
-        .crossJoin(F.broadcast(rows_in)).crossJoin(F.broadcast(rows_out))
-        .withColumn("rows_removed", F.col("rows_in") - F.col("rows_out"))
+        .withColumns({
+            "rows_in": F.lit(before).cast("long"), "rows_out": F.lit(after).cast("long"),
+            "rows_removed": F.lit(before - after).cast("long")})
     )

@@ -101,7 +101,7 @@ def split_lag_sums(long: DataFrame, keys: list[str], max_lag: int, *, group_rows
     pos, cut = F.col("pos"), F.col("n_train")
     edges = {
         "head": pos < last, "tail_train": (pos < cut) & (pos >= cut - last), "tail_all": pos >= F.col("n") - last}
-    raw = edge_values(rows, keys, fitted.select(*keys, "n", "n_train"), edges)
+    raw = edge_values(rows, keys, fitted.select(*keys, "n", "n_train"), edges, group_rows=group_rows)
     centred = {e: F.transform(e, lambda v: v - F.col("center")) for e in edges}
     return arrays.join(raw, keys).withColumns(centred)
 
@@ -269,8 +269,9 @@ def forecast_steps(r) -> pd.DataFrame:
         mean[h], spread[h] = state[0], variance
     half = Z975 * np.sqrt(spread)
     mean = mean + r.center
+    step = np.arange(int(r.start) + 1, int(r.start) + int(r.count) + 1)
     return pd.DataFrame({
-        "step": np.arange(int(r.start) + 1, int(r.start) + int(r.count) + 1),
+        "step": step, "pos": step + int(r.fitted_rows) - 1,
         "forecast": mean, "lo": mean - half, "hi": mean + half})
 
 
@@ -282,7 +283,7 @@ def forecast_linear(models: DataFrame, keys: list[str], *, steps_per_row: int =
             "start": F.col("start") * steps_per_row,
             "count": F.least(F.lit(steps_per_row).cast("long"), F.col("n_test") - F.col("start") * steps_per_row)})
     wanted = pieces.select(
-        *keys, "start", "count", "center", "const", "ar", "ma", "sigma2", "last_values", "last_errors")
+        *keys, "start", "count", (F.col("n_train") + F.col("n_val")).alias("fitted_rows"), "center", "const", "ar", "ma", "sigma2", "last_values", "last_errors")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -291,15 +292,13 @@ def forecast_linear(models: DataFrame, keys: list[str], *, steps_per_row: int =
                 yield pd.concat(
                     [pd.DataFrame({k: [getattr(r, k)] * len(out) for k in keys}), out], axis=1)
 
-    return balance(wanted, [*keys, "start"]).mapInPandas(run, f"{_key_fields(models, keys)}, step long, forecast double, lo double, hi double")
+    return balance(wanted, [*keys, "start"]).mapInPandas(run, f"{_key_fields(models, keys)}, step long, pos long, forecast double, lo double, hi double")
 
 
-def against_actual(long: DataFrame, forecasts: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """Forecast rows next to the test readings, joined on (series, step)."""
-    ends = models.where("status = 'ok'").select(*keys, (F.col("n_train") + F.col("n_val")).alias("_end"))
-    placed = forecasts.join(ends, keys).withColumn("pos", F.col("step") - 1 + F.col("_end")).drop("_end")
+def against_actual(long: DataFrame, forecasts: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecast rows next to the test readings, joined on (series, position)."""
     test = long.where("split = 'test'").withColumnRenamed("value", "actual").drop("split", "n")
-    return test.join(placed, [*keys, "pos"])
+    return test.join(forecasts, [*keys, "pos"])
 
 
 def one_step_errors(long: DataFrame, models: DataFrame, keys: list[str], *, group_rows: int | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.operators.quantiles import MAX_GROUP_VALUES, exact_quantiles, feature_quantiles
 from tidemark.operators.series import with_position
@@ -107,7 +109,7 @@ def auto_bins(n: int, lo: float, hi: float, iqr: float) -> int:
 
 def _bin(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
     raw = F.floor((value - lo) / (hi - lo) * bins)
-    return F.when(hi > lo, F.least(raw, bins - 1)).otherwise(F.lit(0)).cast("int")
+    return F.when(hi > lo, F.least(raw, bins - 1)).otherwise(F.lit(0)).cast("long")
 
 
 def _feature_bins(df: DataFrame, ranges: dict, bins: dict[str, int]) -> DataFrame:
@@ -131,14 +133,14 @@ def histogram(
     else:
         counts = {f: int(bins) for f in ranges}
     occupied = _feature_bins(df, ranges, counts)
-    frame = df.sparkSession.createDataFrame(
-        [(f, r["lo"], r["hi"], counts[f]) for f, r in ranges.items()],
-        "feature string, lo double, hi double, bins int")
-    edges = frame.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    spark = df.sparkSession
+    edges = reduce(lambda a, b: a.unionByName(b), [
+        spark.range(counts[f]).select(
+            F.lit(f).alias("feature"), F.col("id").alias("bin"), F.lit(r["lo"]).alias("lo"),
+            F.lit((r["hi"] - r["lo"]) / counts[f]).alias("width")) for f, r in ranges.items()])
     return edges.join(occupied, ["feature", "bin"], "left").select(
-        "feature", "bin", (F.col("lo") + F.col("bin") * width).alias("left"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("right"),
+        "feature", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"),
+        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("right"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -232,14 +234,10 @@ def trend_lines(trimmed: DataFrame, keys: list[str], order: list[Column], *, gro
 def category_shares(df: DataFrame, domain: list[str], category: str = "category") -> DataFrame:
     """Count and share per standard category, in domain order; at most len(domain) rows."""
     counts = df.where(F.col(category).isin(domain)).groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (
-        counts.crossJoin(F.broadcast(total))  # one row against at most len(domain) rows
-        .select(
-            category, F.array_position(F.array(*[F.lit(d) for d in domain]), F.col(category)).alias("rank"),
-            "n", (F.col("n") * 100.0 / F.col("total")).alias("share"))
-        .orderBy("rank")
-    )
+    total = F.sum("n").over(W.partitionBy(F.lit(1)))  # over at most len(domain) rows
+    order = F.array_position(F.array(*[F.lit(d) for d in domain]), F.col(category))
+    return counts.select(
+        category, order.alias("rank"), "n", (F.col("n") * 100.0 / total).alias("share")).orderBy("rank")
 
 
 def station_modes(df: DataFrame, station: str = "station", category: str = "category") -> DataFrame:
