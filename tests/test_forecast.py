@@ -98,6 +98,21 @@ def test_no_series_long_enough(spark):
     assert run.forecasts["cnn_lstm"].count() == 0
 
 
+def test_missing_values_are_dropped_per_feature(spark):
+    x = ar_series(400, [0.8])
+    whole = split_table(spark, {"a": x})
+    holes = whole.withColumn("v", F.when(F.col("pos") % 5 != 2, F.col("v"))).withColumn("w", F.col("pos") * 1.0)
+    long = forecast.series_of(holes, Layout(features=["v", "w"]), None)
+    got = {r["feature"]: r for r in long.groupBy("feature").agg(
+        F.count("*").alias("rows"), F.max("pos").alias("last"), F.max("n").alias("n")).collect()}
+    assert (got["v"]["rows"], got["v"]["last"], got["v"]["n"]) == (320, 319, 320) and got["w"]["n"] == 400
+    samples = learners.scaled_samples(long, KEYS, "xgboost")
+    counts = {(r[0], r[1]): r[2] for r in samples.groupBy("feature", "split").count().collect()}
+    assert counts["v", "test"] == 32 - 12 and counts["v", "val"] == 32 - 12 and counts["v", "train"] == 256 - 12
+    run = forecast.forecast(holes, LAYOUT, ["arima", "arima_ann"], top_n=None)
+    assert run.forecasts["arima"].count() == 32 and run.forecasts["arima_ann"].count() == 32 - 12
+
+
 def test_selection(spark):
     assert forecast.selected_models(["all"]) == list(forecast.MODEL_TYPES)
     with pytest.raises(ValueError):

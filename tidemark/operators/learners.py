@@ -45,6 +45,7 @@ def scaling(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     return long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if((F.col("split") == s) & F.col(value).isNotNull()).alias(f"n_{s}") for s in ("train", "val", "test")],
+        *[F.count_if(F.col("split") == s).alias(f"rows_{s}") for s in ("train", "val")],
         F.avg(train).alias("center"), F.nullif(F.stddev_samp(train), F.lit(0.0)).alias("scale"))
 
 

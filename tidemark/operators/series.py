@@ -262,9 +262,17 @@ def stations_in_all_splits(df: DataFrame, station: str = "station") -> DataFrame
 
 
 def split_positions(long: DataFrame) -> DataFrame:
-    """Position inside the split (``split_pos``) and length of the split (``split_n``)."""
-    train_end = F.floor(F.col("n") * F.lit(0.8))
-    val_end = train_end + F.floor(F.col("n") * F.lit(0.1))
+    """Position inside the split (``split_pos``) and length of the split (``split_n``).
+
+    Split lengths come from ``rows_train`` and ``rows_val`` where present, else
+    from the default ratios of a gap-free series.
+    """
+    if "rows_train" in long.columns:
+        train_end = F.col("rows_train")
+        val_end = train_end + F.col("rows_val")
+    else:
+        train_end = F.floor(F.col("n") * F.lit(0.8))
+        val_end = train_end + F.floor(F.col("n") * F.lit(0.1))
     start = F.when(F.col("split") == "train", F.lit(0)).when(F.col("split") == "val", train_end).otherwise(val_end)
     end = F.when(F.col("split") == "train", train_end).when(F.col("split") == "val", val_end).otherwise(F.col("n"))
     return long.withColumns({"split_pos": (F.col("pos") - start).cast("long"), "split_n": (end - start).cast("long")})
