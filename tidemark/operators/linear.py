@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -185,7 +187,8 @@ def fit_series(r, orders: list[Order]) -> dict:
             status="ok", p=order.p, d=order.d, q=order.q, sp=order.sp, sd=order.sd, period=order.period,
             const=const, ar=list(-ar[1:]), ma=list(ma[1:]), sigma2=variance, val_rmse=mse**0.5,
             last_values=list(recent[:max(len(ar) - 1, 1)]),
-            last_errors=[residual(j) for j in range(len(ma) - 1)], one_step=list(error))
+            last_errors=[residual(j) for j in range(len(ma) - 1)],
+            one_step=[*error[:-1], *[0.0] * (len(r.s_all) - 1 - lags), error[-1]])
     return dict(status="no estimable order")
 
 
@@ -303,18 +306,16 @@ def against_actual(long: DataFrame, forecasts: DataFrame, keys: list[str]) -> Da
 
 def one_step_errors(long: DataFrame, models: DataFrame, keys: list[str], *, group_rows: int | None = None) -> DataFrame:
     """Every reading with its one-step ``linear`` prediction and ``error``; null without enough history."""
-    lags = models.agg(F.max(F.size("one_step"))).first()[0] or 2
-    lags -= 2
+    lags = (models.agg(F.max(F.size("one_step"))).first()[0] or 2) - 2
     shifts = {f"_l{k}": ("value", k) for k in range(1, lags + 1)}
     params = models.where("status = 'ok'").select(
         *keys, (F.col("n_train") + F.col("n_val") + F.col("n_test")).alias("n"), "center", "one_step")
     rows = lagged(long.drop("n"), keys, shifts, group_rows=group_rows, attach=params)
-    weights = F.col("one_step")
-    history = F.array(*[F.col(f"_l{k}") - F.col("center") for k in range(1, lags + 1)])
-    used = F.slice(history, F.lit(1), F.size(weights) - 2)
-    past = F.aggregate(
-        F.zip_with(used, F.slice(weights, F.lit(2), F.size(weights) - 2), lambda x, w: x * w),
-        F.lit(0.0), lambda a, x: a + x)
-    error = (F.col("value") - F.col("center")) * weights[0] + past + F.element_at(weights, -1)
+
+    def term(k: int, value: str):
+        weight = F.col("one_step")[k]
+        return F.when(weight == 0, 0.0).otherwise(weight * (F.col(value) - F.col("center")))
+
+    error = reduce(add, [term(k, c) for k, c in enumerate(["value", *shifts])]) + F.col("one_step")[lags + 1]
     return rows.withColumn("error", error).withColumn("linear", F.col("value") - F.col("error")).drop(
         *shifts, "center", "one_step")
