@@ -32,9 +32,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_raw"))
     rows = rows.withColumn("_digest", F.sha2(F.lower("_raw"), 256))
     classes = _classes(rows, salts)
-    per_digest = classes.groupBy("_digest").agg(
+    # Written, so that rows meet it in a plain join whose hot partitions Spark can split.
+    per_digest = materialize(classes.groupBy("_digest").agg(
         F.count(F.lit(1)).alias("_classes"), F.first("_keep").alias("_keep"),
-        F.first("_n").alias("_n"), F.first("_sha").alias("_sha"))
+        F.first("_n").alias("_n"), F.first("_sha").alias("_sha")), "digests")
     single = per_digest.where("_classes = 1").drop("_classes")
     found = rows.select("_id", "_digest").join(single, "_digest")
     mixed = classes.join(per_digest.where("_classes > 1").select("_digest"), "_digest", "left_semi")
