@@ -226,7 +226,7 @@ def _chosen(stats: DataFrame, fits: DataFrame, lang: str, source: str, min_rows:
     Coarser fits are used where a group has fewer than ``min_rows`` rows.
     """
     levels = _levels(lang, source)
-    found = stats.select(*[c.alias(f"_{name}") for name, c in levels.items()]).distinct()
+    found = materialize(stats.select(*[c.alias(f"_{name}") for name, c in levels.items()]).distinct(), "groups")
     enough = fits.where(F.col("total") >= min_rows).select("group", F.struct(*FIT).alias("f"))
     for name in levels:
         found = found.join(enough.withColumnsRenamed({"group": f"_{name}", "f": f"_f_{name}"}), f"_{name}", "left")
