@@ -1,19 +1,68 @@
-"""A corpus pipeline of the training-data operators, one stage after another."""
+"""A corpus pipeline of the training-data operators, one stage after another.
+
+Each stage works on all that the one before has kept. The filtering stages
+return the columns of documents; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm import exact_dedup, jaccard, langid, packing, quality
 from tidemark.scratch import materialize
 
+SURE_OF_LANGUAGE = 0.5
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids``; a null id matches a null id."""
+    wanted = ids.select(F.col("doc_id").alias("_wanted"))
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+
+
+def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie far from their language and source go.
+
+    Of rows that repeat a doc_id, all stay if one passes.
+    """
+    return _with_ids(docs, quality.quality_rules(docs).where("kept"))
+
+
+def know_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and those surely in another learned language than they declare.
+
+    A null declared language is no contradiction.
+    """
+    profiles = langid.learn(docs.where(langid.remainder("doc_id", 4) != 2))
+    other = F.col("lang").isin(list(profiles.languages)) & (F.col("_lang_pred") != F.col("lang"))
+    contradicted = F.coalesce(other, F.lit(False)) & (F.col("_lang_score") >= SURE_OF_LANGUAGE)
+    known = (F.col("_lang_pred") != langid.UNKNOWN) & ~contradicted
+    return langid.annotate(docs, profiles).where(known).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return _with_ids(docs, exact_dedup.exact_dedup(docs).where("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at 0.8, the one with the smallest doc_id stays."""
+    found = jaccard.jaccard_join(docs, width=5, percent=80)
+    return _with_ids(docs, found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents with their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
-def keep_distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
+STAGES = [
+    ("quality_rules", pass_quality_rules), ("language_id", know_language), ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies), ("best_fit_packing", pack_sequences)]
 
-STAGES = [("exact_dedup", keep_distinct_texts)]
+# The robust estimates, the learned language profiles and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 512
 ALPHABET = 64  # 0: anything that is no letter; 1-26: a-z; the rest share other letters by code point
@@ -146,6 +147,24 @@ def predict(docs: DataFrame, profiles: Profiles, *, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
 
 
+def annotate(docs: DataFrame, profiles: Profiles, *, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``_lang_pred`` and ``_lang_score``, row by row, without a join.
+
+    A column of one of these names is replaced.
+    """
+    rows = docs.drop("_lang_pred", "_lang_score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.classify(t.as_py()) for t in batch[text_col]]
+            yield pa.record_batch(
+                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*batch.schema.names, "_lang_pred", "_lang_score"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
 def remainder(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts))
