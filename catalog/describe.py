@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from catalog import query, r6, s6
 from catalog import fixtures as fx
@@ -44,19 +45,21 @@ def series_quantiles(spark, sf):
     return _quantile_columns(quantiles.exact_quantiles(fx.long_series(spark, sf), ["station", "feature"], _q))
 
 
-@query("series_quantiles_ranked",
-       f"WITH {fx.LONG_CTE} SELECT station, feature, count(*) AS cnt, {_qsql} FROM long GROUP BY ALL")
+@query("series_quantiles_ranked", f"""WITH {fx.LONG_CTE}, k AS (
+  SELECT CASE WHEN station <> 'ST/00003' THEN station END AS station, feature, value FROM long)
+  SELECT station, feature, count(*) AS cnt, {_qsql} FROM k GROUP BY ALL""")
 def series_quantiles_ranked(spark, sf):
-    """The same quantiles through range-partitioned ranks, for groups with many distinct values."""
-    rows = fx.long_series(spark, sf)
+    """The same quantiles with every larger group narrowed first; one group has a null key."""
+    rows = fx.long_series(spark, sf).withColumn("station", F.nullif("station", F.lit("ST/00003")))
     return _quantile_columns(quantiles.exact_quantiles(
-        rows, ["station", "feature"], _q, group_values=max(40, rows.count() // 200)))
+        rows, ["station", "feature"], _q, group_values=max(40, rows.count() // 2000)))
 
 
 @query("global_quantiles_ranked", f"WITH {fx.TYPED_CTE} {_per_feature(', '.join(s6('quantile_cont({c}, ' + str(p) + ')') + f' AS q{int(p * 100)}' for p in _q))}")
 def global_quantiles_ranked(spark, sf):
+    """Quantiles of whole columns, narrowed over several rounds."""
     rows = to_long(fx.typed(spark, sf), [], fx.FEATURES)
-    out = quantiles.exact_quantiles(rows, ["feature"], _q, group_values=max(8, rows.count() // 800))
+    out = quantiles.exact_quantiles(rows, ["feature"], _q, group_values=max(8, rows.count() // 8000))
     return out.select("feature", *[r6(F.col("q")[i]).alias(f"q{int(p * 100)}") for i, p in enumerate(_q)])
 
 
@@ -108,16 +111,19 @@ def histogram_auto_bins(spark, sf):
   {" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM typed WHERE {c} IS NOT NULL" for c in fx.FEATURES)}),
   r AS (SELECT feature, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2e0) AS h
         FROM u GROUP BY feature),
-  c AS (SELECT feature, least(floor((v - lo) / (hi - lo) * 1000), 999) AS bin, count(*) AS m
-        FROM u JOIN r USING (feature) GROUP BY ALL),
-  p AS (SELECT feature, unnest(range(200)) AS point FROM r)
-  SELECT feature, CAST(point AS INTEGER) AS point, {s6('any_value(lo + point * (hi - lo) / 199e0)')} AS x,
-  {s6('sum(m * exp(-0.5e0 * pow((lo + point * (hi - lo) / 199e0 - (lo + (bin + 0.5e0) * (hi - lo) / 1000e0)) / h, 2)))'
-      ' / any_value(n * h * sqrt(2 * pi()))')} AS density
-  FROM r JOIN c USING (feature) JOIN p USING (feature) GROUP BY feature, point""")
+  c AS (SELECT feature, v, count(*) AS m FROM u GROUP BY ALL),
+  p AS (SELECT *, lo + point * (hi - lo) / 199e0 AS x FROM (SELECT *, unnest(range(200)) AS point FROM r)),
+  d AS (SELECT p.feature, point, any_value(x) AS x, any_value(hi - lo) AS span,
+    sum(m * exp(-0.5e0 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())) AS density
+    FROM p JOIN c USING (feature) GROUP BY p.feature, point)
+  SELECT feature, CAST(point AS INTEGER) AS point, {s6('x')} AS x, {s6('density')} AS density,
+  {s6('density * span', 7)} AS scaled FROM d""")
 def density_curve(spark, sf):
+    """Against the kernel summed over every value, as density and in units of the feature's range."""
     out = stats.density(fx.typed(spark, sf), fx.FEATURES)
-    return out.withColumns({"x": r6("x"), "density": r6("density")})
+    span = F.max("x").over(W.partitionBy("feature")) - F.min("x").over(W.partitionBy("feature"))  # 200 points
+    out = out.withColumn("scaled", F.col("density") * span)
+    return out.withColumns({"x": r6("x"), "density": r6("density"), "scaled": r6("scaled", 7)})
 
 
 @query("box_statistics", f"""WITH {fx.TYPED_CTE}, q AS ({_per_feature(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.series import BLOCK, largest_group, ordered_blocks
+from tidemark.operators.series import same
 from tidemark.scratch import materialize
 
-MAX_GROUP_VALUES = 1_000_000
+MAX_GROUP_VALUES = 100_000
+CELLS = 1024
 
 
 def exact_quantiles(
@@ -22,53 +23,79 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: keys, ``q`` (array in probs order), ``cnt``.
 
-    Equal values collapse into a (value, count) table before anything is grouped.
-    Groups with few distinct values then use the built-in aggregate; otherwise
-    the table is range-partitioned and the wanted ranks are looked up in the
-    few blocks that hold them.
+    Every wanted rank is narrowed to a range of values: a range that holds more
+    than ``group_values`` rows and two values or more is cut into cells, the
+    rows per cell are counted with map-side combining, and only cells that hold
+    a wanted rank go on. Ranges shrink to the values in their cell each time.
+    The rows inside the last ranges are then counted by value and ranked. Groups
+    that are small from the start skip the narrowing. Null keys are a group.
     """
-    counts = materialize(
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")), "values")
-    if largest_group(counts, keys) <= group_values:
-        return counts.groupBy(*keys).agg(
-            F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("q"),
-            F.sum("_n").alias("cnt"),
-        )
-    return _ranked(counts, keys, probs, value, group_values)
-
-
-def _ranked(counts: DataFrame, keys: list[str], probs: list[float], value: str, rows: int) -> DataFrame:
-    blocks = ordered_blocks(counts, keys, [F.col(value).asc()], rows)
-    series = W.partitionBy(*keys)
-    before = series.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    summary = blocks.groupBy(*keys, BLOCK).agg(F.sum("_n").alias("_rows")).withColumns({
-        "_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
-        "cnt": F.sum("_rows").over(series),
-    })
-    p = F.array(*[F.lit(float(x)) for x in probs])
-    at = F.transform(p, lambda x: x * (F.col("cnt") - 1))
-    ranks = F.array_distinct(F.flatten(F.transform(
-        at, lambda a: F.array(F.floor(a).cast("long"), F.ceil(a).cast("long")))))
-    inside = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")))
-    wanted = summary.withColumn("_ranks", inside).where(F.size("_ranks") > 0)
-    hits = blocks.join(wanted.drop("_rows"), [*keys, BLOCK])
-    running = W.partitionBy(*keys, BLOCK).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    upto = hits.withColumn("_upto", F.col("_before") + F.sum("_n").over(running))
-    picked = upto.withColumn(
-        "_rank",
-        F.explode(F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))))
-    table = picked.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_at"),
-        F.max("cnt").alias("cnt"),
-    )
-
-    def interpolate(x):
-        a = x * (F.col("cnt") - 1)
-        lo = F.element_at("_at", F.floor(a).cast("long"))
-        hi = F.element_at("_at", F.ceil(a).cast("long"))
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    rows = df.where(F.col(value).isNotNull()).select(
+        *[F.col(k).alias(n) for k, n in names.items()], F.col(value).cast("double").alias("_v"))
+    by = list(names.values())
+    whole = rows.groupBy(*by).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    ranges = materialize(whole.withColumns({"_before": F.lit(0).cast("long"), "cnt": F.col("_n")}), "ranges")
+    done = _open(ranges, group_values, False)
+    while not (wide := _open(ranges, group_values, True)).isEmpty():
+        ranges = materialize(_narrowed(rows, wide, by, probs), "ranges")
+        done = done.unionByName(_open(ranges, group_values, False))
+    picked = _values_at_ranks(rows, done, by, probs)
+    ranks = picked.groupBy(*by).agg(
+        F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_at"), F.max("cnt").alias("cnt"))
+
+    def interpolate(p: Column) -> Column:
+        a = p * (F.col("cnt") - 1)
+        lo, hi = (F.element_at("_at", f(a).cast("long")) for f in (F.floor, F.ceil))
         return lo + (hi - lo) * (a - F.floor(a))
 
-    return table.select(*keys, F.transform(p, interpolate).alias("q"), "cnt")
+    q = F.transform(F.array(*[F.lit(float(p)) for p in probs]), interpolate)
+    return ranks.select(*[F.col(n).alias(k) for k, n in names.items()], q.alias("q"), "cnt")
+
+
+def _open(ranges: DataFrame, limit: int, wide: bool) -> DataFrame:
+    too_full = (F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))
+    return ranges.where(too_full if wide else ~too_full)
+
+
+def _wanted_ranks(probs: list[float]) -> Column:
+    """The ranks next to each quantile, at most two per probability."""
+    at = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: p * (F.col("cnt") - 1))
+    both = F.transform(at, lambda a: F.array(F.floor(a).cast("long"), F.ceil(a).cast("long")))
+    return F.array_distinct(F.flatten(both))
+
+
+def _inside(rows: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """Rows next to the range of their group that holds them; ranges of a group do not overlap."""
+    here = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    if not by:
+        return rows.withColumn("_one", F.lit(1)).join(ranges.withColumn("_one", F.lit(1)), "_one").where(here).drop("_one")
+    joined = rows.join(ranges, same(rows, ranges, by) & here)
+    return joined.select(*[rows[c] for c in rows.columns], *[ranges[c] for c in ranges.columns if c not in by])
+
+
+def _narrowed(rows: DataFrame, ranges: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Cells of the ranges that hold a wanted rank, as ranges of their own."""
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
+    cells = _inside(rows, ranges, by).groupBy(*by, F.col("_before").alias("_base"), "cnt", cell.alias("_cell")).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*by, "_base").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    placed = cells.withColumn("_before", before.cast("long"))
+    held = F.exists(_wanted_ranks(probs), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    return placed.where(held).select(*by, "_lo", "_hi", "_n", "_before", "cnt")
+
+
+def _values_at_ranks(rows: DataFrame, ranges: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """(group, rank, value) for the wanted ranks; equal values count as one row."""
+    counted = _inside(rows, ranges, by).groupBy(*by, "_before", "cnt", "_v").agg(F.count(F.lit(1)).alias("_same"))
+    upto = F.col("_before") + F.sum("_same").over(
+        W.partitionBy(*by, "_before").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.withColumn("_upto", upto)
+    hit = F.filter(_wanted_ranks(probs), lambda r: (r >= F.col("_upto") - F.col("_same")) & (r < F.col("_upto")))
+    return ranked.select(*by, "cnt", "_v", F.explode(hit).alias("_rank"))
 
 
 def feature_quantiles(df: DataFrame, features: list[str], probs: list[float], **kw) -> dict[str, list[float]]:

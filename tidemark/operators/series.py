@@ -14,15 +14,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tidemark.schema import Layout
 from tidemark.scratch import materialize, max_group_rows
 
 BLOCK = "_block"
+MAX_BLOCKS = 20_000
 
 
-def time_order(layout: Layout) -> list[Column]:
-    return [F.col(layout.time).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in layout.ties]]
+def time_order(layout: Layout, df: DataFrame | None = None) -> list[Column]:
+    """Time, then the tie columns; without any, then every other column of ``df``.
+
+    The order is total up to rows that are equal in all columns, so no result
+    depends on how rows arrive.
+    """
+    ties = layout.ties
+    if not ties and df is not None:
+        ties = [f.name for f in df.schema if f.name not in (layout.station, layout.time)
+                and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.col(layout.time).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]]
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -37,12 +48,23 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[Column], rows: in
     The result is written to shared storage because range bounds come from a
     sample: evaluating the plan twice could cut the blocks differently.
     """
-    blocks = max(2, -(-df.count() // rows))
+    blocks = max(2, min(-(-df.count() // rows), MAX_BLOCKS))
     sort_keys = [F.col(k).asc() for k in keys]
     spread = df.repartitionByRange(blocks, *sort_keys, *order)
     return materialize(spread.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
+def by_size(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of groups above ``limit`` or None, the other rows).
+
+    Above the limit there are at most rows / limit groups.
+    """
+    large = materialize(df.groupBy(*keys).count().where(F.col("count") > limit).drop("count"), "large-groups")
+    if large.isEmpty():
+        return None, df
+    return df.join(large, same(df, large, keys), "left_semi"), df.join(large, same(df, large, keys), "left_anti")
+
+
 def same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
@@ -58,12 +80,20 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in its series and the series length."""
     limit = max_group_rows(df.sparkSession, group_rows)
-    if largest_group(df, keys) <= limit:
-        whole = W.partitionBy(*keys)
-        return df.withColumns({
-            pos: (F.row_number().over(whole.orderBy(*order)) - 1).cast("long"),
-            total: F.count(F.lit(1)).over(whole),
-        })
+    if not keys:  # one group: always by range partitions
+        return _position_blocks(df, keys, order, pos, total, limit)
+    large, rest = by_size(df, keys, limit)
+    whole = W.partitionBy(*keys)
+    placed = rest.withColumns({
+        pos: (F.row_number().over(whole.orderBy(*order)) - 1).cast("long"),
+        total: F.count(F.lit(1)).over(whole),
+    })
+    if large is None:
+        return placed
+    return placed.unionByName(_position_blocks(large, keys, order, pos, total, limit))
+
+
+def _position_blocks(df: DataFrame, keys: list[str], order: list[Column], pos: str, total: str, limit: int) -> DataFrame:
     blocks = ordered_blocks(df, keys, order, limit)
     in_block = W.partitionBy(*keys, BLOCK).orderBy(*order)
     series = W.partitionBy(*keys)
@@ -136,15 +166,15 @@ def fill_series(df: DataFrame, layout: Layout, *, group_rows: int | None = None)
     features, station = layout.available(df), layout.station
     known = df.where(F.col(station).isNotNull())
     limit = max_group_rows(df.sparkSession, group_rows)
-    if largest_group(known, [station]) <= limit:
-        filled = _fill_whole(known, layout, features)
-    else:
-        filled = _fill_blocks(known, layout, features, limit)
+    large, rest = by_size(known, [station], limit)
+    filled = _fill_whole(rest, layout, features)
+    if large is not None:
+        filled = filled.unionByName(_fill_blocks(large, layout, features, limit))
     return filled.unionByName(df.where(F.col(station).isNull()))
 
 
 def _fill_whole(df: DataFrame, layout: Layout, features: list[str]) -> DataFrame:
-    w = W.partitionBy(layout.station).orderBy(*time_order(layout))
+    w = W.partitionBy(layout.station).orderBy(*time_order(layout, df))
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return df.withColumns({
@@ -153,8 +183,9 @@ def _fill_whole(df: DataFrame, layout: Layout, features: list[str]) -> DataFrame
 
 def _fill_blocks(df: DataFrame, layout: Layout, features: list[str], limit: int) -> DataFrame:
     station = layout.station
-    blocks = ordered_blocks(df, [station], time_order(layout), limit)
-    in_block = W.partitionBy(station, BLOCK).orderBy(*time_order(layout))
+    order = time_order(layout, df)
+    blocks = ordered_blocks(df, [station], order, limit)
+    in_block = W.partitionBy(station, BLOCK).orderBy(*order)
     ranked = blocks.withColumn("_rank", F.row_number().over(in_block))
     edges = ranked.groupBy(station, BLOCK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_rank"))).alias(f"_last_{c}") for c in features],
@@ -186,7 +217,7 @@ def split_series(
 ) -> DataFrame:
     """Chronological train / val / test label per station; null stations are dropped."""
     known = df.where(F.col(layout.station).isNotNull())
-    placed = with_position(known, [layout.station], time_order(layout), group_rows=group_rows)
+    placed = with_position(known, [layout.station], time_order(layout, df), group_rows=group_rows)
     return label_splits(placed, train=train, val=val)
 
 
@@ -261,18 +292,19 @@ def stations_in_all_splits(df: DataFrame, station: str = "station") -> DataFrame
     )
 
 
+def split_rows(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series: rows in all, in train and in val, counted from the split column."""
+    return long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("split") == s).alias(f"rows_{s}") for s in ("train", "val")])
+
+
 def split_positions(long: DataFrame) -> DataFrame:
     """Position inside the split (``split_pos``) and length of the split (``split_n``).
 
-    Split lengths come from ``rows_train`` and ``rows_val`` where present, else
-    from the default ratios of a gap-free series.
+    Split lengths are ``rows_train`` and ``rows_val``, the rest is the test split.
     """
-    if "rows_train" in long.columns:
-        train_end = F.col("rows_train")
-        val_end = train_end + F.col("rows_val")
-    else:
-        train_end = F.floor(F.col("n") * F.lit(0.8))
-        val_end = train_end + F.floor(F.col("n") * F.lit(0.1))
+    train_end = F.col("rows_train")
+    val_end = train_end + F.col("rows_val")
     start = F.when(F.col("split") == "train", F.lit(0)).when(F.col("split") == "val", train_end).otherwise(val_end)
     end = F.when(F.col("split") == "train", train_end).when(F.col("split") == "val", val_end).otherwise(F.col("n"))
     return long.withColumns({"split_pos": (F.col("pos") - start).cast("long"), "split_n": (end - start).cast("long")})
@@ -292,8 +324,12 @@ def supervised_frame(
     """Model samples: ``x1`` (latest) … ``x{lookback}`` and targets ``y1`` … ``y{horizon}``.
 
     A sample stays inside its split; ``carry_context`` lets the inputs (never
-    the targets) reach back into the split before.
+    the targets) reach back into the split before. ``long`` has gap-free
+    positions; splits may have any lengths. ``attach`` holds one row per wanted
+    series with ``n``, ``rows_train`` and ``rows_val``.
     """
+    if attach is None:
+        attach = split_rows(long, keys)
     shifts = {f"x{k}": (value, k) for k in range(1, lookback + 1)}
     shifts |= {f"y{k}": (value, 1 - k) for k in range(2, horizon + 1)}
     frame = lagged(long, keys, shifts, group_rows=group_rows, attach=attach).withColumn("y1", F.col(value))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, log2
+from math import ceil, factorial, log2
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,27 +145,56 @@ def histogram(
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def density(df: DataFrame, features: list[str], *, grid: int = 200, cells: int = 1000) -> DataFrame:
+CELLS_PER_BANDWIDTH = 40
+KERNEL_TERMS = 6
+KERNEL_REACH = 9.0
+
+
+def density(df: DataFrame, features: list[str], *, grid: int = 200) -> DataFrame:
     """Gaussian kernel density on ``grid`` points between min and max, Scott bandwidth.
 
-    Values are counted into ``cells`` narrow cells first, so the kernel is
-    evaluated cells x grid times whatever the number of rows.
+    Values are counted into cells of a fortieth of their feature's bandwidth, with
+    the power sums of their distance from the cell's centre. The kernel is
+    expanded around the centre in those sums, so a point differs from the direct
+    sum over all values by less than 1e-12 of the kernel's peak, whatever the
+    range. A cell meets the grid points within nine bandwidths only, beyond
+    which the kernel is below 1e-17.
     """
+    from tidemark.operators.series import to_long
+
     ranges = {f: r for f, r in _ranges(df, features).items() if r["sd"]}
     if not ranges:
         return df.sparkSession.createDataFrame([], "feature string, point int, x double, density double")
-    occupied = _feature_bins(df, ranges, {f: cells for f in ranges})
-    lo, hi, n, h = (_lookup(t) for t in (
+    lo, hi, n, h = (_lookup(t).cast("double") for t in (
         {f: r["lo"] for f, r in ranges.items()}, {f: r["hi"] for f, r in ranges.items()},
         {f: float(r["n"]) for f, r in ranges.items()},
         {f: r["sd"] * r["n"] ** -0.2 for f, r in ranges.items()}))
-    centre = lo + (F.col("bin") + 0.5) * (hi - lo) / F.lit(float(cells))
-    x = lo + F.col("point") * (hi - lo) / F.lit(float(grid - 1))
-    points = occupied.withColumn("c", centre).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    z = (x - F.col("c")) / h
-    bumps = points.groupBy("feature", "point").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("s"))
-    return bumps.select(
-        "feature", "point", x.alias("x"), (F.col("s") / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
+    place = (F.col("value") - lo) / h
+    cell = F.floor(place * CELLS_PER_BANDWIDTH)
+    off = place - (F.col("cell") + 0.5) / CELLS_PER_BANDWIDTH
+    long = to_long(df, [], list(ranges)).withColumn("cell", cell)
+    moments = long.withColumn("off", off).groupBy("feature", "cell").agg(*[
+        F.sum(reduce(mul, [F.col("off")] * k, F.lit(1.0))).alias(f"m{k}") for k in range(KERNEL_TERMS)])
+    centre = lo + (F.col("cell") + 0.5) / CELLS_PER_BANDWIDTH * h
+    step = (hi - lo) / F.lit(float(grid - 1))
+    near = [F.greatest(F.lit(0.0), F.ceil((centre - KERNEL_REACH * h - lo) / step)).cast("int"),
+            F.least(F.lit(float(grid - 1)), F.floor((centre + KERNEL_REACH * h - lo) / step)).cast("int")]
+    met = moments.withColumns({"first": near[0], "last": near[1]}).where("first <= last")
+    points = met.withColumn("point", F.explode(F.sequence("first", "last")))
+    x = lo + F.col("point") * step
+    z = (x - centre) / h
+    # Derivatives of the kernel: Hermite polynomials by their recurrence.
+    hermite = [F.lit(1.0), F.col("z")]
+    for k in range(1, KERNEL_TERMS - 1):
+        hermite.append(F.col("z") * hermite[k] - k * hermite[k - 1])
+    term = sum((hermite[k] * F.col(f"m{k}") / float(factorial(k)) for k in range(1, KERNEL_TERMS)), F.col("m0"))
+    summed = points.withColumn("z", z).groupBy("feature", "point").agg(
+        F.sum(F.exp(-0.5 * F.col("z") * F.col("z")) * term).alias("s"))
+    everywhere = df.sparkSession.range(grid).select(
+        F.explode(F.array(*[F.lit(f) for f in ranges])).alias("feature"), F.col("id").cast("int").alias("point"))
+    return everywhere.join(summed, ["feature", "point"], "left").select(
+        "feature", "point", x.alias("x"),
+        (F.coalesce("s", F.lit(0.0)) / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
 
 
 def box_stats(df: DataFrame, features: list[str], *, group_values: int = MAX_GROUP_VALUES) -> DataFrame:

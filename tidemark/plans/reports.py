@@ -59,7 +59,7 @@ def trimmed_series(long: DataFrame, layout: Layout, **kw) -> DataFrame:
 def series_trends(long: DataFrame, layout: Layout, **kw) -> DataFrame:
     """Mean and straight-line trend of every trimmed series."""
     return stats.trend_lines(
-        trimmed_series(long, layout, **kw), [layout.station, "feature"], time_order(layout))
+        trimmed_series(long, layout, **kw), [layout.station, "feature"], time_order(layout, long.drop("pos", "n")))
 
 
 def station_availability(df: DataFrame, names: DataFrame, layout: Layout) -> DataFrame:

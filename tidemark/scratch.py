@@ -56,9 +56,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for costly per-row work: what the session shuffles into, one per core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def balance(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread a small per-series table over all cores before costly per-row work.
+    """Spread a small per-series table over the shuffle's width before costly per-row work.
 
     Adaptive execution would otherwise merge it into a few partitions by size.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(width(df.sparkSession), *keys)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when its results have been read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidemark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
