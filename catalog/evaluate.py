@@ -163,15 +163,17 @@ _best = """one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stat
   ORDER BY contains(model_type, 'Step'), model_type DESC) AS r FROM metrics) WHERE r = 1)"""
 
 
-@query("metrics_lookup", f"""WITH {METRICS_CTE}, {_best}
-  SELECT station, feature, count(*) AS models, {s6('max(RMSE) FILTER (WHERE model = $$persist_steps$$)')} AS steps_rmse,
-  {s6('max(R2) FILTER (WHERE model = $$ma3$$)')} AS ma3_r2 FROM one GROUP BY ALL""")
+_models = ("persist", "ma3", "persist_steps")
+
+
+@query("metrics_lookup", f"""WITH {METRICS_CTE}, {_best} SELECT station, feature, count(*) AS models,
+  {', '.join(s6(f"max({x}) FILTER (WHERE model = '{k}')") + f' AS {k}_{x}' for k in _models for x in METRICS)}
+  FROM one GROUP BY ALL""")
 def metrics_lookup(spark, sf):
     found = reports.metrics_lookup(metrics(spark, sf))
     return found.select(
         *KEYS, F.size("scores").cast("long").alias("models"),
-        r6(F.col("scores")["persist_steps"]["RMSE"]).alias("steps_rmse"),
-        r6(F.col("scores")["ma3"]["R2"]).alias("ma3_r2"))
+        *[r6(F.col("scores")[k][x]).alias(f"{k}_{x}") for k in _models for x in METRICS])
 
 
 @query("metrics_text", f"""WITH {METRICS_CTE}, {_best}
@@ -183,14 +185,17 @@ def metrics_text(spark, sf):
 
 
 @query("train_test_overlay", f"""WITH {METRICS_CTE}, {_best}, s AS (SELECT station FROM splits GROUP BY station
-    HAVING count(DISTINCT split) = 3 ORDER BY station LIMIT 5)
-  SELECT l.station, l.feature, obs_time, pos, split, value, {s6('o.RMSE')} AS ma3_rmse
-  FROM long l JOIN s USING (station) LEFT JOIN one o ON o.station = l.station AND o.feature = l.feature
-   AND o.model = 'ma3' WHERE split IN ('train', 'test')""")
+    HAVING count(DISTINCT split) = 3 ORDER BY station LIMIT 5),
+  o AS (SELECT station, feature, {', '.join(s6(f"max({x}) FILTER (WHERE model = '{k}')") + f' AS {k}_{x}' for k in _models for x in METRICS)}
+    FROM one GROUP BY ALL)
+  SELECT l.station, l.feature, obs_time, pos, split, value, o.* EXCLUDE (station, feature)
+  FROM long l JOIN s USING (station) LEFT JOIN o ON o.station = l.station AND o.feature = l.feature
+  WHERE split IN ('train', 'test')""")
 def train_test_overlay(spark, sf):
     out = reports.overlay(fx.splits(spark, sf), metrics(spark, sf), fx.LAYOUT)
     return out.select(
-        *KEYS, "obs_time", "pos", "split", "value", r6(F.col("scores")["ma3"]["RMSE"]).alias("ma3_rmse"))
+        *KEYS, "obs_time", "pos", "split", "value",
+        *[r6(F.col("scores")[k][x]).alias(f"{k}_{x}") for k in _models for x in METRICS])
 
 
 @query("forecast_by_time", f"""WITH {METRICS_CTE} SELECT station, feature, pos, obs_time, {s6('actual')} AS actual,
@@ -314,23 +319,41 @@ def clean_round_trip_csv(spark, sf):
     return _clean_round_trip(spark, sf, "csv")
 
 
-@query("splits_round_trip", f"WITH {fx.SPLIT_CTE} SELECT station, split, pos, obs_time, f_qty FROM splits")
+@query("splits_round_trip", f"WITH {fx.SPLIT_CTE} SELECT {_clean_columns}, pos, n, split FROM splits")
 def splits_round_trip(spark, sf):
     df = fx.splits(spark, sf)
     path = scratch_path(spark, "splits")
     tables.write_splits(df, path)
-    return tables.read_splits(spark, path, df.schema).select("station", "split", "pos", "obs_time", "f_qty")
+    return tables.read_splits(spark, path, df.schema).select(df.columns)
+
+
+_means = ", ".join(f"{s6(f'avg({c})')} AS {c}" for c in fx.FEATURES)
 
 
 @query("splits_round_trip_by_station", f"""WITH {fx.SPLIT_CTE}
-  SELECT station, split, count(*) AS n, {s6('avg(f_price)')} AS mean FROM splits GROUP BY ALL""")
+  SELECT station, split, count(*) AS n, min(pos) AS first, max(pos) AS last, {_means} FROM splits GROUP BY ALL""")
 def splits_round_trip_by_station(spark, sf):
     """One directory per (split, station); names with a slash survive."""
     df = fx.splits(spark, sf)
     path = scratch_path(spark, "splits-by-station")
     tables.write_splits(df, path, by_station=True)
     back = tables.read_splits(spark, path, df.schema)
-    return back.groupBy("station", "split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("f_price")).alias("mean"))
+    return back.groupBy("station", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"),
+        *[r6(F.avg(c)).alias(c) for c in fx.FEATURES])
+
+
+@query("split_station_files", f"""WITH {fx.SPLIT_CTE}
+  SELECT translate(station, '/', '_') AS station, split, pos, n, obs_time, {', '.join(fx.FEATURES)} FROM splits""")
+def split_station_files(spark, sf):
+    """One file per split and station, columns in another order in one split, read back by header."""
+    df = fx.splits(spark, sf)
+    columns = ["pos", "n", "obs_time", *fx.FEATURES]
+    path = scratch_path(spark, "station-files")
+    for split, order in (("train", columns), ("val", columns[::-1]), ("test", columns)):
+        part = df.where(F.col("split") == split).withColumn("file", F.concat(parsing.safe_key(F.col("station")), F.lit(".csv")))
+        part.select("file", *order).repartition("file").write.option("header", True).partitionBy("file").csv(f"{path}/{split}")
+    return tables.read_station_files(spark, path, T.StructType([df.schema[c] for c in columns]))
 
 
 _metric_columns = f"station, feature, model, model_type, CAST(step AS INTEGER) AS step, {_four}"
@@ -349,8 +372,12 @@ def metrics_files(spark, sf):
     path = scratch_path(spark, "metrics-files")
     for name in ("persist", "ma3", "persist_steps"):
         family = metrics(spark, sf).where(F.col("model") == name).drop("model")
-        tables.write_table(family if name == "persist_steps" else family.drop("step"),
-                           f"{path}/{name}_metrics.csv", fmt="csv")
+        own = family if name == "persist_steps" else family.drop("step")
+        # Two files of one family with their columns in opposite order.
+        halves = [own.where(F.col("station") < "ST/00050"), own.where(F.col("station") >= "ST/00050")]
+        tables.write_table(halves[0], f"{path}/{name}_metrics.csv", fmt="csv")
+        halves[1].select(halves[1].columns[::-1]).write.mode("append").option("header", True).csv(
+            f"{path}/{name}_metrics.csv")
     tables.write_table(reports.model_comparison(metrics(spark, sf)), f"{path}/model_comparison.csv", fmt="csv")
     return _round(tables.read_metrics_files(spark, f"{path}/*.csv")).drop("params")
 

@@ -9,7 +9,8 @@ from catalog import query, r6, s6
 from catalog.prepare import rows_per_block
 from tidemark.operators import learners, linear, metrics as m
 from tidemark.plans import forecast
-from tidemark.scratch import scratch_path
+from tidemark.operators.series import floors
+from tidemark.scratch import materialize, scratch_path
 
 KEYS = ["station", "feature"]
 
@@ -82,11 +83,11 @@ def ar1_metrics(spark, sf):
 @query("ar1_one_step", f"""WITH {_ar1}, a AS (SELECT station, feature, pos, value,
     lag(value) OVER (PARTITION BY station, feature ORDER BY pos) AS x FROM long)
   SELECT station, feature, pos, {s6('c0 + phi * x', 3)} AS linear, {s6('value - c0 - phi * x', 3)} AS error
-  FROM a JOIN f USING (station, feature) WHERE pos >= 12""")
+  FROM a JOIN f USING (station, feature) WHERE pos >= 1""")
 def ar1_one_step(spark, sf):
     """One-step predictions and residuals of the fitted autoregression on every reading."""
     long, models = _linear(spark, sf, [linear.Order(1, 0, 0)])
-    out = linear.one_step_errors(long, models, KEYS).where("pos >= 12")
+    out = linear.one_step_errors(long, models, KEYS).where("linear is not null")
     return out.select(*KEYS, "pos", r6("linear", 3).alias("linear"), r6("error", 3).alias("error"))
 
 
@@ -134,7 +135,7 @@ def sequence_one_step(spark, sf):
 
 @query("sequence_multi_step")
 def sequence_multi_step(spark, sf):
-    return learners.multi_step(_long(spark, sf), KEYS, "cnn_gru_attention", learners.ridge(), 5)[0]
+    return learners.ridge_steps(_long(spark, sf), KEYS, "cnn_gru_attention", 5)[0]
 
 
 @query("hybrid_forecast")
@@ -158,20 +159,22 @@ def forecast_run_status(spark, sf):
     return forecast.forecast(splits, fx.SHORT, ["arima", "cnn_gru_attention"], top_n=None).status
 
 
+_inputs = [f"x{k}" for k in range(1, 13)]
 _scaled = f"""{fx.LONG_CTE}, s AS (SELECT station, feature, avg(value) FILTER (WHERE split = 'train') AS center,
     stddev_samp(value) FILTER (WHERE split = 'train') AS scale FROM long GROUP BY ALL),
   w AS (SELECT station, feature, split, pos, value,
     row_number() OVER (PARTITION BY station, feature, split ORDER BY pos) - 1 AS sp,
-    lag(value, 1) OVER v AS x1, lag(value, 12) OVER v AS x12 FROM long
+    {', '.join(f'lag(value, {k}) OVER v AS x{k}' for k in range(1, 13))} FROM long
     WINDOW v AS (PARTITION BY station, feature ORDER BY pos))
-  SELECT station, feature, split, pos, {s6('(value - center) / scale')} AS y1, {s6('(x1 - center) / scale')} AS x1,
-    {s6('(x12 - center) / scale')} AS x12 FROM w JOIN s USING (station, feature) WHERE sp >= 12"""
+  SELECT station, feature, split, pos, {s6('(value - center) / scale')} AS y1,
+    {', '.join(s6(f'({x} - center) / scale') + f' AS {x}' for x in _inputs)}
+  FROM w JOIN s USING (station, feature) WHERE sp >= 12"""
 
 
 @query("scaled_samples", f"WITH {_scaled}")
 def scaled_samples(spark, sf):
     out = learners.scaled_samples(_long(spark, sf), KEYS, "xgboost")
-    return out.select(*KEYS, "split", "pos", *[r6(c).alias(c) for c in ("y1", "x1", "x12")])
+    return out.select(*KEYS, "split", "pos", *[r6(c).alias(c) for c in ("y1", *_inputs)])
 
 
 @query("model_round_trip")
@@ -182,3 +185,112 @@ def model_round_trip(spark, sf):
     path = scratch_path(spark, "pooled-models")
     learners.save_models(fitted, path)
     return learners.predict_features(samples, learners.load_models(list(fitted), path)).select(*KEYS, "pos", "forecast")
+
+
+# ---- what SQL can say about the learned and searched forecasters -----------
+
+_cases = f"""{fx.LONG_CTE}, c AS (SELECT station, feature, count(*) FILTER (WHERE split = 'train') AS n_train,
+    count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test FROM long GROUP BY ALL),
+  w AS (SELECT station, feature, split, pos, value, row_number() OVER v - 1 AS sp, count(*) OVER (PARTITION BY station, feature, split) AS sn,
+    {', '.join(f'lead(value, {k}) OVER v AS a{k}' for k in range(1, 5))} FROM long
+    WINDOW v AS (PARTITION BY station, feature, split ORDER BY pos))"""
+
+
+def _floor(name: str, horizon: int = 5) -> str:
+    t, v, e = floors(name, horizon)
+    return f"n_train >= {t} AND n_val >= {v} AND n_test >= {e}"
+
+
+_outputs_sql = f"""WITH {_cases}, e AS (SELECT w.*, n_train, n_val, n_test FROM w JOIN c USING (station, feature) WHERE split = 'test'),
+  f AS (SELECT station, feature, pos, sp, n_test, value FROM e),
+  o AS (
+  SELECT 'boosted_trees' AS learner, station, feature, pos, 1 AS step, value AS actual FROM e WHERE sp >= 12 AND {_floor('xgboost')}
+  UNION ALL SELECT 'sequence_one_step', station, feature, pos, 1, value FROM e WHERE sp >= 12 AND {_floor('cnn_lstm')}
+  UNION ALL SELECT 'sequence_multi_step', station, feature, pos, step, CASE step WHEN 1 THEN value WHEN 2 THEN a1 WHEN 3 THEN a2 WHEN 4 THEN a3 ELSE a4 END
+    FROM e, (SELECT unnest(range(1, 6)) AS step) WHERE sp >= 12 AND sp + 5 <= sn AND {_floor('cnn_gru_attention')}
+  UNION ALL SELECT 'arima', station, feature, pos, sp + 1, value FROM e WHERE {_floor('arima')}
+  UNION ALL SELECT 'sarima', station, feature, pos, sp + 1, value FROM e WHERE {_floor('sarima')})
+  SELECT learner, station, feature, pos, CAST(step AS BIGINT) AS step, {s6('actual')} AS actual FROM o"""
+
+
+@query("forecast_outputs", _outputs_sql)
+def forecast_outputs(spark, sf):
+    """Which steps every forecaster gives and the actual value beside each; a missing forecast drops the row."""
+    parts = {
+        "boosted_trees": learners.one_step(_long(spark, sf), KEYS, "xgboost", learners.forest())[0],
+        "sequence_one_step": sequence_one_step(spark, sf), "sequence_multi_step": sequence_multi_step(spark, sf),
+        "arima": arima_forecast(spark, sf), "sarima": sarima_forecast(spark, sf)}
+    out = None
+    for name, df in parts.items():
+        step = F.col("step") if "step" in df.columns else F.lit(1)
+        one = df.where("forecast is not null").select(
+            F.lit(name).alias("learner"), *KEYS, "pos", step.cast("long").alias("step"), r6("actual").alias("actual"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("seasonal_ar1", f"""WITH {fx.LONG_CTE}, l AS (SELECT station, feature, value AS y,
+    lag(value, 12) OVER (PARTITION BY station, feature ORDER BY pos) AS x FROM long WHERE split <> 'test')
+  SELECT station, feature, {s6('regr_slope(y, x)')} AS phi FROM l WHERE x IS NOT NULL GROUP BY ALL""")
+def seasonal_ar1(spark, sf):
+    """One seasonal lag of twelve: the coefficient at lag 12, zero in between."""
+    _, models = _linear(spark, sf, [linear.Order(0, 0, 0, 1, 0, 12)], "sarima")
+    return models.where("status = 'ok'").select(*KEYS, r6(F.col("ar")[11]).alias("phi"))
+
+
+@query("hybrid_linear_part", f"""WITH {_ar1}, a AS (SELECT station, feature, pos, split, value,
+    lag(value) OVER (PARTITION BY station, feature ORDER BY pos) AS x,
+    row_number() OVER (PARTITION BY station, feature, split ORDER BY pos) - 1 AS sp FROM long)
+  SELECT station, feature, pos, {s6('value')} AS actual, {s6('c0 + phi * x', 3)} AS linear, true AS adds_up
+  FROM a JOIN f USING (station, feature) WHERE split = 'test' AND sp >= 12""")
+def hybrid_linear_part(spark, sf):
+    """Linear part of the hybrid for a first-order autoregression; both parts add up to the forecast."""
+    long, models = _linear(spark, sf, [linear.Order(1, 0, 0)], "arima_ann")
+    out = learners.hybrid(long, KEYS, materialize(models, "ar1"), learners.forest())[0]
+    adds = F.abs(F.col("linear") + F.col("residual") - F.col("forecast")) < 1e-9
+    return out.select(*KEYS, "pos", r6("actual").alias("actual"), r6("linear", 3).alias("linear"), adds.alias("adds_up"))
+
+
+@query("forecast_run_consistency", "SELECT model, true AS same FROM (VALUES ('arima'), ('cnn_gru_attention'), ('cnn_lstm')) t(model)")
+def forecast_run_consistency(spark, sf):
+    """Scores of a run, worked out again from the run's forecasts."""
+    run = forecast.forecast(fx.splits(spark, sf), fx.LAYOUT, ["arima", "cnn_gru_attention", "cnn_lstm"], top_n=3, horizon=5)
+    out = None
+    for name, rows in run.forecasts.items():
+        keys = [*KEYS, "step"] if name == "cnn_gru_attention" else KEYS
+        again = rows.groupBy(*keys).agg(F.sqrt(F.avg((F.col("actual") - F.col("forecast")) ** 2)).alias("again"))
+        scores = run.metrics[name].withColumn("step", F.regexp_extract("model_type", "Step([0-9]+)", 1).try_cast("int"))
+        both = scores.where("step is not null" if name == "cnn_gru_attention" else "true").select(*keys, "RMSE").join(again, keys, "full")
+        close = F.coalesce(F.abs(F.col("RMSE") - F.col("again")) <= 1e-9 * (1 + F.col("again")), F.lit(False))
+        one = both.agg(F.bool_and(close).alias("same")).select(F.lit(name).alias("model"), "same")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("saved_models_agree", """SELECT model, true AS same FROM
+  (VALUES ('arima'), ('arima_ann'), ('cnn_gru_attention'), ('cnn_lstm'), ('xgboost')) t(model)""")
+def saved_models_agree(spark, sf):
+    """Every family saved, loaded and applied: the same forecasts as before."""
+    names = ["arima", "arima_ann", "cnn_gru_attention", "cnn_lstm", "xgboost"]
+    splits = forecast.restrict(fx.splits(spark, sf), fx.LAYOUT, 2)
+    run = forecast.forecast(splits, fx.LAYOUT, names, top_n=None, features=["f_price"])
+    path, out = scratch_path(spark, "run-models"), None
+    forecast.save_fitted(run.fitted, path)
+    loaded = forecast.load_fitted(spark, names, ["f_price"], path)
+    long = materialize(forecast.series_of(splits, fx.LAYOUT, ["f_price"]), "series")
+    for name in names:
+        again = forecast.apply_fitted(name, loaded[name], long)
+        keys = [*KEYS, "pos", *(["step"] if "step" in again.columns and "step" in run.forecasts[name].columns else [])]
+        before = run.forecasts[name].select(*keys, "forecast")
+        both = before.join(again.select(*keys, F.col("forecast").alias("again")), keys, "full")
+        close = F.coalesce(F.abs(F.col("forecast") - F.col("again")) < 1e-9, F.lit(False))
+        one = both.agg(F.bool_and(close).alias("same")).select(F.lit(name).alias("model"), "same")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("boosted_tree_tuning")
+def boosted_tree_tuning(spark, sf):
+    """Depth and rate of the boosted trees by error on the validation split, per feature."""
+    samples = learners.scaled_samples(_long(spark, sf), KEYS, "xgboost")
+    return learners.tuned_boosted(samples)[1]

@@ -142,12 +142,8 @@ def eligible_series(spark, sf):
     placed = series.split_series(fx.short_readings(spark, sf), fx.SHORT)
     long = series.to_long(placed, ["station", "split"], ["value"])
     models = [*series.FLOORS, "cnn_gru_attention"]
-    counts = materialize(series.split_counts(long), "split-counts")
-    parts = []
-    for m in models:
-        t, v, e = series.floors(m, 5)
-        parts.append(counts.where((F.col("n_train") >= t) & (F.col("n_val") >= v) & (F.col("n_test") >= e))
-                     .withColumn("model", F.lit(m)))
+    long = materialize(long, "split-values")
+    parts = [series.eligible_series(long, m, horizon=5).withColumn("model", F.lit(m)) for m in models]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -188,13 +184,58 @@ def supervised_frame_segments(spark, sf):
     return _supervised(spark, sf, rows_per_block(spark, sf))
 
 
-@query("lag_window_arrays", f"""WITH {fx.SPLIT_CTE}, w AS (SELECT station, pos,
-  {', '.join(f'lag(f_qty, {k}) OVER (PARTITION BY station ORDER BY pos) AS v{k}' for k in range(1, 13))} FROM splits)
-  SELECT station, pos, {s6('(' + '+'.join(f'v{k}' for k in range(1, 13)) + ')/12e0')} AS recent_mean
-  FROM w WHERE v12 IS NOT NULL""")
+_recent = ", ".join(
+    s6("(" + "+".join(f"lag({c}, {k}) OVER w" for k in range(1, 13)) + ")/12e0") + f" AS {c}" for c in fx.FEATURES)
+
+
+@query("lag_window_arrays", f"""WITH {fx.SPLIT_CTE}, w AS (SELECT station, pos, lag(pos, 12) OVER w AS first, {_recent}
+  FROM splits WINDOW w AS (PARTITION BY station ORDER BY pos))
+  SELECT station, pos, {_f} FROM w WHERE first IS NOT NULL""")
 def lag_window_arrays(spark, sf):
-    shifts = {f"v{k}": ("f_qty", k) for k in range(1, 13)}
-    lags = series.lagged(fx.splits(spark, sf).select("station", "pos", "f_qty"), ["station"], shifts)
-    window = F.array(*[F.col(f"v{k}") for k in range(1, 13)])
-    mean = F.aggregate(window, F.lit(0.0), lambda a, x: a + x) / 12.0
-    return lags.where("v12 is not null").select("station", "pos", r6(mean).alias("recent_mean"))
+    """Mean of the last twelve values of every feature."""
+    shifts = {f"{c}_{k}": (c, k) for c in fx.FEATURES for k in range(1, 13)}
+    lags = series.lagged(fx.splits(spark, sf).select("station", "pos", *fx.FEATURES), ["station"], shifts)
+
+    def mean(c):
+        return F.aggregate(F.array(*[F.col(f"{c}_{k}") for k in range(1, 13)]), F.lit(0.0), lambda a, x: a + x) / 12.0
+
+    return lags.where("pos >= 12").select("station", "pos", *[r6(mean(c)).alias(c) for c in fx.FEATURES])
+
+
+_ratio_order = "PARTITION BY station ORDER BY obs_time NULLS LAST, k1, k2, k3, k4"
+_ratio_sql = f"""WITH {fx.CLEAN_CTE}, g AS (SELECT * REPLACE (CASE WHEN k1 % 37 <> 0 THEN f_price END AS f_price)
+    FROM clean WHERE station IS NOT NULL),
+  p AS (SELECT *, row_number() OVER ({_ratio_order}) - 1 AS place, count(*) OVER (PARTITION BY station) AS n FROM g),
+  s AS (SELECT *, CASE WHEN place < floor(n * 0.6e0) THEN 'train'
+    WHEN place < floor(n * 0.6e0) + floor(n * 0.2e0) THEN 'val' ELSE 'test' END AS split FROM p),
+  long AS (SELECT station, 'f_price' AS feature, split, f_price AS value,
+    row_number() OVER (PARTITION BY station ORDER BY place) - 1 AS pos FROM s WHERE f_price IS NOT NULL),
+  w AS (SELECT *, row_number() OVER (PARTITION BY station, split ORDER BY pos) - 1 AS sp,
+    count(*) OVER (PARTITION BY station, split) AS sn,
+    {', '.join(f'lag(value, {k}) OVER (PARTITION BY station ORDER BY pos) AS x{k}' for k in range(1, 13))},
+    {', '.join(f'lead(value, {k - 1}) OVER (PARTITION BY station ORDER BY pos) AS y{k}' for k in range(1, 6))} FROM long)
+  SELECT station, feature, split, pos, {', '.join(f'x{k}' for k in range(1, 13))}, {', '.join(f'y{k}' for k in range(1, 6))}
+  FROM w WHERE sp >= 12 AND sp + 5 <= sn"""
+
+
+@query("supervised_frame_ratios", _ratio_sql)
+def supervised_frame_ratios(spark, sf):
+    """Samples under a 6:2:2 split of a column with missing values."""
+    from tidemark.plans.forecast import series_of
+
+    gaps = fx.clean(spark, sf).withColumn("f_price", F.when(F.col("k1") % 37 != 0, F.col("f_price")))
+    placed = series.split_series(gaps, fx.LAYOUT, train=0.6, val=0.2)
+    long = series_of(placed, fx.LAYOUT, ["f_price"])
+    frame = series.supervised_frame(long, ["station", "feature"], horizon=5)
+    xs = [f"x{k}" for k in range(1, 13)]
+    return frame.select("station", "feature", "split", "pos", *xs, *[f"y{k}" for k in range(1, 6)])
+
+
+_wanted = ["f_price", "f_disc", "absent"]
+
+
+@query("validate_columns", f"WITH {fx.CLEAN_CTE} SELECT station, f_price, f_disc FROM clean")
+def validate_columns(spark, sf):
+    """Required columns that exist, the missing one skipped."""
+    df = fx.clean(spark, sf)
+    return df.select("station", *series.validate_columns(df, _wanted, on_missing="skip"))

@@ -95,3 +95,19 @@ def unit_root_table(spark, sf):
     sums = lookup.keep_stations(lag_sums(spark, sf), top)
     tests = autocorr.stationarity(sums, KEYS)
     return autocorr.unit_root_table(tests, fx.name_dimension(spark, sf), lookup.feature_names(spark))
+
+
+@query("unit_root_verdict_lag0", f"""WITH {fx.LONG_CTE}, l AS (
+  SELECT station, feature, value - lag(value) OVER w AS y, lag(value) OVER w AS x FROM long
+  WINDOW w AS (PARTITION BY station, feature ORDER BY pos)),
+  f AS (SELECT station, feature, count(y) AS nobs, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx,
+        regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM l WHERE x IS NOT NULL GROUP BY ALL HAVING count(y) >= 19),
+  t AS (SELECT *, b / sqrt((syy - b * sxy) / (nobs - 2) / sxx) AS stat FROM f),
+  v AS (SELECT *, CASE WHEN stat > 2.74 THEN false WHEN stat < -18.83 THEN true WHEN stat <= -1.61
+    THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat < -1.6448536269514722
+    ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat < -1.6448536269514722 END AS ok FROM t)
+  SELECT station, feature, ok AS is_stationary, CASE WHEN ok THEN 0 ELSE 1 END AS d FROM v""")
+def unit_root_verdict_lag0(spark, sf):
+    """Verdict at five percent and the suggested differencing, without lagged changes."""
+    out = autocorr.stationarity(lag_sums(spark, sf), KEYS, max_lag=0)
+    return out.select(*KEYS, "is_stationary", F.col("orders.d").cast("int").alias("d"))

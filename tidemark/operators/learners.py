@@ -7,8 +7,11 @@ its train split, so that one Spark ML model serves every station.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -149,18 +152,125 @@ def multi_step(
     return reduce(lambda a, b: a.unionByName(b), parts), fitted
 
 
-def hybrid(
-    long: DataFrame, keys: list[str], linear_models: DataFrame, regressor, *, group_rows: int | None = None
-) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """Linear one-step prediction plus a learner on its residuals; both parts are returned."""
+@dataclass(frozen=True)
+class Ridge:
+    """Linear least squares with a penalty on the coefficients of standardised inputs."""
+
+    penalty: float = 1e-4
+
+
+def fit_ridge_steps(samples: DataFrame, horizon: int, learner: Ridge) -> DataFrame:
+    """One row per (feature, step): ``intercept`` and ``coefficients`` of the twelve inputs.
+
+    All steps of all features come from one scan: the cross products of inputs and
+    targets are summed per feature, and the small systems solved from the sums.
+    """
+    targets = [f"y{k}" for k in range(1, horizon + 1)]
+    columns = [*INPUTS, *targets]
+    pairs = [(a, b) for i, a in enumerate(INPUTS) for b in [*INPUTS[i:], *targets]]
+    sums = samples.where("split = 'train'").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in columns]).alias("s"),
+        F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("c"))
+    rows = []
+    for r in sums.collect():  # one row per feature of the schema
+        mean = np.array(r["s"]) / r["n"]
+        products = {pair: v / r["n"] for pair, v in zip(pairs, r["c"])}
+        at = {c: i for i, c in enumerate(columns)}
+
+        def covariance(a: str, b: str) -> float:
+            return products.get((a, b), products.get((b, a))) - mean[at[a]] * mean[at[b]]
+
+        xx = np.array([[covariance(a, b) for b in INPUTS] for a in INPUTS])
+        xx += learner.penalty * np.diag(np.maximum(np.diag(xx), 1e-12))
+        for step, target in enumerate(targets, start=1):
+            coef = np.linalg.lstsq(xx, np.array([covariance(a, target) for a in INPUTS]), rcond=None)[0]
+            rows.append((r["feature"], step, float(mean[at[target]] - coef @ mean[:LOOKBACK]), coef.tolist()))
+    return samples.sparkSession.createDataFrame(
+        rows, "feature string, step int, intercept double, coefficients array<double>")
+
+
+def predict_ridge_steps(samples: DataFrame, table: DataFrame, *, split: str = "test") -> DataFrame:
+    """One output row per sample and step, from one scan of the samples."""
+    # At most features x horizon rows.
+    found = table.groupBy("feature").agg(F.collect_list(F.struct("step", "intercept", "coefficients")).alias("_steps"))
+    joined = samples.where(F.col("split") == split).join(F.broadcast(found), "feature")
+    each = joined.withColumn("_m", F.explode("_steps")).drop("_steps")
+    scaled = F.col("_m.intercept") + reduce(add, [F.col("_m.coefficients")[i] * F.col(x) for i, x in enumerate(INPUTS)])
+    target = F.coalesce(*[F.when(F.col("_m.step") == int(c[1:]), F.col(c)) for c in _targets(samples)])
+    return each.withColumns({
+        "step": F.col("_m.step"), "actual": F.col("center") + F.col("scale") * target,
+        "forecast": F.col("center") + F.col("scale") * scaled}).drop("_m")
+
+
+def _targets(samples: DataFrame) -> list[str]:
+    return [c for c in samples.columns if c[0] == "y" and c[1:].isdigit()]
+
+
+def ridge_steps(
+    long: DataFrame, keys: list[str], model: str, horizon: int, learner: Ridge = Ridge(), *, group_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Twelve points to the next ``horizon``: (test forecasts, coefficient table)."""
+    samples = scaled_samples(long, keys, model, horizon=horizon, group_rows=group_rows)
+    table = fit_ridge_steps(samples, horizon, learner)
+    out = predict_ridge_steps(samples, table)
+    ids = [c for c in ("obs_time", "pos") if c in out.columns]
+    return out.select(*keys, *ids, "step", "actual", "forecast"), table
+
+
+# Depth and rate of the boosted trees that tuning compares.
+TUNING_GRID = [(3, 0.1), (5, 0.1), (5, 0.3)]
+
+
+def tuned_boosted(samples: DataFrame, grid: list[tuple[int, float]] | None = None) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Fit every setting, keep the one of least error on the validation split, per feature.
+
+    Returns the models and a table (feature, depth, rate, val_rmse, chosen).
+    """
+    grid, scores, fitted = grid or TUNING_GRID, [], {}
+    for depth, rate in grid:
+        learner = boosted().setMaxDepth(depth).setStepSize(rate)
+        models = fit_features(samples, learner)["y1"]
+        errors = predict_features(samples, models, split="val").groupBy("feature").agg(
+            F.sqrt(F.avg((F.col("forecast") - _actual(samples)) ** 2)).alias("rmse"))
+        for r in errors.collect():  # one row per feature
+            scores.append((r["rmse"], depth, rate, r["feature"]))
+            fitted[r["feature"], depth, rate] = models[r["feature"]]
+    best = {}
+    for rmse, depth, rate, feature in sorted(scores):
+        best.setdefault(feature, (depth, rate))
+    table = samples.sparkSession.createDataFrame(
+        [(f, d, float(r), float(e), best[f] == (d, r)) for e, d, r, f in scores],
+        "feature string, depth int, rate double, val_rmse double, chosen boolean")
+    return {f: fitted[f, *setting] for f, setting in best.items()}, table
+
+
+def _residual_samples(long, keys, linear_models, group_rows) -> DataFrame:
     errors = materialize(one_step_errors(long, linear_models, keys, group_rows=group_rows), "residuals")
-    samples = scaled_samples(errors, keys, "arima_ann", value="error", group_rows=group_rows)
-    fitted = fit_features(samples, regressor)["y1"]
+    return scaled_samples(errors, keys, "arima_ann", value="error", group_rows=group_rows)
+
+
+def _hybrid_rows(samples: DataFrame, fitted: dict[str, PipelineModel], keys: list[str]) -> DataFrame:
     out = predict_features(samples, fitted).withColumnRenamed("forecast", "residual")
     ids = [c for c in ("obs_time", "pos") if c in out.columns]
     return out.select(
         *keys, *ids, F.col("value").alias("actual"), (F.col("linear") + F.col("residual")).alias("forecast"),
-        "linear", "residual"), fitted
+        "linear", "residual")
+
+
+def hybrid(
+    long: DataFrame, keys: list[str], linear_models: DataFrame, regressor, *, group_rows: int | None = None
+) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """Linear one-step prediction plus a learner on its residuals; both parts are returned."""
+    samples = _residual_samples(long, keys, linear_models, group_rows)
+    fitted = fit_features(samples, regressor)["y1"]
+    return _hybrid_rows(samples, fitted, keys), fitted
+
+
+def apply_hybrid(
+    long: DataFrame, keys: list[str], linear_models: DataFrame, fitted: dict[str, PipelineModel], *, group_rows: int | None = None
+) -> DataFrame:
+    """The same from models fitted before."""
+    return _hybrid_rows(_residual_samples(long, keys, linear_models, group_rows), fitted, keys)
 
 
 def importances(spark, fitted: dict[str, PipelineModel]) -> DataFrame:
