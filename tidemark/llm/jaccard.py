@@ -19,6 +19,7 @@ ENTRIES_PER_BLOCK = 2_000_000
 SETS_PER_BUCKET = 20_000
 TILE = 256
 LOCAL_BITS = 48
+LEAD_PERCENT = 15
 MAX_CACHED = 300_000
 TILE_SCHEMA = "block int, sigs binary, sizes binary, counts binary, low binary, high binary, freq binary"
 
@@ -62,6 +63,16 @@ def signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else bytes(16)
 
 
+def spare(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's columns a partner may lack: size - ceil(percent of size)."""
+    return size - -(-percent * size // 100)
+
+
+def in_common(size: np.ndarray) -> np.ndarray:
+    """How many leading columns two sets must share, by the size of the smaller one."""
+    return np.maximum(1, LEAD_PERCENT * size // 100)
+
+
 def _bytes(column) -> bytes:
     return b"".join(column.to_pylist())
 
@@ -80,7 +91,9 @@ def _tiles(sets: list[tuple[bytes, int, np.ndarray]], blocks: int) -> pa.RecordB
     counts = np.array([len(s) for _, _, s in sets], np.int64)
     hashes = np.concatenate([s for _, _, s in sets]) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), counts)
-    block = ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    # Mixed first: leading columns are those of small hashes.
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    block = ((mixed >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     block, owner = block[order], owner[order]
     local = hashes[order] & np.uint64((1 << LOCAL_BITS) - 1)
@@ -128,8 +141,11 @@ def _names(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, order[new]
 
 
-def _shared_columns(buckets: int):
-    """Per block of columns: drop columns of one row only, deal the rest to buckets of rows."""
+def _shared_columns(buckets: int, with_columns: bool):
+    """Per block of columns: drop columns of one row only, deal the rest to buckets of rows.
+
+    Without columns, only their number per row goes on.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
@@ -158,9 +174,10 @@ def _shared_columns(buckets: int):
             starts = np.flatnonzero(np.r_[True, row[a + 1:b] != row[a:b - 1]])
             rows = row[a:b][starts]
             out.append((block, int(bucket[a]), sigs[rows].tobytes(), sizes[rows].tobytes(),
-                        np.diff(np.r_[starts, b - a]).astype(np.int32).tobytes(),
-                        (local[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                        (local[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), level[a:b].tobytes()))
+                        np.diff(np.r_[starts, b - a]).astype(np.int32).tobytes(), *(
+                            ((local[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
+                             (local[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), level[a:b].tobytes())
+                            if with_columns else (b"", b"", b""))))
         columns = list(zip(*out)) if out else [()] * 8
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         names = ["block", "bucket", "sigs", "sizes", "counts", "low", "high", "freq"]
@@ -198,17 +215,50 @@ def _joinable_rows(percent: int):
     return run
 
 
-def _joinable(tiles: DataFrame, entries: int, sets: int, percent: int) -> DataFrame:
+def _led_rows(percent: int):
+    """Per bucket of rows: signatures of the sets whose leading columns are shared often enough.
+
+    A partner has at least ``percent`` of the set's size; what it must share
+    follows from the smaller of the two sizes.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sigs, sizes = _number(table, "sigs", "V16"), _number(table, "sizes", np.int32).astype(np.int64)
+        counts = _number(table, "counts", np.int32)
+        number, firsts = _names(sigs)
+        shared = np.bincount(number, counts, minlength=len(firsts))
+        least = -(-percent * sizes[firsts] // 100)
+        alive = firsts[shared >= in_common(least)]
+        return pa.table([pa.array([x.tobytes() for x in sigs[alive]], pa.binary())], ["sig"])
+
+    return run
+
+
+TILE_ROWS = "block int, bucket int, sigs binary, sizes binary, counts binary, low binary, high binary, freq binary"
+
+
+def _well_led(tiles: DataFrame, sets: int, percent: int) -> DataFrame:
+    """Signatures of the sets that may link with another, judged by their leading columns."""
+    buckets = partitions_for(tiles.sparkSession, sets, SETS_PER_BUCKET)
+    shared = tiles.groupBy("block").applyInArrow(_shared_columns(buckets, False), TILE_ROWS)
+    return shared.groupBy("bucket").applyInArrow(_led_rows(percent), "sig binary")
+
+
+def _joinable(tiles: DataFrame, sets: int, percent: int) -> DataFrame:
     """Sets that may link with another: (sig, size, columns that others hold too, rarest first)."""
     buckets = partitions_for(tiles.sparkSession, sets, SETS_PER_BUCKET)
-    shared = tiles.groupBy("block").applyInArrow(_shared_columns(buckets), "block int, bucket int, sigs binary, "
-                                                 "sizes binary, counts binary, low binary, high binary, freq binary")
+    shared = tiles.groupBy("block").applyInArrow(_shared_columns(buckets, True), TILE_ROWS)
     rows = shared.groupBy("bucket").applyInArrow(_joinable_rows(percent), "sig binary, size long, columns array<long>")
     return materialize(rows, "joinable")
 
 
-def _document_tiles(docs: DataFrame, width: int, blocks: int) -> DataFrame:
-    """Tiles of all documents; a set already sent by the same task is not sent again."""
+def _document_tiles(docs: DataFrame, width: int, blocks: int, lead: int | None = None) -> DataFrame:
+    """Tiles of all documents; a set already sent by the same task is not sent again.
+
+    With ``lead`` (a percentage a partner must hold) only the leading columns
+    go out: by order of their hash, as many as a partner may lack and as many
+    again as two sets must then share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sent = Shingler(width), set()
@@ -221,7 +271,10 @@ def _document_tiles(docs: DataFrame, width: int, blocks: int) -> DataFrame:
                     continue
                 if len(sent) < MAX_CACHED:
                     sent.add(sig)
-                held.append((sig, len(shingles), shingles))
+                n = len(shingles)
+                if lead is not None:
+                    shingles = shingles[:int(spare(np.int64(n), lead) + in_common(np.int64(n)))]
+                held.append((sig, n, shingles))
                 size += len(shingles)
                 if size > ENTRIES_PER_BLOCK:
                     yield _tiles(held, blocks)
@@ -231,21 +284,6 @@ def _document_tiles(docs: DataFrame, width: int, blocks: int) -> DataFrame:
     return docs.select("_text").mapInArrow(run, TILE_SCHEMA)
 
 
-def _row_tiles(rows: DataFrame, blocks: int) -> DataFrame:
-    """Tiles of sets that are left, to count their columns again among themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for sig, size, columns in zip(batch["sig"], batch["size"].to_pylist(), batch["columns"]):
-                # Spread the columns over the blocks once more; the map is one to one.
-                own = columns.values.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                sets.append((sig.as_py(), size, own ^ (own >> np.uint64(32))))
-            yield _tiles(sets, blocks)
-
-    return rows.mapInArrow(run, TILE_SCHEMA)
-
-
 # ---- products of the rows that are left ---------------------------------------------------------
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -325,7 +363,8 @@ def _neighbourhoods(rows: DataFrame, percent: int) -> DataFrame:
     entries = rows.select("id", F.explode(F.slice("columns", 1, lead)).alias("column"))
     entries = materialize(entries, "leading")
     lists = entries.groupBy("column").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return entries.join(lists.select("column", "pivot"), "column").groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("votes"))
+    lists = materialize(lists.select("column", "pivot"), "pivots")  # for a plain join, whose hot columns Spark can split
+    return entries.join(lists, "column").groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def _chunk(column: str, chunks) -> F.Column:
@@ -401,11 +440,13 @@ def jaccard_join(
     Repeated rows link with each other. An empty table gives an empty result.
 
     1. Documents of equal sets are one class, named by the smallest id.
-    2. The incidence matrix goes into blocks of columns. A block drops columns
-       that one class alone holds; blocks of rows then drop classes with fewer
-       columns left than a partner of the least size must share. What is left
-       goes through this once more, its columns counted among themselves.
-    3. Classes that share a leading column meet around a pivot: first each class
+    2. The leading columns of every class (by hash, twice what a partner may
+       lack) go into blocks of columns, which count them. Two sets that link
+       share a known number of these; classes that share fewer with others go.
+    3. All columns of what is left go into such blocks. A block drops columns that
+       one class alone holds; blocks of rows then drop classes with fewer columns
+       left than a partner of the least size must share.
+    4. Classes that share a rare leading column meet around a pivot: first each class
        is multiplied with one pivot, then, block by block, with all classes of
        its neighbourhoods that are not yet in its component. No pair of one
        component needs to be looked at again, and no link between two is missed.
@@ -426,11 +467,17 @@ def jaccard_join(
 
 def _links(spark, docs, classes, entries, n, width, percent, id_col, text_col) -> DataFrame:
     """(id, label) of the classes that link with another, by the smallest id of their component."""
-    blocks = max(1, -(-entries // ENTRIES_PER_BLOCK))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("_text"))
-    left = _joinable(_document_tiles(texts, width, blocks), entries, n, percent)
-    again = left.agg(F.coalesce(F.sum(F.size("columns")), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("n")).first()
-    left = _joinable(_row_tiles(left, max(1, -(-again["entries"] // ENTRIES_PER_BLOCK))), again["entries"], again["n"], percent)
+    def blocks(of: int) -> int:
+        return max(1, -(-of // ENTRIES_PER_BLOCK))
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    led = (100 - percent + LEAD_PERCENT) * entries // 100
+    some = _well_led(_document_tiles(texts, width, blocks(led), percent), n, percent)
+    some = materialize(classes.join(some, "sig").select(F.col("rep").alias("_id"), "size"), "well-led")
+    again = some.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("entries"), F.count(F.lit(1)).alias("n")).first()
+    # A sorted merge at every size: the texts are moved once whatever the number of sets left.
+    chosen = texts.join(some.select("_id").hint("merge"), "_id", "left_semi")
+    left = _joinable(_document_tiles(chosen, width, blocks(again["entries"])), again["n"], percent)
     rows = materialize(left.join(classes.drop("size"), "sig").select(F.col("rep").alias("id"), "size", "columns"), "rows")
     members = materialize(_neighbourhoods(rows, percent), "neighbourhoods")
     star = materialize(_star_round(rows, members, percent), "star-links")
