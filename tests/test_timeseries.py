@@ -194,3 +194,35 @@ def test_one_step_errors(spark):
     assert np.isnan(out.error[0])
     const = np.polyfit(x[:269], x[1:270], 1)[1]
     np.testing.assert_allclose(out.linear[1:], const + phi * x[:-1], rtol=1e-9)
+
+
+def test_errors_of_a_slowly_forgetting_average(spark):
+    """Root 0.95: the errors are the whole recursion of the fit, in one piece or in segments."""
+    e = noise(5001, 12)
+    rows = long_rows(spark, {"a": e[1:] + 0.95 * e[:-1]})
+    models = linear.fit_linear(rows, KEYS, [linear.Order(0, 0, 1)])
+    model = models.first()
+    theta, x = model["ma"][0], e[1:] + 0.95 * e[:-1] - model["center"]
+    want, past = [], 0.0
+    for v in x:
+        past = v - model["const"] - theta * past
+        want.append(past)
+    for limit in (None, 700):
+        out = linear.one_step_errors(rows, models, KEYS, group_rows=limit).orderBy("pos").toPandas()
+        np.testing.assert_allclose(out.error, want, atol=1e-9)
+    assert model["last_errors"] == pytest.approx([want[4499]], abs=1e-9)
+
+
+def test_batched_search_equals_single_fits():
+    rnd = np.random.default_rng(4)
+    grams, helds = [], []
+    for _ in range(6):
+        x = np.cumsum(rnd.normal(size=200)) * 0.1 + rnd.normal(size=200)
+        cut = [np.array([[*(y[t - i] for i in range(13)), 1.0] for t in range(12, len(y))]) for y in (x[:150], x)]
+        grams.append(cut[0].T @ cut[0])
+        helds.append(cut[1].T @ cut[1] - grams[-1])
+    orders = linear.arima_orders()
+    scores = linear.search_orders(np.stack(grams), np.stack(helds), orders)
+    for gram, row in zip(grams, scores):
+        for order, score in zip(orders, row):
+            assert np.isfinite(score) == (linear.fit_order(gram, order) is not None)

@@ -13,20 +13,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
-from operator import add
+from operator import sub
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.autocorr import Z975, LagSums, edge_values, regress, shift
 from tidemark.operators.series import floors, lagged
-from tidemark.scratch import balance
+from tidemark.scratch import balance, materialize, max_group_rows
 
 MAX_LAG = 12
 STEPS_PER_ROW = 10_000
 STABLE = 0.999
+SERIES_PER_SOLVE = 512
 
 
 @dataclass(frozen=True)
@@ -140,33 +142,112 @@ def fit_order(gram: np.ndarray, order: Order):
     return float(coef[0]), np.convolve(ar, delta), ma, ssr / nobs
 
 
-def one_step_filter(const: float, ar: np.ndarray, ma: np.ndarray, lags: int) -> np.ndarray:
-    """Filter over (x[t], …, x[t-lags], 1) that gives the one-step error."""
-    out = np.zeros(lags + 2)
-    for k in range(lags + 1):
-        out[k] = (ar[k] if k < len(ar) else 0.0) - sum(
-            ma[j] * out[k - j] for j in range(1, min(k, len(ma) - 1) + 1))
-    out[-1] = -const / ma.sum()
+def _solve_all(gram: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least squares of many series at once: coefficients (NaN where singular) and residual filters."""
+    gx = x @ gram
+    xx, xy = gx @ x.transpose(0, 2, 1), np.einsum("smk,sk->sm", gx, y)
+    try:
+        coef = np.linalg.solve(xx, xy[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        coef = np.full(xy.shape, np.nan)
+        for i in range(len(xy)):
+            try:
+                coef[i] = np.linalg.solve(xx[i], xy[i])
+            except np.linalg.LinAlgError:
+                continue
+    return coef, y - np.einsum("sm,smk->sk", coef, x)
+
+
+def _all_stable(polys: np.ndarray) -> np.ndarray:
+    """Per row 1 + c1 z + …: whether every root lies outside the unit circle."""
+    n = polys.shape[1] - 1
+    ok = np.isfinite(polys).all(1)
+    if n == 0 or not ok.any():
+        return ok
+    companion = np.zeros((int(ok.sum()), n, n))
+    companion[:, 0, :] = -polys[ok, 1:]
+    companion[:, np.arange(1, n), np.arange(n - 1)] = 1.0
+    ok[ok] = np.abs(np.linalg.eigvals(companion)).max(1) < STABLE
+    return ok
+
+
+def search_orders(gram: np.ndarray, held_out: np.ndarray, orders: list[Order]) -> np.ndarray:
+    """Mean squared one-step error on the held-out products, series x orders; inf if not estimable.
+
+    The same estimate as ``fit_order`` for all series of a batch together. The
+    one-step filter reaches back as many lags as the products hold; a moving
+    average with a root close to one is therefore scored on its recent past.
+    """
+    count, width = len(gram), gram.shape[1]
+    lags, nobs = width - 2, gram[:, -1, -1]
+    out = np.full((count, len(orders)), np.inf)
+    for at, order in enumerate(orders):
+        delta, ar_lags = order.difference(), order.ar_lags()
+        long_ar = lags - order.q - (len(delta) - 1) if order.q else 0
+        if order.reach() > lags or (order.q and long_ar < max([1, *ar_lags])):
+            continue
+        z, const = np.zeros(width), np.zeros(width)
+        z[:len(delta)], const[-1] = delta, 1.0
+        ys = np.broadcast_to(z, (count, width))
+        rows = np.broadcast_to(np.array([const] + [shift(z, k) for k in ar_lags]), (count, 1 + len(ar_lags), width))
+        if order.q:
+            history = np.array([const] + [shift(z, k) for k in range(1, long_ar + 1)])
+            residual = _solve_all(gram, ys, np.broadcast_to(history, (count, *history.shape)))[1]
+            moved = []
+            for j in range(1, order.q + 1):
+                own = np.zeros_like(residual)
+                own[:, j:-1] = residual[:, :width - 1 - j]
+                own[:, -1] = residual[:, -1]
+                moved.append(own)
+            rows = np.concatenate([rows, np.stack(moved, 1)], 1)
+        coef = _solve_all(gram, ys, rows)[0]
+        ar = np.zeros((count, max([0, *ar_lags]) + 1))
+        ar[:, 0] = 1.0
+        for k, lag in enumerate(ar_lags, start=1):
+            ar[:, lag] -= coef[:, k]
+        ma = np.concatenate([np.ones((count, 1)), coef[:, 1 + len(ar_lags):]], 1)
+        ok = np.isfinite(coef).all(1) & (nobs > max(order.size(), long_ar + 1) + 1) & _all_stable(ar) & _all_stable(ma)
+        if not ok.any():
+            continue
+        full = np.zeros((count, ar.shape[1] + len(delta) - 1))
+        for k, d in enumerate(delta):
+            full[:, k:k + ar.shape[1]] += d * ar
+        error = np.zeros((count, width))
+        for k in range(lags + 1):
+            error[:, k] = full[:, k] if k < full.shape[1] else 0.0
+            for j in range(1, min(k, ma.shape[1] - 1) + 1):
+                error[:, k] -= ma[:, j] * error[:, k - j]
+        error[:, -1] = -coef[:, 0] / ma.sum(1)
+        error[~ok] = 0.0
+        squares = np.maximum(np.einsum("sk,skl,sl->s", error, held_out, error), 0.0)
+        out[ok, at] = (squares / held_out[:, -1, -1])[ok]
     return out
 
 
-def fit_series(r, orders: list[Order]) -> dict:
-    """Best order for one series: search on train, score on validation, refit on both."""
-    lags = min(len(r.s_all) - 1, max(2, int(r.n_train) // 4))
-    train = LagSums(r.n_train, r.s_train, r.head, r.tail_train, r.total_train)
-    both = LagSums(r.n, r.s_all, r.head, r.tail_all, r.total_all)
-    gram = train.gram(lags, lags)
-    held_out = both.gram(lags, lags) - gram
-    scores = []
-    for i, order in enumerate(orders):
-        try:
-            model = fit_order(gram, order)
-        except np.linalg.LinAlgError:
-            continue
-        if model is not None:
-            w = one_step_filter(*model[:3], lags)
-            scores.append((max(float(w @ held_out @ w), 0.0) / held_out[-1, -1], order.size(), i, lags))
-    for mse, _, i, lags in sorted(scores):
+def fit_batch(rows: list, orders: list[Order]) -> list[dict]:
+    """Best order of every series of a batch: search on train, score on validation, refit on both."""
+    by_lags: dict[int, list[int]] = {}
+    sums = []
+    for i, r in enumerate(rows):
+        lags = min(len(r.s_all) - 1, max(2, int(r.n_train) // 4))
+        train = LagSums(r.n_train, r.s_train, r.head, r.tail_train, r.total_train)
+        both = LagSums(r.n, r.s_all, r.head, r.tail_all, r.total_all)
+        gram = train.gram(lags, lags)
+        sums.append((both, gram, both.gram(lags, lags) - gram, lags))
+        by_lags.setdefault(lags, []).append(i)
+    found: list[dict] = [{}] * len(rows)
+    for members in by_lags.values():
+        scores = search_orders(
+            np.stack([sums[i][1] for i in members]), np.stack([sums[i][2] for i in members]), orders)
+        for i, own in zip(members, scores):
+            found[i] = _refit(rows[i], sums[i][0], own, orders, sums[i][3])
+    return found
+
+
+def _refit(r, both: LagSums, scores: np.ndarray, orders: list[Order], lags: int) -> dict:
+    """Model of the best order that can be estimated on train plus validation."""
+    ranked = sorted((s, orders[i].size(), i) for i, s in enumerate(scores) if np.isfinite(s))
+    for mse, _, i in ranked:
         order = orders[i]
         reach = lags if order.q else order.reach()
         try:
@@ -176,26 +257,18 @@ def fit_series(r, orders: list[Order]) -> dict:
         if model is None:
             continue
         const, ar, ma, variance = model
-        error = one_step_filter(const, ar, ma, lags)
         recent = np.asarray(r.tail_all, dtype=float)[::-1]
-
-        def residual(back):
-            use = min(lags + 1, len(recent) - back)
-            return float(error[:use] @ recent[back:back + use] + error[-1])
-
         return dict(
             status="ok", p=order.p, d=order.d, q=order.q, sp=order.sp, sd=order.sd, period=order.period,
             const=const, ar=list(-ar[1:]), ma=list(ma[1:]), sigma2=variance, val_rmse=mse**0.5,
-            last_values=list(recent[:max(len(ar) - 1, 1)]),
-            last_errors=[residual(j) for j in range(len(ma) - 1)],
-            one_step=[*error[:-1], *[0.0] * (len(r.s_all) - 1 - lags), error[-1]])
+            last_values=list(recent[:max(len(ar) - 1, 1)]), last_errors=[])
     return dict(status="no estimable order")
 
 
 MODEL_FIELDS = (
     "status string, p int, d int, q int, sp int, sd int, period int, const double, ar array<double>, "
     "ma array<double>, sigma2 double, val_rmse double, last_values array<double>, "
-    "last_errors array<double>, one_step array<double>")
+    "last_errors array<double>")
 _names = [f.split()[0] for f in MODEL_FIELDS.split(", ")]
 _types = {c: "Int32" for c in ("p", "d", "q", "sp", "sd", "period")}
 
@@ -215,20 +288,46 @@ def fit_linear(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.n_train < train or r.n_val < val or r.n_test < test:
-                    rows.append(dict(status="too short"))
-                    continue
-                try:
-                    rows.append(fit_series(r, orders))
-                except (ValueError, np.linalg.LinAlgError) as e:
-                    rows.append(dict(status=f"failed: {e}"))
+            series = list(batch.itertuples(index=False))
+            long_enough = [r.n_train >= train and r.n_val >= val and r.n_test >= test for r in series]
+            rows = [dict(status="too short")] * len(series)
+            wanted = [i for i, ok in enumerate(long_enough) if ok]
+            for start in range(0, len(wanted), SERIES_PER_SOLVE):
+                chunk = wanted[start:start + SERIES_PER_SOLVE]
+                for i, model in zip(chunk, _guarded([series[i] for i in chunk], orders)):
+                    rows[i] = model
             fitted = pd.DataFrame({c: pd.Series([x.get(c) for x in rows], dtype=_types.get(c, object)) for c in _names})
             yield pd.concat([batch[[*keys, *kept]].reset_index(drop=True), fitted], axis=1)
 
     fields = f"{_key_fields(sums, keys)}, n_train long, n_val long, n_test long, center double, {MODEL_FIELDS}"
-    return balance(sums, keys).mapInPandas(solve, fields)
+    models = materialize(balance(sums, keys).mapInPandas(solve, fields), "linear-models")
+    return _with_last_errors(long, models, keys, group_rows)
+
+
+def _guarded(rows: list, orders: list[Order]) -> list[dict]:
+    """A batch; one by one if it fails, so that a bad series fails alone."""
+    try:
+        return fit_batch(rows, orders)
+    except (ValueError, np.linalg.LinAlgError) as e:
+        if len(rows) == 1:
+            return [dict(status=f"failed: {e}")]
+        return [model for r in rows for model in _guarded([r], orders)]
+
+
+def _with_last_errors(long: DataFrame, models: DataFrame, keys: list[str], group_rows: int | None) -> DataFrame:
+    """Replace ``last_errors`` by the errors at the end of train plus validation, latest first."""
+    moving = models.where("size(ma) > 0")
+    if moving.isEmpty():
+        return models
+    fitted = long.where("split <> 'test'")
+    ends = moving.select(*keys, (F.col("n_train") + F.col("n_val")).alias("_end"), F.size("ma").alias("_q"))
+    errors = one_step_errors(fitted, moving, keys, group_rows=group_rows, attach=ends)
+    near = errors.where(F.col("pos") >= F.col("_end") - F.col("_q"))
+    last = near.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("error", F.lit(0.0)).alias("e"))), asc=False).alias("_near"))
+    found = last.select(*keys, F.transform("_near", lambda x: x["e"]).alias("_last"))
+    joined = models.join(found, keys, "left")
+    return materialize(joined.withColumn("last_errors", F.coalesce("_last", "last_errors")).select(*models.columns), "linear-models")
 
 
 def _advance(c: np.ndarray, q: np.ndarray, steps: int):
@@ -304,18 +403,91 @@ def against_actual(long: DataFrame, forecasts: DataFrame, keys: list[str]) -> Da
     return test.join(forecasts, [*keys, "pos"])
 
 
-def one_step_errors(long: DataFrame, models: DataFrame, keys: list[str], *, group_rows: int | None = None) -> DataFrame:
-    """Every reading with its one-step ``linear`` prediction and ``error``; null without enough history."""
-    lags = (models.agg(F.max(F.size("one_step"))).first()[0] or 2) - 2
-    shifts = {f"_l{k}": ("value", k) for k in range(1, lags + 1)}
-    params = models.where("status = 'ok'").select(
-        *keys, (F.col("n_train") + F.col("n_val") + F.col("n_test")).alias("n"), "center", "one_step")
-    rows = lagged(long.drop("n"), keys, shifts, group_rows=group_rows, attach=params)
+def one_step_errors(
+    long: DataFrame, models: DataFrame, keys: list[str], *, group_rows: int | None = None, attach: DataFrame | None = None
+) -> DataFrame:
+    """Every reading with its one-step ``linear`` prediction and ``error``; null without enough history.
 
-    def term(k: int, value: str):
-        weight = F.col("one_step")[k]
-        return F.when(weight == 0, 0.0).otherwise(weight * (F.col(value) - F.col("center")))
+    The error is the whole recursion e[t] = w[t] - ma[1] e[t-1] - …, w being the
+    autoregressive part, started with zeros where the first w exists. Series
+    without a moving average have e = w. ``attach`` adds columns per series.
+    """
+    held = materialize(models.where("status = 'ok'"), "one-step-models")
+    reach = held.agg(F.max(F.size("ar"))).first()[0] or 0
+    shifts = {f"_l{k}": ("value", k) for k in range(1, reach + 1)}
+    params = held.select(
+        *keys, (F.col("n_train") + F.col("n_val") + F.col("n_test")).alias("n"), "center", "const", "ar", "ma")
+    extra = []
+    if attach is not None:
+        extra = [c for c in attach.columns if c not in keys]
+        params = params.join(attach, keys)
+    rows = lagged(long.drop("n", *extra), keys, shifts, group_rows=group_rows, attach=params)
+
+    def term(k: int) -> Column:
+        weight = F.get("ar", F.lit(k - 1))
+        return F.when(F.coalesce(weight, F.lit(0.0)) == 0, 0.0).otherwise(weight * (F.col(f"_l{k}") - F.col("center")))
+
+    w = reduce(sub, [term(k) for k in range(1, reach + 1)], F.col("value") - F.col("center")) - F.col("const")
+    known = rows.withColumn("error", w).drop(*shifts, "center", "const", "ar")
+    plain = known.where("size(ma) = 0").drop("ma")
+    moving = _moving_errors(known.where("size(ma) > 0"), keys, max_group_rows(long.sparkSession, group_rows))
+    return plain.unionByName(moving).withColumn("linear", F.col("value") - F.col("error"))
+
+
+def _recur(w: np.ndarray, ma: list[float], state: list[float]) -> np.ndarray:
+    """e[t] = w[t] - sum of ma[j] e[t-j]; ``state`` holds the errors before, latest first. Missing w gives 0."""
+    out, past = np.zeros(len(w)), list(state)
+    for t, x in enumerate(np.nan_to_num(w).tolist()):
+        e = x - sum(m * p for m, p in zip(ma, past))
+        past = [e, *past[:-1]]
+        out[t] = e
+    return out
 
-    error = reduce(add, [term(k, c) for k, c in enumerate(["value", *shifts])]) + F.col("one_step")[lags + 1]
-    return rows.withColumn("error", error).withColumn("linear", F.col("value") - F.col("error")).drop(
-        *shifts, "center", "one_step")
+
+def _moving_errors(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """Turn w into the recursive error, by (series, position segment).
+
+    Each segment is first run from zeros; its end, moved on by the recursion's
+    power, gives the state the next segment starts from. Segments are then run
+    from their true states.
+    """
+    cut = rows.withColumn("_seg", F.floor(F.col("pos") / length).cast("long"))
+    by = [*keys, "_seg"]
+    key_fields = _key_fields(cut, by)
+
+    def ends(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("pos")
+        ma = list(batch["ma"].iloc[0])
+        e = _recur(batch["error"].to_numpy(float), ma, [0.0] * len(ma))
+        last = [*e[::-1][:len(ma)], *[0.0] * max(0, len(ma) - len(e))]
+        return pd.DataFrame({**{k: [batch[k].iloc[0]] for k in by}, "_rows": [len(e)], "_last": [last], "ma": [ma]})
+
+    def starts(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("_seg")
+        ma = list(batch["ma"].iloc[0])
+        state, out = np.zeros(len(ma)), []
+        step = np.vstack([-np.array(ma), np.eye(len(ma))[:-1]])
+        for rows_in, last in zip(batch["_rows"], batch["_last"]):
+            out.append(state.tolist())
+            state = np.linalg.matrix_power(step, int(rows_in)) @ state + np.asarray(last, float)
+        return pd.DataFrame({**{k: batch[k].to_list() for k in by}, "_state": out})
+
+    several = cut.where("_seg > 0").select("_seg").limit(1)
+    if several.isEmpty():
+        states = None
+        ready = cut.withColumn("_state", F.transform("ma", lambda m: F.lit(0.0)))
+    else:
+        local = cut.select(*by, "pos", "error", "ma").groupBy(*by).applyInPandas(
+            ends, f"{key_fields}, _rows long, _last array<double>, ma array<double>")
+        states = materialize(local.groupBy(*keys).applyInPandas(starts, f"{key_fields}, _state array<double>"), "states")
+        ready = cut.join(states, by)
+    kept = [f for f in rows.schema if f.name != "ma"]
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("pos")
+        w = batch["error"].to_numpy(float)
+        e = _recur(w, list(batch["ma"].iloc[0]), list(batch["_state"].iloc[0]))
+        return batch.assign(error=np.where(np.isnan(w), np.nan, e))[[f.name for f in kept]]
+
+    out = ready.groupBy(*by).applyInPandas(run, T.StructType(kept))
+    return out.withColumn("error", F.when(~F.isnan("error"), F.col("error")))
