@@ -126,6 +126,17 @@ def density_curve(spark, sf):
     return out.withColumns({"x": r6("x"), "density": r6("density"), "scaled": r6("scaled", 7)})
 
 
+@query("distribution_report", f"""WITH {fx.TYPED_CTE} {_per_feature(
+  "count({c}) AS in_bins, count({c}) AS in_box, " + s6('quantile_cont({c}, 0.5)') + " AS q2, 200 AS points, 20 AS bins")}""")
+def distribution_report(spark, sf):
+    """The report's three panels, one line per feature."""
+    panels = reports.distribution_report(fx.typed(spark, sf), fx.FEATURES, 20)
+    bins = panels["histogram"].groupBy("feature").agg(F.sum("n").alias("in_bins"), F.count(F.lit(1)).cast("int").alias("bins"))
+    points = panels["density"].groupBy("feature").agg(F.count(F.lit(1)).cast("int").alias("points"))
+    box = panels["box"].select("feature", F.col("n").alias("in_box"), r6("q2").alias("q2"))
+    return box.join(bins, "feature").join(points, "feature")
+
+
 @query("box_statistics", f"""WITH {fx.TYPED_CTE}, q AS ({_per_feature(
   "quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3")}),
   u AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v FROM typed WHERE {c} IS NOT NULL" for c in fx.FEATURES)}),

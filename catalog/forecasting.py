@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog import query, r6, s6
-from catalog.prepare import rows_per_block
+from catalog.prepare import rows_per_block, short_split
 from tidemark.operators import learners, linear, metrics as m
 from tidemark.plans import forecast
 from tidemark.operators.series import floors
@@ -150,7 +150,16 @@ def forecast_run_scores(spark, sf):
     return run.all_metrics()
 
 
-@query("forecast_run_status")
+def _status(name: str) -> str:
+    t, v, e = floors(name, forecast.DEFAULT_HORIZON)
+    return f"""SELECT station, 'value' AS feature, '{name}' AS model,
+      CASE WHEN n_train >= {t} AND n_val >= {v} AND n_test >= {e} THEN 'ok' ELSE 'too short' END AS status FROM c"""
+
+
+@query("forecast_run_status", f"""WITH {short_split}, c AS (
+  SELECT station, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val,
+  count(*) FILTER (WHERE split = 'test') AS n_test FROM s WHERE value IS NOT NULL GROUP BY station)
+  {_status('arima')} UNION ALL {_status('cnn_gru_attention')}""")
 def forecast_run_status(spark, sf):
     """Per-series status over short series, some below the length floors."""
     from tidemark.operators.series import split_series

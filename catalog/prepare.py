@@ -122,7 +122,7 @@ def train_val_rows(spark, sf):
         F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
 
 
-_short_split = f"""{fx.SHORT_CTE}, p AS (SELECT *, row_number() OVER w - 1 AS pos,
+short_split = f"""{fx.SHORT_CTE}, p AS (SELECT *, row_number() OVER w - 1 AS pos,
   count(*) OVER (PARTITION BY station) AS n FROM short
   WINDOW w AS (PARTITION BY station ORDER BY obs_time NULLS LAST, event_id)),
   s AS (SELECT *, CASE WHEN pos < floor(n*0.8e0) THEN 'train'
@@ -134,7 +134,7 @@ _floor_cases = " UNION ALL ".join(
     for t, v, e in [series.floors(m, 5)])
 
 
-@query("eligible_series", f"""WITH {_short_split}, c AS (
+@query("eligible_series", f"""WITH {short_split}, c AS (
   SELECT station, count(*) FILTER (WHERE split = 'train') AS n_train,
   count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test
   FROM s WHERE value IS NOT NULL GROUP BY station) {_floor_cases}""")
@@ -150,7 +150,7 @@ def eligible_series(spark, sf):
     return out.drop("feature")
 
 
-@query("stations_in_all_splits", f"""WITH {_short_split}
+@query("stations_in_all_splits", f"""WITH {short_split}
   SELECT station FROM s GROUP BY station HAVING count(DISTINCT split) = 3""")
 def stations_in_all_splits(spark, sf):
     return series.stations_in_all_splits(series.split_series(fx.short_readings(spark, sf), fx.SHORT))

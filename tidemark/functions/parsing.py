@@ -20,10 +20,6 @@ def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(NA_TOKENS), c)
 
 
-def placeholder_to_null(c: Column) -> Column:
-    return F.when(~c.isin(PLACEHOLDERS), c)
-
-
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not a plain number, placeholders included, becomes null."""
     text = F.trim(c)

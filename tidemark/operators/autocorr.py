@@ -27,6 +27,7 @@ from tidemark.scratch import balance
 MIN_LENGTH = 20
 MAX_LAGS = 40
 Z975 = 1.959963984540054
+LAGS_PER_PASS = 64
 
 
 def edge_values(
@@ -55,15 +56,12 @@ def lag_sums(
     ``max_lag`` + 1 centred values, ``total`` the sum of all of them.
     """
     stats = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
-    shifts = {f"_l{k}": ("value", k) for k in range(1, max_lag + 1)}
-    rows = lagged(long.select(*keys, "pos", "value"), keys, shifts, group_rows=group_rows, attach=stats)
-    d = F.col("value") - F.col("mean")
-    products = [F.sum(d * d)] + [F.sum(d * (F.col(f"_l{k}") - F.col("mean"))) for k in range(1, max_lag + 1)]
-    sums = rows.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum(d).alias("total"),
-        *[p.alias(f"_s{k}") for k, p in enumerate(products)])
-    names = [f"_s{k}" for k in range(max_lag + 1)]
-    packed = sums.withColumn("s", F.array(*[F.coalesce(c, F.lit(0.0)) for c in names])).drop(*names)
+    parts = [
+        _lag_group(long, keys, stats, range(first, min(first + LAGS_PER_PASS, max_lag + 1)), group_rows)
+        for first in range(0, max_lag + 1, LAGS_PER_PASS)]
+    packed = reduce(lambda a, b: a.join(b.drop("n", "mean", "total"), keys), parts)
+    names = [c for c in packed.columns if c.startswith("_s")]
+    packed = packed.withColumn("s", F.concat(*names)).drop(*names)
     ends = F.col("n") - 1 - max_lag
     edges = {"head": F.col("pos") <= max_lag, "tail": F.col("pos") >= ends}
     raw = edge_values(long, keys, stats.select(*keys, "n"), edges, group_rows=group_rows)
@@ -71,6 +69,19 @@ def lag_sums(
     return packed.join(raw, keys).withColumns(centred)
 
 
+def _lag_group(long: DataFrame, keys: list[str], stats: DataFrame, lags: range, group_rows: int | None) -> DataFrame:
+    """Sums of d[t]*d[t-k] for a run of lags, as one array; its width does not depend on the data."""
+    shifts = {f"_l{k}": ("value", k) for k in lags if k}
+    rows = lagged(long.select(*keys, "pos", "value"), keys, shifts, group_rows=group_rows, attach=stats)
+    d = F.col("value") - F.col("mean")
+    products = {k: d * (F.col(f"_l{k}") - F.col("mean")) if k else d * d for k in lags}
+    sums = rows.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("mean").alias("mean"), F.sum(d).alias("total"),
+        *[F.sum(p).alias(f"_p{k}") for k, p in products.items()])
+    array = F.array(*[F.coalesce(f"_p{k}", F.lit(0.0)) for k in lags]).alias(f"_s{lags[0]}")
+    return sums.select(*keys, "n", "mean", "total", array)
+
+
 def analysed(sums: DataFrame) -> DataFrame:
     """Series long enough to analyse, with ``lags`` and the ``acf`` array (null at zero variance)."""
     long_enough = sums.where(F.col("n") >= MIN_LENGTH)

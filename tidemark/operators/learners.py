@@ -95,18 +95,26 @@ def fit_pooled(samples: DataFrame, regressor, feature: str, target: str = "y1")
 def fit_features(samples: DataFrame, regressor, targets: tuple[str, ...] = ("y1",)) -> dict[str, dict[str, PipelineModel]]:
     """One pooled model per target and feature, a few fits at a time.
 
-    The number of features is a property of the schema.
+    The number of features is a property of the schema. A feature whose fit
+    fails is left out, and its series have no forecast; if all fail, so does this.
     """
     features = [r[0] for r in samples.select("feature").distinct().orderBy("feature").collect()]
     jobs = [(t, f) for t in targets for f in features]
 
     def fit(job):
         target, feature = job
-        return fit_pooled(samples, regressor, feature, target)
+        try:
+            return fit_pooled(samples, regressor, feature, target)
+        except Exception as e:  # the other features go on
+            return e
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         models = list(pool.map(inheritable_thread_target(samples.sparkSession)(fit), jobs))
-    return {t: {f: m for (u, f), m in zip(jobs, models) if u == t} for t in targets}
+    failed = [m for m in models if isinstance(m, Exception)]
+    if failed and len(failed) == len(models):
+        raise failed[0]
+    fitted = [(job, m) for job, m in zip(jobs, models) if not isinstance(m, Exception)]
+    return {t: {f: m for (u, f), m in fitted if u == t} for t in targets}
 
 
 def predict_features(samples: DataFrame, models: dict[str, PipelineModel], *, split: str = "test") -> DataFrame:
