@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 MAX_STATES = 150_000
 MAX_PAIRS = 400_000
-MAX_CACHED = 400_000
+MAX_CACHED = 600_000
 NEVER = 1 << 60
 
 
@@ -304,8 +304,25 @@ class Utf8Machine:
             yield "�"
 
     def decode(self, ids: list[int]) -> str:
+        """The stream's text. Runs of tokens that are whole by themselves are joined at once;
+        the machine steps through the others until no code point is open."""
         whole = list(map(self.whole.__getitem__, ids))
-        return "".join(self.stream(ids) if None in whole else whole)
+        out, at, n = [], 0, len(ids)
+        pending = b""
+        while at < n:
+            try:
+                stop = whole.index(None, at)
+            except ValueError:
+                stop = n
+            out += whole[at:stop]
+            at, pending = stop, b""
+            while at < n and (pending or whole[at] is None):
+                text, pending = self.feed(pending, ids[at])
+                out.append(text)
+                at += 1
+        if pending:
+            out.append("�")
+        return "".join(out)
 
 
 @lru_cache(maxsize=2)
