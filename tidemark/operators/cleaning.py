@@ -50,8 +50,11 @@ def null_outliers(df: DataFrame, fences: dict[str, tuple[float, float]]) -> Data
 
 
 def fill_median(df: DataFrame, layout: Layout, *, group_values: int = MAX_GROUP_VALUES) -> DataFrame:
-    """Replace what is still missing by the median over all stations."""
-    medians = feature_quantiles(df, layout.available(df), [0.5], group_values=group_values)
+    """Replace what is still missing by the median over all stations, taken only where something is."""
+    features = layout.available(df)
+    missing = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first() if features else {}
+    wanted = [f for f in features if missing[f]]
+    medians = feature_quantiles(df, wanted, [0.5], group_values=group_values) if wanted else {}
     return df.na.fill({f: q[0] for f, q in medians.items()}) if medians else df
 
 
