@@ -86,7 +86,7 @@ def test_one_failing_model_does_not_stop_the_rest(spark, monkeypatch):
     def broken(*a, **k):
         raise RuntimeError("no luck")
 
-    monkeypatch.setattr(learners, "multi_step", broken)
+    monkeypatch.setattr(learners, "ridge_steps", broken)
     run = forecast.forecast(split_table(spark, {"a": ar_series(200, [0.5])}), LAYOUT, ["cnn_gru_attention", "arima"])
     assert list(run.forecasts) == ["arima"]
     assert {r["status"] for r in run.status.where("model = 'cnn_gru_attention'").collect()} == {"failed: no luck"}
