@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup, jaccard, langid, packing, quality
 from tidemark.scratch import materialize
 
-# Texts in two languages reach 0.8 at most; those in one other language lie above.
-SURE_OF_LANGUAGE = 0.9
-
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids``; a null id matches a null id."""
@@ -34,12 +31,11 @@ def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def know_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those surely in another learned language than they declare.
 
+    Sure is a gap between the two languages' cosines that fits the text's length.
     A null declared language is no contradiction.
     """
     profiles = langid.learn(docs.where(langid.remainder("doc_id", 4) != 2))
-    other = F.col("lang").isin(list(profiles.languages)) & (F.col("_lang_pred") != F.col("lang"))
-    contradicted = F.coalesce(other, F.lit(False)) & (F.col("_lang_score") >= SURE_OF_LANGUAGE)
-    known = (F.col("_lang_pred") != langid.UNKNOWN) & ~contradicted
+    known = (F.col("_lang_pred") != langid.UNKNOWN) & ~F.col("_lang_contradicted")
     return langid.annotate(docs, profiles).where(known).select(*docs.columns)
 
 
