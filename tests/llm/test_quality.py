@@ -75,3 +75,41 @@ def test_distance_is_mahalanobis(planted):
     for r in quality.with_distance(placed).limit(40).collect():
         x = np.array([r[c] for c in quality.NAMES]) - mean
         assert r["d2"] == pytest.approx(x @ np.linalg.solve(cov, x), rel=1e-9)
+
+
+def styled(rnd, i, kind):
+    """Ordinary prose, symbol-ridden prose, or shouting with symbols."""
+    words = ["".join(rnd.choice(list("abcdefghij"), rnd.integers(2, 8))) for _ in range(rnd.integers(60, 160))]
+    if kind == "code":
+        words = [w + "##" if k % 3 == 0 else w for k, w in enumerate(words)]
+    if kind == "shout":
+        words = [w.upper() for w in words]
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def sources(spark):
+    """A large plain source and a small one full of symbols, with an outlier in each."""
+    def make(n):
+        rnd = np.random.default_rng(8)
+        rows = [(i, styled(rnd, i, "shout" if i == 7 else "plain"), "en", "large") for i in range(600)]
+        rows += [(1000 + i, styled(rnd, i, "shout" if i == 3 else "code"), "en", "small") for i in range(n)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    return make
+
+
+def test_small_source_with_a_style_of_its_own(sources):
+    rows = quality.quality_rules(sources(40)).collect()
+    assert {r["doc_id"] for r in rows if not r["kept"]} == {7, 1003}
+
+
+def test_no_count_flips_the_verdict(sources):
+    """The distance moves little from 99 to 100 rows of a whole table."""
+    def judged(n):
+        return {r["doc_id"]: (r["distance"], r["kept"]) for r in quality.quality_rules(sources(n).where("source = 'small'")).collect()}
+
+    fewer, more = judged(99), judged(100)
+    assert not fewer[1003][1] and sum(kept for _, kept in fewer.values()) == 98
+    for i, (distance, kept) in fewer.items():
+        assert kept == more[i][1] and distance == pytest.approx(more[i][0], rel=0.25, abs=0.5)

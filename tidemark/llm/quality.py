@@ -24,7 +24,8 @@ COVERED = 0.75
 # Fixed value: makes the covariance of the inner 75 % consistent for normal data in six dimensions.
 CONSISTENCY = 1.36
 CUTOFF = 20.0
-MIN_GROUP_ROWS = 100
+HALF_WEIGHT_ROWS = 100  # rows at which a group's own estimate weighs as much as the one it is blended with
+PRIOR_SPREAD = 3.0  # floors; spread of the estimate that the one over all rows is blended with
 STEPS = 3
 SALTS = 16
 QUANTILE_BINS = 100  # per unit of a transformed statistic
@@ -220,31 +221,74 @@ def fit_groups(stats: DataFrame, lang: str = "lang", source: str = "source") ->
     return best.select("group", "f.*")
 
 
-def _chosen(stats: DataFrame, fits: DataFrame, lang: str, source: str, min_rows: int) -> DataFrame:
-    """The fit of each (language, source) that occurs: its own, else its language's, else that of all.
+def _unfactored(fits: DataFrame) -> DataFrame:
+    """Write the covariance a of each fit from its factors l and d."""
+    def lower(i: int, j: int) -> Column:
+        return F.lit(1.0) if i == j else F.col(f"l{i}_{j}")
 
-    Coarser fits are used where a group has fewer than ``min_rows`` rows.
+    return fits.withColumns({
+        f"a{i}_{j}": _total(lower(i, k) * lower(j, k) * F.col(f"d{k}") for k in range(j + 1))
+        for i in range(P) for j in range(i + 1)})
+
+
+MOMENTS = [*(f"m{i}" for i in range(P)), *(f"a{i}_{j}" for i in range(P) for j in range(i + 1))]
+
+
+def _blended(fits: DataFrame, parent: str, half_rows: float) -> DataFrame:
+    """Mix each fit with the one in the struct ``parent`` by weights n / (n + half_rows) and the rest.
+
+    The covariance is that of the mixture: the distance between both means
+    counts too, so a style of its own widens a small group's estimate
+    instead of rejecting the group.
+    """
+    own = F.col("total") / (F.col("total") + F.lit(float(half_rows)))
+    rest = F.lit(float(half_rows)) / (F.col("total") + F.lit(float(half_rows)))
+    apart = [F.col(f"m{i}") - F.col(f"{parent}.m{i}") for i in range(P)]
+    mixed = {f"m{i}": F.col(f"{parent}.m{i}") + own * apart[i] for i in range(P)}
+    mixed |= {
+        f"a{i}_{j}": own * F.col(f"a{i}_{j}") + rest * F.col(f"{parent}.a{i}_{j}") + own * rest * apart[i] * apart[j]
+        for i in range(P) for j in range(i + 1)}
+    return fits.withColumns(mixed)
+
+
+def _chosen(stats: DataFrame, fits: DataFrame, lang: str, source: str, half_rows: float) -> DataFrame:
+    """The fit of each (language, source) that occurs.
+
+    A group's own fit is blended with its language's, that with the fit over all
+    rows, and that with a diagonal of wide spreads, each by its number of rows.
+    A group without a row in ``fits`` has the coarser fit alone.
     """
     levels = _levels(lang, source)
-    found = materialize(stats.select(*[c.alias(f"_{name}") for name, c in levels.items()]).distinct(), "groups")
-    enough = fits.where(F.col("total") >= min_rows).select("group", F.struct(*FIT).alias("f"))
-    for name in levels:
-        found = found.join(enough.withColumnsRenamed({"group": f"_{name}", "f": f"_f_{name}"}), f"_{name}", "left")
-    return found.select(
-        F.col("_source").alias("group"), F.coalesce(*[F.col(f"_f_{n}") for n in levels]).alias("f")).select("group", "f.*")
+    names = list(levels)
+    found = stats.select(*[c.alias(f"_{name}") for name, c in levels.items()]).distinct()
+    moments = materialize(_unfactored(fits).select("group", "total", *MOMENTS), "moments")
+    prior = [F.col(f"m{i}") for i in range(P)] + [
+        F.lit((PRIOR_SPREAD * floor) ** 2 if i == j else 0.0) for i, floor in enumerate(FLOORS.values()) for j in range(i + 1)]
+    top = moments.where("group = 'a'").withColumn("_p", F.struct(*[c.alias(n) for c, n in zip(prior, MOMENTS)]))
+    parent = _blended(top, "_p", half_rows).select(F.col("group").alias("_all"), F.struct(*MOMENTS).alias("_p"))
+    for name, above in (("lang", "all"), ("source", "lang")):
+        keys = [f"_{n}" for n in names[names.index(name):]]
+        here = found.select(*keys).distinct().join(parent, f"_{above}").join(
+            moments.withColumnRenamed("group", f"_{name}"), f"_{name}", "left")
+        none = {c: F.coalesce(F.col(c), F.col(f"_p.{c}")) for c in MOMENTS} | {"total": F.coalesce("total", F.lit(0))}
+        mixed = _blended(here.withColumns(none), "_p", half_rows)
+        parent = materialize(mixed.select(f"_{name}", F.struct(*MOMENTS).alias("_p")), "blended")
+    return _factor(parent.select(F.col("_source").alias("group"), "_p.*")).select("group", *FIT)
 
 
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source",
-    cutoff: float = CUTOFF, min_rows: int = MIN_GROUP_ROWS
+    cutoff: float = CUTOFF, min_rows: float = HALF_WEIGHT_ROWS
 ) -> DataFrame:
     """One row per document: id, the counts, ``base_failed``, ``distance``, ``kept``.
 
     A document that passes the base rules is kept unless its squared robust
     distance from its (language, source) exceeds ``cutoff``. Estimates use the
-    documents that pass the base rules. Groups of fewer than ``min_rows`` such
-    documents use their language's estimate, or that of all; with too few
-    documents over all, distance is null and the base rules decide. Null
+    documents that pass the base rules. Every group is judged by its own
+    estimate, blended with its language's, that of all and a wide one; an
+    estimate of ``min_rows`` documents weighs as much as what it is blended
+    with, and no count switches between them. Distance is null, and nothing
+    kept, only where no document passes the base rules. Null
     language and source are groups of their own; null and empty texts have no
     word and fail. Repeated rows each count. Extra columns are ignored.
     """
