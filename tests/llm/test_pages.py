@@ -96,3 +96,26 @@ def test_one_class_or_none(spark):
     blocked = spark.createDataFrame([(1, "http://a.com/de/"), (2, "http://a.net/")], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.judge(blocked, RULES).collect()} == {"block"}
     assert url_filter.judge(df.where("page_id > 5"), RULES).count() == 0
+
+
+def labelled_urls(spark, rows):
+    df = spark.createDataFrame(rows, "url string, label int")
+    return df.withColumns({"host": url_filter.host_of(df.url), "path": url_filter.path_of(df.url)})
+
+
+def test_repeated_urls_do_not_fill_the_draw(spark):
+    rows = [(f"http://h{i}.example.net/{'x/' * (4 if i % 10 == 0 else 1)}", int(i % 10 == 0)) for i in range(40)]
+    model = url_filter.train(labelled_urls(spark, rows * 30), max_rows=20)
+    assert model.trees is not None
+    drawn = url_filter._drawn(labelled_urls(spark, rows * 30), 20).collect()
+    assert len(drawn) == len({r["url"] for r in drawn}) == 20 and sum(r["label"] for r in drawn) == 4
+    assert {k: round(sum(r["weight"] for r in drawn if r["label"] == k)) for k in (0, 1)} == {0: 1080, 1: 120}
+
+
+def test_statistics_cover_all_labelled_rows(spark):
+    rows = [(f"http://a.d{i % 30}.{'net' if i % 2 else 'biz'}/{i}", int(i % 2)) for i in range(120)]
+    model = url_filter.train(labelled_urls(spark, rows), max_rows=10)
+    found = {r["domain"]: r for r in model.statistics["domain"].collect()}
+    assert len(found) == 30 and all(r["domain_n"] == 4 for r in found.values())
+    assert sum(r["domain_blocked"] for r in found.values()) == 60
+    assert sum(sum(r["domain_fold_n"]) for r in found.values()) == 120

@@ -14,7 +14,7 @@ from tidemark.llm.common import ascii_lower
 from tidemark.scratch import materialize
 
 MAX_TRAINING_ROWS = 20_000
-MIN_SUFFIX_ROWS = 5
+FOLDS = 5  # a training url does not see the statistics of its own fold
 TREES, DEPTH, SEED = 20, 4, 7
 FEATURES = ["length", "host_length", "labels", "depth", "digit_ratio", "entropy", "params", "hyphens",
             "suffix_rate", "suffix_rows", "domain_rate", "domain_rows"]
@@ -76,12 +76,19 @@ def lexical_features(urls: DataFrame) -> DataFrame:
         "domain": F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), ".")})
 
 
-def _statistics(training: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked rows per suffix: MAX_TRAINING_ROWS / MIN_SUFFIX_ROWS rows at most."""
-    n, blocked = F.count(F.lit(1)), F.sum("label")
-    found = training.groupBy(key).agg(
-        ((blocked + 1) / (n + 2)).alias(f"{key}_rate"), F.log1p(n.cast("double")).alias(f"{key}_rows"), n.alias("_n"))
-    return materialize(found.where(F.col("_n") >= MIN_SUFFIX_ROWS).drop("_n"), f"{key}-statistics")
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")
+
+
+def _statistics(labelled: DataFrame, key: str) -> DataFrame:
+    """Rows and blocked rows per key over all labelled rows, in whole and per fold of urls."""
+    fold = _fold()
+    folds = [F.count_if(fold == i) for i in range(FOLDS)]
+    blocked = [F.coalesce(F.sum(F.when(fold == i, F.col("label"))), F.lit(0.0)) for i in range(FOLDS)]
+    found = labelled.groupBy(key).agg(
+        F.count(F.lit(1)).alias(f"{key}_n"), F.sum("label").alias(f"{key}_blocked"),
+        F.array(*folds).alias(f"{key}_fold_n"), F.array(*blocked).alias(f"{key}_fold_blocked"))
+    return materialize(found, f"{key}-statistics")
 
 
 @dataclass
@@ -90,11 +97,21 @@ class UrlModel:
     trees: GBTClassificationModel | None
     default: str
 
-    def _vectors(self, urls: DataFrame) -> DataFrame:
+    def _vectors(self, urls: DataFrame, training: bool = False) -> DataFrame:
+        """Add the feature vector, with smoothed shares of blocked rows.
+
+        ``training`` leaves out the rows of the url's own fold.
+        """
         for key, found in self.statistics.items():
-            # At most 4,000 rows: see _statistics.
-            urls = urls.join(F.broadcast(found), key, "left")
-        urls = urls.fillna({f"{k}_rate": 0.5 for k in self.statistics} | {f"{k}_rows": 0.0 for k in self.statistics})
+            # As many rows as there are keys: no hint, so Spark goes by the size written.
+            urls = urls.join(found, key, "left")
+            n, blocked = F.col(f"{key}_n"), F.col(f"{key}_blocked")
+            if training:
+                n = n - F.get(f"{key}_fold_n", _fold())
+                blocked = blocked - F.get(f"{key}_fold_blocked", _fold())
+            n, blocked = F.coalesce(n, F.lit(0)), F.coalesce(blocked, F.lit(0.0))
+            urls = urls.withColumns({f"{key}_rate": (blocked + 1) / (n + 2), f"{key}_rows": F.log1p(n.cast("double"))})
+            urls = urls.drop(*[f"{key}_{c}" for c in ("n", "blocked", "fold_n", "fold_blocked")])
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(urls)
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -105,21 +122,47 @@ class UrlModel:
         return scored.withColumn("score", vector_to_array("probability")[1])
 
 
+def _drawn(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` distinct (url, label), those of the smallest url hashes of each class.
+
+    ``weight`` is the url's number of rows, scaled so that each class keeps its share of all rows.
+    """
+    distinct = materialize(labelled.groupBy("url", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.first("host").alias("host"), F.first("path").alias("path")), "labelled-urls")
+    classes = {r["label"]: r for r in distinct.groupBy("label").agg(
+        F.count(F.lit(1)).alias("urls"), F.sum("n").alias("rows")).collect()}
+    half, drawn = max_rows // 2, None
+    for label, r in sorted(classes.items()):
+        others = sum(o["urls"] for k, o in classes.items() if k != label)
+        quota = max(half, max_rows - others)  # what the other class leaves
+        part = distinct.where(F.col("label") == label).orderBy(F.xxhash64("url", F.lit(SEED)), "url").limit(quota)
+        part = part.withColumn("_rows", F.lit(float(r["rows"])))
+        drawn = part if drawn is None else drawn.unionByName(part)
+    if drawn is None:
+        return distinct.withColumn("weight", F.lit(1.0))
+    drawn = materialize(drawn, "drawn-urls")
+    held = {r["label"]: float(r["n"]) for r in drawn.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, n)])[F.col("label")]
+    return drawn.withColumn("weight", F.col("n") * F.col("_rows") / share).drop("_rows")
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> UrlModel:
-    """Fit on at most ``max_rows`` labelled rows, those of the smallest url hashes.
+    """Fit on at most ``max_rows`` distinct labelled urls, half of each class if there are enough.
 
-    ``labelled`` has url, host, path and label (1: block). With one class only,
-    or no row, the model gives that class (allow when empty) to every url.
+    ``labelled`` has url, host, path and label (1: block). Urls weigh as many
+    rows as they have; suffix and domain statistics are of all rows. With one
+    class only, or no row, the model gives that class (allow when empty) to every url.
     """
-    features = lexical_features(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label")))
-    order = F.xxhash64("url", F.lit(SEED))
-    drawn = materialize(features.orderBy(order, "url", "label").limit(max_rows), "labelled-urls")
+    labelled = labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"))
+    drawn = _drawn(labelled, max_rows)
     seen = {r["label"] for r in drawn.select("label").distinct().collect()}
     if len(seen) < 2:
         return UrlModel({}, None, "block" if seen == {1.0} else "allow")
-    model = UrlModel({k: _statistics(drawn, k) for k in ("suffix", "domain")}, None, "allow")
-    vectors = materialize(model._vectors(drawn).select("features", "label").coalesce(8), "url-vectors")
-    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(vectors)
+    every = lexical_features(labelled)
+    model = UrlModel({k: _statistics(every, k) for k in ("suffix", "domain")}, None, "allow")
+    vectors = model._vectors(lexical_features(drawn), training=True).select("features", "label", "weight")
+    vectors = materialize(vectors.coalesce(8), "url-vectors")
+    model.trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, weightCol="weight").fit(vectors)
     return model
 
 
