@@ -279,14 +279,14 @@ def forecast_run_consistency(spark, sf):
 @query("saved_models_agree", """SELECT model, true AS same FROM
   (VALUES ('arima'), ('arima_ann'), ('cnn_gru_attention'), ('cnn_lstm'), ('xgboost')) t(model)""")
 def saved_models_agree(spark, sf):
-    """Every family saved, loaded and applied: the same forecasts as before."""
+    """Every family saved, loaded and applied to all stations and features: the same forecasts as before."""
     names = ["arima", "arima_ann", "cnn_gru_attention", "cnn_lstm", "xgboost"]
-    splits = forecast.restrict(fx.splits(spark, sf), fx.LAYOUT, 2)
-    run = forecast.forecast(splits, fx.LAYOUT, names, top_n=None, features=["f_price"])
+    splits = fx.splits(spark, sf)
+    run = forecast.forecast(splits, fx.LAYOUT, names, top_n=None, features=fx.FEATURES)
     path, out = scratch_path(spark, "run-models"), None
     forecast.save_fitted(run.fitted, path)
-    loaded = forecast.load_fitted(spark, names, ["f_price"], path)
-    long = materialize(forecast.series_of(splits, fx.LAYOUT, ["f_price"]), "series")
+    loaded = forecast.load_fitted(spark, names, fx.FEATURES, path)
+    long = materialize(forecast.series_of(splits, fx.LAYOUT, fx.FEATURES), "series")
     for name in names:
         again = forecast.apply_fitted(name, loaded[name], long)
         keys = [*KEYS, "pos", *(["step"] if "step" in again.columns and "step" in run.forecasts[name].columns else [])]

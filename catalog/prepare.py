@@ -231,6 +231,36 @@ def supervised_frame_ratios(spark, sf):
     return frame.select("station", "feature", "split", "pos", *xs, *[f"y{k}" for k in range(1, 6)])
 
 
+_ratio_features_sql = f"""WITH {fx.CLEAN_CTE}, g AS (SELECT * REPLACE (
+    {', '.join(f'CASE WHEN (k1 + {i}) % 37 <> 0 THEN {c} END AS {c}' for i, c in enumerate(fx.FEATURES))})
+    FROM clean WHERE station IS NOT NULL),
+  p AS (SELECT *, row_number() OVER ({_ratio_order}) - 1 AS place, count(*) OVER (PARTITION BY station) AS n FROM g),
+  s AS (SELECT *, CASE WHEN place < floor(n * 0.6e0) THEN 'train'
+    WHEN place < floor(n * 0.6e0) + floor(n * 0.2e0) THEN 'val' ELSE 'test' END AS split FROM p),
+  u AS ({' UNION ALL '.join(f"SELECT station, '{c}' AS feature, split, place, {c} AS value FROM s" for c in fx.FEATURES)}),
+  long AS (SELECT station, feature, split, value,
+    row_number() OVER (PARTITION BY station, feature ORDER BY place) - 1 AS pos FROM u WHERE value IS NOT NULL),
+  w AS (SELECT *, row_number() OVER (PARTITION BY station, feature, split ORDER BY pos) - 1 AS sp,
+    count(*) OVER (PARTITION BY station, feature, split) AS sn,
+    {', '.join(f'lag(value, {k}) OVER (PARTITION BY station, feature ORDER BY pos) AS x{k}' for k in range(1, 13))},
+    {', '.join(f'lead(value, {k - 1}) OVER (PARTITION BY station, feature ORDER BY pos) AS y{k}' for k in range(1, 6))} FROM long)
+  SELECT station, feature, split, pos, {', '.join(f'x{k}' for k in range(1, 13))}, {', '.join(f'y{k}' for k in range(1, 6))}
+  FROM w WHERE sp >= 12 AND sp + 5 <= sn"""
+
+
+@query("supervised_frame_ratios_features", _ratio_features_sql)
+def supervised_frame_ratios_features(spark, sf):
+    """The same for every feature, each with missing values in other rows."""
+    from tidemark.plans.forecast import series_of
+
+    gaps = fx.clean(spark, sf).withColumns(
+        {c: F.when((F.col("k1") + i) % 37 != 0, F.col(c)) for i, c in enumerate(fx.FEATURES)})
+    placed = series.split_series(gaps, fx.LAYOUT, train=0.6, val=0.2)
+    frame = series.supervised_frame(series_of(placed, fx.LAYOUT, fx.FEATURES), ["station", "feature"], horizon=5)
+    xs = [f"x{k}" for k in range(1, 13)]
+    return frame.select("station", "feature", "split", "pos", *xs, *[f"y{k}" for k in range(1, 6)])
+
+
 _wanted = ["f_price", "f_disc", "absent"]
 
 
