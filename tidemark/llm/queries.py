@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact_dedup, jaccard, langid, packing, quality, toxicity, url_filter, warc
-from tidemark.llm.common import table
+from tidemark.llm import bpe, chat, collocations, exact_dedup, jaccard, langid, packing, periodic, quality, simhash, toxicity, url_filter, warc
+from tidemark.llm.common import table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,3 +126,49 @@ RULES = [
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op11_collocations", r"""
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+    p AS (SELECT lang, doc, unnest(regexp_split_to_array(s, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM p),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    c AS (SELECT lang, w[i:i + k - 1] AS g, k, count(*) AS f FROM g, (SELECT unnest([1, 2, 3, 4]) AS k)
+          WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (SELECT lang, g, k, f, unnest(range(1, k)) AS j FROM c WHERE k > 1),
+    each AS (SELECT x.lang, x.g, x.k, x.f AS a, x.j, l.f AS l, r.f AS r,
+                    CAST((2000000::HUGEINT * x.f) // (l.f + r.f) AS BIGINT) AS score
+             FROM cuts x JOIN c l ON l.lang = x.lang AND l.g = x.g[1:x.j] JOIN c r ON r.lang = x.lang AND r.g = x.g[x.j + 1:x.k]),
+    low AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS o FROM each),
+    inner_parts AS (SELECT lang, g, k, f, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+    parts AS (SELECT lang, g, f, m, unnest(range(1, k - m + 2)) AS i FROM inner_parts),
+    cover AS (SELECT lang, g[i:i + m - 1] AS g, max(f) AS f FROM parts GROUP BY ALL),
+    kept AS (SELECT low.*, array_to_string(low.g, ' ') AS phrase FROM low LEFT JOIN cover USING (lang, g)
+             WHERE o = 1 AND (cover.f IS NULL OR 100 * cover.f < 80 * a)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The contract's input: a tenth of the documents repeat p of their words from word a on."""
+    word, h = words(F.col("text")), F.crc32(F.col("doc_id").cast("string"))
+    planted = docs.withColumn("_w", F.when(h % 10 == 0, word)).withColumn("_g", F.floor(h / 10)).withColumn("_n", F.size("_w").cast("long"))
+    planted = planted.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.greatest(F.col("_n"), F.lit(1))))
+    planted = planted.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    repeated = F.expr("array_join(transform(sequence(0L, _n - 1), i -> _w[cast(if(i < _a, i, _a + (i - _a) % _p) as int)]), ' ')")
+    return planted.select("doc_id", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
