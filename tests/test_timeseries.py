@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tidemark.operators import autocorr, linear
+from tidemark.operators import autocorr, css, linear
 from tidemark.operators.autocorr import LagSums
 
 KEYS = ["station", "feature"]
@@ -213,16 +213,135 @@ def test_errors_of_a_slowly_forgetting_average(spark):
     assert model["last_errors"] == pytest.approx([want[4499]], abs=1e-9)
 
 
-def test_batched_search_equals_single_fits():
-    rnd = np.random.default_rng(4)
-    grams, helds = [], []
-    for _ in range(6):
-        x = np.cumsum(rnd.normal(size=200)) * 0.1 + rnd.normal(size=200)
-        cut = [np.array([[*(y[t - i] for i in range(13)), 1.0] for t in range(12, len(y))]) for y in (x[:150], x)]
-        grams.append(cut[0].T @ cut[0])
-        helds.append(cut[1].T @ cut[1] - grams[-1])
-    orders = linear.arima_orders()
-    scores = linear.search_orders(np.stack(grams), np.stack(helds), orders)
-    for gram, row in zip(grams, scores):
-        for order, score in zip(orders, row):
-            assert np.isfinite(score) == (linear.fit_order(gram, order) is not None)
+def direct_errors(order, theta, y):
+    """Errors of one series by the definition, zero before the first that exists."""
+    ar, ma = (p[0] for p in order.polynomials(np.array([theta], float)))
+    e = np.zeros(len(y))
+    for t in range(order.reach(), len(y)):
+        e[t] = sum(c * y[t - i] for i, c in enumerate(ar)) - theta[0] - sum(c * e[t - j] for j, c in enumerate(ma) if 0 < j <= t)
+    return e
+
+
+ORDERS = [css.Order(2, 1, 1, 1, 1, 4, 1), css.Order(0, 1, 1, 0, 1, 12, 1), css.Order(1, 0, 2), css.Order(0, 0, 0), css.Order(2, 0, 0, 1, 0, 5)]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_errors_and_derivatives(order):
+    rnd = np.random.default_rng(1)
+    y = rnd.normal(size=(120, 3)).cumsum(0) * 0.1 + rnd.normal(size=(120, 3))
+    theta = rnd.uniform(-0.3, 0.3, (3, order.size()))
+    errors, derivatives, end = css.run(order, y, theta)
+    for s in range(3):
+        np.testing.assert_allclose(errors[:, s], direct_errors(order, theta[s], y[:, s])[order.reach():], atol=1e-10)
+    for k in range(order.size()):
+        step = np.zeros_like(theta)
+        step[:, k] = 1e-6
+        numeric = (css.run(order, y, theta + step)[0] - css.run(order, y, theta - step)[0]) / 2e-6
+        np.testing.assert_allclose(derivatives[:, :, k], numeric, atol=1e-6)
+    # In two pieces: from the state the first one leaves, and from nothing plus what that state is carried to.
+    cut, reach = 70, order.reach()
+    first, second = css.run(order, y[:cut], theta), None
+    second = css.run(order, y[cut - reach:], theta, first[2])
+    np.testing.assert_allclose(np.concatenate([first[0], second[0]]), errors, atol=1e-10)
+    np.testing.assert_allclose(np.concatenate([first[1], second[1]]), derivatives, atol=1e-10)
+    local = css.run(order, y[cut - reach:], theta)[2]
+    for s in range(3):
+        np.testing.assert_allclose(local[:, s] + css.carry(order, theta[s], 120 - cut, first[2][:, s]), end[:, s], atol=1e-10)
+
+
+def test_recursion_of_a_long_series():
+    """Blocks of responses equal the step by step recursion."""
+    rnd = np.random.default_rng(2)
+    x, ma = rnd.normal(size=(3000, 2, 3)), np.array([[1, 0.5, 0, 0, -0.3], [1, 0.95, 0.2, 0, 0.0]])
+    state = rnd.normal(size=(4, 2, 3))
+    want = np.concatenate([state, np.zeros_like(x)])
+    for t in range(4, len(want)):
+        want[t] = x[t - 4] - sum(ma[:, j, None] * want[t - j] for j in range(1, 5))
+    np.testing.assert_allclose(css.recursion(x, ma, state)[4:], want[4:], atol=1e-9)
+
+
+def seasonal_series(n, theta, seasonal, seed=0, period=12):
+    """(0,1,1)(0,1,1): the differenced series is a product of two moving averages."""
+    e = noise(n + period + 1, seed)
+    z = e.copy()
+    z[1:] += theta * e[:-1]
+    z[period:] += seasonal * e[:-period]
+    z[period + 1:] += theta * seasonal * e[:-period - 1]
+    y = z.copy()
+    for t in range(len(y)):
+        y[t] += sum(c * y[t - k] for k, c in ((1, 1), (period, 1), (period + 1, -1)) if t >= k)
+    return y[period + 1:]
+
+
+def test_seasonal_moving_average(spark):
+    """A planted (0,1,1)(0,1,1) of period 12 is recovered and forecast as by its recursion."""
+    rows = long_rows(spark, {"a": seasonal_series(900, -0.5, -0.6, 4), "b": seasonal_series(700, 0.4, -0.5, 5)})
+    order = css.Order(0, 1, 1, 0, 1, 12, 1)
+    models = linear.fit_linear(rows, KEYS, [order], model="sarima")
+    got = {r["station"]: r for r in models.collect()}
+    for name, theta, seasonal in (("a", -0.5, -0.6), ("b", 0.4, -0.5)):
+        ma = got[name]["ma"]
+        assert ma[0] == pytest.approx(theta, abs=0.12) and ma[11] == pytest.approx(seasonal, abs=0.12)
+        assert ma[12] == pytest.approx(ma[0] * ma[11], abs=1e-12) and got[name]["sigma2"] == pytest.approx(1, abs=0.15)
+    out = linear.forecast_linear(models.where("station = 'a'"), KEYS).orderBy("step").toPandas()
+    mean, sd = simulate(got["a"], len(out))
+    np.testing.assert_allclose(out.forecast, mean, rtol=1e-8)
+    np.testing.assert_allclose(out.hi - out.forecast, linear.Z975 * sd, rtol=1e-8)
+    orders = [css.Order(p, 1, q, sp, 1, 12, sq) for p in (0, 1) for q in (0, 1) for sp in (0, 1) for sq in (0, 1)]
+    chosen = linear.fit_linear(rows, KEYS, orders, model="sarima").collect()
+    assert all(r["q"] + r["p"] > 0 and r["sq"] + r["sp"] > 0 for r in chosen)
+
+
+@pytest.mark.parametrize("limit", [None, 60])
+def test_validation_error_is_the_whole_recursion(spark, limit):
+    """Root 0.95: the score of an order and the last errors are those of the recursion from the first reading."""
+    e = noise(501, 12)
+    x = e[1:] + 0.95 * e[:-1]
+    rows = long_rows(spark, {"a": x, "b": ar_series(300, [0.6], 3)})
+    order = css.Order(0, 0, 1)
+    model = linear.fit_linear(rows, KEYS, [order], group_rows=limit).where("station = 'a'").first()
+    y = x[:450] - model["center"]
+    assert np.isnan(linear.first_estimates(np.zeros((1, 14, 14)), order)).all()
+    # The same search by hand: train on 400, score on the next 50.
+    sums = linear.split_lag_sums(rows, KEYS, linear.needed_lag([order])).where("station = 'a'").first()
+    train = LagSums(400, sums["s_train"], sums["head"], sums["tail_train"], sums["total_train"])
+    start = linear.first_estimates(train.gram(12, 12)[None], order)
+    fits = css.minimise(order, y[:400, None], np.array([400]), [start], linear.TRAIN_PASSES)
+    errors = direct_errors(order, fits.theta[0], y)
+    assert model["val_rmse"] == pytest.approx(np.sqrt((errors[400:] ** 2).mean()), rel=1e-6)
+    theta = [model["const"], model["ma"][0]]
+    last = direct_errors(order, theta, y)
+    assert model["last_errors"][0] == pytest.approx(last[-1], abs=1e-9)
+    assert model["sigma2"] == pytest.approx((last ** 2).mean(), rel=1e-9)
+
+
+def test_gradient_vanishes_and_variance_is_no_larger_than_the_first_estimate(spark):
+    for seed, order in enumerate([css.Order(1, 0, 1), css.Order(2, 1, 2), css.Order(1, 0, 0, 1, 0, 12, 0), css.Order(0, 1, 1, 0, 1, 12, 1)]):
+        x = np.cumsum(ar_series(400, [0.4, 0.2], seed, 0.0)) * 0.2 + ar_series(400, [0.5], seed + 9, 0.0)
+        rows = long_rows(spark, {"a": x})
+        model = linear.fit_linear(rows, KEYS, [order], model="sarima" if order.period else "arima").first()
+        y = (x[:360] - model["center"])[:, None]
+        sums = linear.split_lag_sums(rows, KEYS, linear.needed_lag([order])).first()
+        both = LagSums(sums["n"], sums["s_all"], sums["head"], sums["tail_all"], sums["total_all"])
+        lags = min(len(sums["s_all"]) - 1, 80)
+        start = linear.first_estimates(both.gram(lags, lags)[None], order)
+        first = (css.run(order, y, start)[0] ** 2).sum()
+        n = 360 - order.reach()
+        assert model["sigma2"] * n <= first * (1 + 1e-12)
+        found = css.minimise(order, y, np.array([360]), [start], 60)
+        assert model["sigma2"] * n == pytest.approx(found.sse[0], rel=1e-4)
+        ratio = np.abs(found.gradient[0]) / np.sqrt(np.diagonal(found.products[0]) * found.sse[0])
+        assert ratio[css.stable(order, found.theta * 1.0005).repeat(len(ratio))].max(initial=0) < 1e-4
+
+
+def test_pieces_give_the_same_models(spark):
+    """Series above the group limit: the same orders and coefficients as in one row."""
+    rows = long_rows(spark, {"a": seasonal_series(300, -0.5, -0.6, 4), "b": ar_series(260, [0.5, 0.2], 8), "c": noise(240, 3)})
+    orders = [css.Order(1, 0, 1), css.Order(0, 1, 1, 0, 1, 12, 1), css.Order(2, 0, 0)]
+    whole = linear.fit_linear(rows, KEYS, orders, model="sarima").orderBy("station").collect()
+    pieces = linear.fit_linear(rows, KEYS, orders, model="sarima", group_rows=70).orderBy("station").collect()
+    for a, b in zip(whole, pieces):
+        assert (a["p"], a["d"], a["q"], a["sq"], a["status"]) == (b["p"], b["d"], b["q"], b["sq"], b["status"])
+        for c in ("ar", "ma", "last_errors", "last_values"):
+            np.testing.assert_allclose(a[c], b[c], atol=1e-7)
+        assert a["sigma2"] == pytest.approx(b["sigma2"], rel=1e-9) and a["val_rmse"] == pytest.approx(b["val_rmse"], rel=1e-7)

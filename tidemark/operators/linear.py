@@ -1,16 +1,16 @@
 """ARIMA and seasonal ARIMA for every series in one distributed job.
 
-Order search and estimation need nothing but cross products of lags, so the
-data is read once to sum them per series; each series is then a single small
-row to solve. Moving-average terms are estimated in two regressions (a long
-autoregression supplies the residuals), orders are chosen by one-step error on
-the validation split, and the winner is refitted on train plus validation.
+First estimates need nothing but cross products of lags, summed per series in one
+read: two regressions, of which the first supplies residuals for moving averages.
+From there each order's conditional sum of squares over train is minimised; its
+whole recursion over validation chooses the order, which is fitted again on both.
+A series is one task's row; one above the group limit is cut into pieces that
+are run side by side, pass by pass, for all orders at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 from operator import sub
@@ -21,41 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.autocorr import Z975, LagSums, edge_values, regress, shift
+from tidemark.operators import css
+from tidemark.operators.autocorr import Z975, LagSums, edge_values, shift
+from tidemark.operators.css import Order
 from tidemark.operators.series import floors, lagged
 from tidemark.scratch import balance, materialize, max_group_rows
 
 MAX_LAG = 12
 STEPS_PER_ROW = 10_000
-STABLE = 0.999
 SERIES_PER_SOLVE = 512
-
-
-@dataclass(frozen=True)
-class Order:
-    p: int
-    d: int
-    q: int
-    sp: int = 0
-    sd: int = 0
-    period: int = 0
-
-    def difference(self) -> np.ndarray:
-        poly = np.ones(1)
-        for _ in range(self.d):
-            poly = np.convolve(poly, [1.0, -1.0])
-        for _ in range(self.sd):
-            poly = np.convolve(poly, [1.0] + [0.0] * (self.period - 1) + [-1.0])
-        return poly
-
-    def ar_lags(self) -> list[int]:
-        return list(range(1, self.p + 1)) + [self.period * i for i in range(1, self.sp + 1)]
-
-    def reach(self) -> int:
-        return len(self.difference()) - 1 + max([0, *self.ar_lags()])
-
-    def size(self) -> int:
-        return self.p + self.q + self.sp + 1
+READINGS_PER_SOLVE = 100_000
+TRAIN_PASSES = 6
+FINAL_PASSES = 10
 
 
 def arima_orders() -> list[Order]:
@@ -63,15 +40,15 @@ def arima_orders() -> list[Order]:
 
 
 def sarima_orders(period: int) -> list[Order]:
-    grid = product((0, 1), (0, 1), range(3), range(2), range(2))
-    return [Order(p, d, q, sp, sd, period) for d, sd, p, q, sp in grid]
+    grid = product((0, 1), (0, 1), range(3), range(2), range(2), range(2))
+    return [Order(p, d, q, sp, sd, period, sq) for d, sd, p, q, sp, sq in grid]
 
 
 def needed_lag(orders: list[Order]) -> int:
-    """Lags that leave room for the long autoregression of every order."""
+    """Lags that leave room for the long autoregression of every order, and for the last values a forecast needs."""
     period = max(o.period for o in orders)
     own = max(len(o.difference()) - 1 + o.q for o in orders)
-    return max(MAX_LAG, own + (period + 2 if period else 0))
+    return max(MAX_LAG, own + (period + 2 if period else 0), *(o.reach() for o in orders))
 
 
 def split_lag_sums(long: DataFrame, keys: list[str], max_lag: int, *, group_rows: int | None = None) -> DataFrame:
@@ -110,38 +87,6 @@ def split_lag_sums(long: DataFrame, keys: list[str], max_lag: int, *, group_rows
     return arrays.join(raw, keys).withColumns(centred)
 
 
-def _stable(poly: np.ndarray) -> bool:
-    """Whether every root of 1 + c1 z + … lies outside the unit circle."""
-    trimmed = np.trim_zeros(poly, "b")
-    return len(trimmed) < 2 or bool(np.max(np.abs(np.roots(trimmed))) < STABLE)
-
-
-def fit_order(gram: np.ndarray, order: Order):
-    """(const, AR polynomial, MA polynomial, variance) or None when not estimable."""
-    lags, nobs = len(gram) - 2, gram[-1, -1]
-    delta, ar_lags = order.difference(), order.ar_lags()
-    long_ar = lags - order.q - (len(delta) - 1) if order.q else 0
-    if order.reach() > lags or (order.q and long_ar < max([1, *ar_lags])):
-        return None
-    if nobs <= max(order.size(), long_ar + 1) + 1:
-        return None
-    z, const = np.zeros(lags + 2), np.zeros(lags + 2)
-    z[:len(delta)], const[-1] = delta, 1.0
-    rows = [const] + [shift(z, k) for k in ar_lags]
-    if order.q:
-        residual = regress(gram, z, np.array([const] + [shift(z, k) for k in range(1, long_ar + 1)]))[1]
-        rows += [shift(residual, j) for j in range(1, order.q + 1)]
-    coef, _, ssr, _ = regress(gram, z, np.array(rows))
-    ar = np.zeros(max([0, *ar_lags]) + 1)
-    ar[0] = 1.0
-    for lag, c in zip(ar_lags, coef[1:]):
-        ar[lag] -= c
-    ma = np.concatenate(([1.0], coef[1 + len(ar_lags):]))
-    if not (np.all(np.isfinite(coef)) and _stable(ar) and _stable(ma)):
-        return None
-    return float(coef[0]), np.convolve(ar, delta), ma, ssr / nobs
-
-
 def _solve_all(gram: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least squares of many series at once: coefficients (NaN where singular) and residual filters."""
     gx = x @ gram
@@ -158,119 +103,131 @@ def _solve_all(gram: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarr
     return coef, y - np.einsum("sm,smk->sk", coef, x)
 
 
-def _all_stable(polys: np.ndarray) -> np.ndarray:
-    """Per row 1 + c1 z + …: whether every root lies outside the unit circle."""
-    n = polys.shape[1] - 1
-    ok = np.isfinite(polys).all(1)
-    if n == 0 or not ok.any():
-        return ok
-    companion = np.zeros((int(ok.sum()), n, n))
-    companion[:, 0, :] = -polys[ok, 1:]
-    companion[:, np.arange(1, n), np.arange(n - 1)] = 1.0
-    ok[ok] = np.abs(np.linalg.eigvals(companion)).max(1) < STABLE
-    return ok
+def first_estimates(gram: np.ndarray, order: Order) -> np.ndarray:
+    """Coefficients of an order from cross products, series x parameters; NaN where not estimable.
 
-
-def search_orders(gram: np.ndarray, held_out: np.ndarray, orders: list[Order]) -> np.ndarray:
-    """Mean squared one-step error on the held-out products, series x orders; inf if not estimable.
-
-    The same estimate as ``fit_order`` for all series of a batch together. The
-    one-step filter reaches back as many lags as the products hold; a moving
-    average with a root close to one is therefore scored on its recent past.
+    A long autoregression supplies the residuals whose lags stand for the moving
+    average; seasonal moving averages begin at zero. Seasonal lags enter by
+    themselves, without their products with plain ones.
     """
     count, width = len(gram), gram.shape[1]
     lags, nobs = width - 2, gram[:, -1, -1]
-    out = np.full((count, len(orders)), np.inf)
-    for at, order in enumerate(orders):
-        delta, ar_lags = order.difference(), order.ar_lags()
-        long_ar = lags - order.q - (len(delta) - 1) if order.q else 0
-        if order.reach() > lags or (order.q and long_ar < max([1, *ar_lags])):
-            continue
-        z, const = np.zeros(width), np.zeros(width)
-        z[:len(delta)], const[-1] = delta, 1.0
-        ys = np.broadcast_to(z, (count, width))
-        rows = np.broadcast_to(np.array([const] + [shift(z, k) for k in ar_lags]), (count, 1 + len(ar_lags), width))
-        if order.q:
-            history = np.array([const] + [shift(z, k) for k in range(1, long_ar + 1)])
-            residual = _solve_all(gram, ys, np.broadcast_to(history, (count, *history.shape)))[1]
-            moved = []
-            for j in range(1, order.q + 1):
-                own = np.zeros_like(residual)
-                own[:, j:-1] = residual[:, :width - 1 - j]
-                own[:, -1] = residual[:, -1]
-                moved.append(own)
-            rows = np.concatenate([rows, np.stack(moved, 1)], 1)
-        coef = _solve_all(gram, ys, rows)[0]
-        ar = np.zeros((count, max([0, *ar_lags]) + 1))
-        ar[:, 0] = 1.0
-        for k, lag in enumerate(ar_lags, start=1):
-            ar[:, lag] -= coef[:, k]
-        ma = np.concatenate([np.ones((count, 1)), coef[:, 1 + len(ar_lags):]], 1)
-        ok = np.isfinite(coef).all(1) & (nobs > max(order.size(), long_ar + 1) + 1) & _all_stable(ar) & _all_stable(ma)
-        if not ok.any():
-            continue
-        full = np.zeros((count, ar.shape[1] + len(delta) - 1))
-        for k, d in enumerate(delta):
-            full[:, k:k + ar.shape[1]] += d * ar
-        error = np.zeros((count, width))
-        for k in range(lags + 1):
-            error[:, k] = full[:, k] if k < full.shape[1] else 0.0
-            for j in range(1, min(k, ma.shape[1] - 1) + 1):
-                error[:, k] -= ma[:, j] * error[:, k - j]
-        error[:, -1] = -coef[:, 0] / ma.sum(1)
-        error[~ok] = 0.0
-        squares = np.maximum(np.einsum("sk,skl,sl->s", error, held_out, error), 0.0)
-        out[ok, at] = (squares / held_out[:, -1, -1])[ok]
-    return out
-
-
-def fit_batch(rows: list, orders: list[Order]) -> list[dict]:
-    """Best order of every series of a batch: search on train, score on validation, refit on both."""
+    delta, ar_lags = order.difference(), order.ar_lags()
+    theta = np.full((count, order.size()), np.nan)
+    long_ar = lags - order.q - (len(delta) - 1) if order.q else 0
+    if order.reach() > lags or (order.q and long_ar < max([1, *ar_lags])):
+        return theta
+    z, const = np.zeros(width), np.zeros(width)
+    z[:len(delta)], const[-1] = delta, 1.0
+    ys = np.broadcast_to(z, (count, width))
+    rows = np.broadcast_to(np.array([const] + [shift(z, k) for k in ar_lags]), (count, 1 + len(ar_lags), width))
+    if order.q:
+        history = np.array([const] + [shift(z, k) for k in range(1, long_ar + 1)])
+        residual = _solve_all(gram, ys, np.broadcast_to(history, (count, *history.shape)))[1]
+        moved = []
+        for j in range(1, order.q + 1):
+            own = np.zeros_like(residual)
+            own[:, j:-1] = residual[:, :width - 1 - j]
+            own[:, -1] = residual[:, -1]
+            moved.append(own)
+        rows = np.concatenate([rows, np.stack(moved, 1)], 1)
+    theta[:, :rows.shape[1]] = _solve_all(gram, ys, rows)[0]
+    theta[:, rows.shape[1]:] = 0.0
+    theta[nobs <= max(order.size(), long_ar + 1) + 1] = np.nan
+    if order.linear():  # the regression is the fit: an unstable one is none
+        theta[~css.stable(order, theta)] = np.nan
+        return theta
+    return css.shrunk(order, theta)
+
+
+def starts_of_batch(rows: list, orders: list[Order]) -> list[dict]:
+    """Per series, first estimates of every order on train and on train plus validation; None where there are none."""
     by_lags: dict[int, list[int]] = {}
-    sums = []
+    grams = []
     for i, r in enumerate(rows):
         lags = min(len(r.s_all) - 1, max(2, int(r.n_train) // 4))
         train = LagSums(r.n_train, r.s_train, r.head, r.tail_train, r.total_train)
         both = LagSums(r.n, r.s_all, r.head, r.tail_all, r.total_all)
-        gram = train.gram(lags, lags)
-        sums.append((both, gram, both.gram(lags, lags) - gram, lags))
+        grams.append((train.gram(lags, lags), {k: both.gram(k, k) for k in {lags} | {o.reach() for o in orders if o.linear() and o.reach() <= lags}}))
         by_lags.setdefault(lags, []).append(i)
-    found: list[dict] = [{}] * len(rows)
-    for members in by_lags.values():
-        scores = search_orders(
-            np.stack([sums[i][1] for i in members]), np.stack([sums[i][2] for i in members]), orders)
-        for i, own in zip(members, scores):
-            found[i] = _refit(rows[i], sums[i][0], own, orders, sums[i][3])
+    found: list[dict] = [{"train": [], "both": []} for _ in rows]
+    for lags, members in by_lags.items():
+        train = np.stack([grams[i][0] for i in members])
+        for order in orders:
+            # A regression on the sample of the errors themselves, where it is the fit.
+            reach = order.reach() if order.linear() and order.reach() <= lags else lags
+            estimates = {"train": first_estimates(train, order), "both": first_estimates(np.stack([grams[i][1][reach] for i in members]), order)}
+            for name, theta in estimates.items():
+                for i, own in zip(members, theta):
+                    found[i][name].append(own.tolist() if np.isfinite(own).all() else None)
     return found
 
 
-def _refit(r, both: LagSums, scores: np.ndarray, orders: list[Order], lags: int) -> dict:
-    """Model of the best order that can be estimated on train plus validation."""
-    ranked = sorted((s, orders[i].size(), i) for i, s in enumerate(scores) if np.isfinite(s))
-    for mse, _, i in ranked:
-        order = orders[i]
-        reach = lags if order.q else order.reach()
-        try:
-            model = fit_order(both.gram(reach, reach), order)
-        except np.linalg.LinAlgError:
-            continue
-        if model is None:
+def best_orders(scores: np.ndarray, orders: list[Order]) -> np.ndarray:
+    """Per series the order of the least score, the smaller one on a tie; -1 without any."""
+    size = np.array([o.size() for o in orders])
+    out = np.full(len(scores), -1)
+    for i, own in enumerate(scores):
+        if np.isfinite(own).any():
+            out[i] = np.lexsort((np.arange(len(own)), size, own))[0]
+    return out
+
+
+def _thetas(starts: list, order: Order) -> np.ndarray:
+    return np.array([s if s is not None else [np.nan] * order.size() for s in starts], float).reshape(len(starts), order.size())
+
+
+def fit_series(rows: list, orders: list[Order]) -> list[dict]:
+    """Models of whole series of like lengths: every order on train, its error on validation, the best one on both."""
+    longest = max(len(r.values) for r in rows)
+    y = np.zeros((longest, len(rows)))
+    for i, r in enumerate(rows):
+        y[:len(r.values), i] = np.asarray(r.values, float) - r.center
+    n_train, n = (np.array([getattr(r, c) for r in rows], int) for c in ("n_train", "n"))
+    scores, trained = np.full((len(rows), len(orders)), np.inf), {}
+    for at, order in enumerate(orders):
+        theta = _thetas([r.train[at] for r in rows], order)
+        here = np.flatnonzero(np.isfinite(theta).all(1))
+        if not len(here):
             continue
-        const, ar, ma, variance = model
-        recent = np.asarray(r.tail_all, dtype=float)[::-1]
-        return dict(
-            status="ok", p=order.p, d=order.d, q=order.q, sp=order.sp, sd=order.sd, period=order.period,
-            const=const, ar=list(-ar[1:]), ma=list(ma[1:]), sigma2=variance, val_rmse=mse**0.5,
-            last_values=list(recent[:max(len(ar) - 1, 1)]), last_errors=[])
-    return dict(status="no estimable order")
+        fit = css.minimise(order, y[:, here], n_train[here], [theta[here]], TRAIN_PASSES)
+        trained[at] = dict(zip(here.tolist(), fit.theta))
+        errors = css.run(order, y[:, here], fit.theta)[0]
+        times = order.reach() + np.arange(len(errors))[:, None]
+        held_out = (times >= n_train[here]) & (times < n[here])
+        mse = (np.where(held_out, errors, 0.0) ** 2).sum(0) / np.maximum(held_out.sum(0), 1)
+        scores[here, at] = np.where(np.isfinite(fit.sse), mse, np.inf)
+    best = best_orders(scores, orders)
+    found: list[dict] = [dict(status="no estimable order")] * len(rows)
+    for at in sorted(set(best.tolist()) - {-1}):
+        order, here = orders[at], np.flatnonzero(best == at)
+        theta = np.stack([trained[at][i] for i in here])
+        again = _thetas([rows[i].both[at] for i in here], order)
+        again = np.where(np.isfinite(again).all(1)[:, None], again, theta)
+        fit = css.minimise(order, y[:, here], n[here], [theta, again], FINAL_PASSES)
+        errors = css.run(order, y[:, here], fit.theta)[0]
+        for k, i in enumerate(here):
+            last = errors[:n[i] - order.reach(), k][::-1][:order.memory()]
+            found[i] = _model(rows[i], order, fit.theta[k], fit.sse[k], scores[i, at], last)
+    return found
+
+
+def _model(r, order: Order, theta: np.ndarray, sse: float, score: float, last_errors) -> dict:
+    ar, ma = (poly[0] for poly in order.polynomials(theta[None]))
+    recent = np.asarray(r.tail_all, dtype=float)[::-1]
+    errors = [*map(float, last_errors), *[0.0] * (order.memory() - len(last_errors))]
+    return dict(
+        status="ok", p=order.p, d=order.d, q=order.q, sp=order.sp, sd=order.sd, sq=order.sq, period=order.period,
+        const=float(theta[0]), ar=list(-ar[1:]), ma=list(ma[1:]), sigma2=float(sse) / (int(r.n) - order.reach()),
+        val_rmse=float(score) ** 0.5, last_values=list(recent[:max(len(ar) - 1, 1)]), last_errors=errors)
 
 
 MODEL_FIELDS = (
-    "status string, p int, d int, q int, sp int, sd int, period int, const double, ar array<double>, "
+    "status string, p int, d int, q int, sp int, sd int, sq int, period int, const double, ar array<double>, "
     "ma array<double>, sigma2 double, val_rmse double, last_values array<double>, "
     "last_errors array<double>")
 _names = [f.split()[0] for f in MODEL_FIELDS.split(", ")]
-_types = {c: "Int32" for c in ("p", "d", "q", "sp", "sd", "period")}
+_types = {c: "Int32" for c in ("p", "d", "q", "sp", "sd", "sq", "period")}
 
 
 def _key_fields(df: DataFrame, names: list[str]) -> str:
@@ -282,9 +239,29 @@ def fit_linear(
     group_rows: int | None = None,
 ) -> DataFrame:
     """One model row per series; series that cannot be fitted carry a status instead."""
+    length = max_group_rows(long.sparkSession, group_rows)
     sums = split_lag_sums(long, keys, needed_lag(orders), group_rows=group_rows)
+    starts = materialize(_starts(sums, keys, orders, model), "first-estimates")
+    failed = starts.where("status IS NOT NULL")
+    usable = starts.where("status IS NULL")
+    values = long.where("split <> 'test'").select(*keys, "pos", "value")
+    long_series = usable.where(F.col("n") > length)
+    if long_series.isEmpty():
+        found = _fit_whole(values, usable, keys, orders)
+    else:
+        found = _fit_whole(values, usable.where(F.col("n") <= length), keys, orders).unionByName(
+            _fit_pieces(values, materialize(long_series, "long-series"), keys, orders, length))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in failed.columns]
+    return materialize(found.unionByName(failed.select(*keys, *KEPT, "status", *none)), "linear-models")
+
+
+KEPT = ["n_train", "n_val", "n_test", "center"]
+START_FIELDS = ("n_train long, n_val long, n_test long, n long, center double, status string, "
+                "tail_all array<double>, train array<array<double>>, both array<array<double>>")
+
+
+def _starts(sums: DataFrame, keys: list[str], orders: list[Order], model: str) -> DataFrame:
     train, val, test = floors(model)
-    kept = ["n_train", "n_val", "n_test", "center"]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -292,42 +269,213 @@ def fit_linear(
             long_enough = [r.n_train >= train and r.n_val >= val and r.n_test >= test for r in series]
             rows = [dict(status="too short")] * len(series)
             wanted = [i for i, ok in enumerate(long_enough) if ok]
-            for start in range(0, len(wanted), SERIES_PER_SOLVE):
-                chunk = wanted[start:start + SERIES_PER_SOLVE]
-                for i, model in zip(chunk, _guarded([series[i] for i in chunk], orders)):
-                    rows[i] = model
-            fitted = pd.DataFrame({c: pd.Series([x.get(c) for x in rows], dtype=_types.get(c, object)) for c in _names})
-            yield pd.concat([batch[[*keys, *kept]].reset_index(drop=True), fitted], axis=1)
+            for at in range(0, len(wanted), SERIES_PER_SOLVE):
+                chunk = wanted[at:at + SERIES_PER_SOLVE]
+                for i, found in zip(chunk, _guarded(starts_of_batch, [series[i] for i in chunk], orders)):
+                    rows[i] = found
+            kept = batch[[*keys, *KEPT, "n", "tail_all"]].reset_index(drop=True)
+            yield pd.concat([kept, pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in ("status", "train", "both")})], axis=1)
+
+    return balance(sums, keys).mapInPandas(solve, f"{_key_fields(sums, keys)}, {START_FIELDS}")
 
-    fields = f"{_key_fields(sums, keys)}, n_train long, n_val long, n_test long, center double, {MODEL_FIELDS}"
-    models = materialize(balance(sums, keys).mapInPandas(solve, fields), "linear-models")
-    return _with_last_errors(long, models, keys, group_rows)
 
+def _fit_whole(values: DataFrame, starts: DataFrame, keys: list[str], orders: list[Order]) -> DataFrame:
+    """Series within the group limit: each one row, fitted in batches of like lengths."""
+    gathered = values.join(starts.select(*keys), keys, "left_semi").groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]).alias("values"))
 
-def _guarded(rows: list, orders: list[Order]) -> list[dict]:
-    """A batch; one by one if it fails, so that a bad series fails alone."""
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            series = list(batch.itertuples(index=False))
+            order = sorted(range(len(series)), key=lambda i: len(series[i].values))
+            rows: list[dict] = [{}] * len(series)
+            chunk: list[int] = []
+            for place, i in enumerate(order):
+                chunk.append(i)
+                following = len(series[order[place + 1]].values) if place + 1 < len(order) else 0
+                if not following or following * (len(chunk) + 1) > READINGS_PER_SOLVE:
+                    for j, found in zip(chunk, _guarded(fit_series, [series[j] for j in chunk], orders)):
+                        rows[j] = found
+                    chunk = []
+            yield _model_rows(batch, keys, rows)
+
+    rows = balance(gathered.join(starts, keys), keys)
+    return rows.mapInPandas(solve, _model_schema(starts, keys))
+
+
+def _model_schema(df: DataFrame, keys: list[str]) -> str:
+    return f"{_key_fields(df, keys)}, n_train long, n_val long, n_test long, center double, {MODEL_FIELDS}"
+
+
+def _model_rows(batch: pd.DataFrame, keys: list[str], rows: list[dict]) -> pd.DataFrame:
+    fitted = pd.DataFrame({c: pd.Series([x.get(c) for x in rows], dtype=_types.get(c, object)) for c in _names})
+    return pd.concat([batch[[*keys, *KEPT]].reset_index(drop=True), fitted], axis=1)
+
+
+def _guarded(solve, rows: list, orders: list[Order]) -> list[dict]:
+    """A batch; in halves if it fails, so that a bad series fails alone."""
     try:
-        return fit_batch(rows, orders)
+        return solve(rows, orders)
     except (ValueError, np.linalg.LinAlgError) as e:
         if len(rows) == 1:
             return [dict(status=f"failed: {e}")]
-        return [model for r in rows for model in _guarded([r], orders)]
+        half = len(rows) // 2
+        return _guarded(solve, rows[:half], orders) + _guarded(solve, rows[half:], orders)
+
+
+# ---- series in pieces -------------------------------------------------------------------------------
 
+FIT_FIELDS = ("o int, until long, theta array<double>, sse double, held_out double, gradient array<double>, "
+              "products array<double>, damping double, trial array<double>, other array<double>")
 
-def _with_last_errors(long: DataFrame, models: DataFrame, keys: list[str], group_rows: int | None) -> DataFrame:
-    """Replace ``last_errors`` by the errors at the end of train plus validation, latest first."""
-    moving = models.where("size(ma) > 0")
-    if moving.isEmpty():
-        return models
-    fitted = long.where("split <> 'test'")
-    ends = moving.select(*keys, (F.col("n_train") + F.col("n_val")).alias("_end"), F.size("ma").alias("_q"))
-    errors = one_step_errors(fitted, moving, keys, group_rows=group_rows, attach=ends)
-    near = errors.where(F.col("pos") >= F.col("_end") - F.col("_q"))
-    last = near.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("error", F.lit(0.0)).alias("e"))), asc=False).alias("_near"))
-    found = last.select(*keys, F.transform("_near", lambda x: x["e"]).alias("_last"))
-    joined = models.join(found, keys, "left")
-    return materialize(joined.withColumn("last_errors", F.coalesce("_last", "last_errors")).select(*models.columns), "linear-models")
+
+def _fit_pieces(values: DataFrame, starts: DataFrame, keys: list[str], orders: list[Order], length: int) -> DataFrame:
+    """Series above the group limit: pieces with a halo, and a row per series and order that says where its descent is.
+
+    A pass runs every piece from nothing, chains the ends into the true states
+    before each piece, runs the pieces from those, and adds up their sums. There
+    are as many passes as a whole series is given.
+    """
+    halo = max(o.reach() for o in orders)
+    if length <= halo:
+        raise ValueError("group limit must exceed the readings that an order reaches back")
+    seg = F.floor(F.col("pos") / length).cast("long")
+    near_end = F.when(F.col("pos") % length >= length - halo, F.array(seg, seg + 1)).otherwise(F.array(seg))
+    centred = values.join(starts.select(*keys, "n", "center"), keys).withColumn("seg", F.explode(near_end))
+    pieces = materialize(centred.where(F.col("seg") * length < F.col("n")).groupBy(*keys, "seg").agg(
+        F.min("pos").alias("first"), (F.col("seg") * length - F.min("pos")).alias("halo"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", (F.col("value") - F.col("center")).alias("y")))), lambda r: r["y"]).alias("y")),
+        "pieces")
+    begun = starts.select(*keys, "n", "n_train", F.posexplode("train").alias("o", "trial")).where("trial IS NOT NULL")
+    none = F.lit(None)
+    fits = begun.select(
+        *keys, "o", F.col("n_train").alias("until"), F.col("trial").alias("theta"), F.lit(float("inf")).alias("sse"),
+        none.cast("double").alias("held_out"), none.cast("array<double>").alias("gradient"), none.cast("array<double>").alias("products"),
+        F.lit(1e-3).alias("damping"), "trial", none.cast("array<double>").alias("other"))
+    for _ in range(TRAIN_PASSES):
+        fits = _pass(pieces, fits, starts, keys, orders)
+    sizes = F.element_at(F.array(*[F.lit(o.size()) for o in orders]), F.col("o") + 1)
+    chosen = fits.where("isnotnull(held_out) AND NOT isnan(held_out)").groupBy(*keys).agg(
+        F.min(F.struct("held_out", sizes.alias("size"), "o", "theta")).alias("b")).select(*keys, "b.held_out", "b.o", "b.theta")
+    best = materialize(chosen.withColumnRenamed("held_out", "score"), "best-orders")
+    again = best.join(starts.select(*keys, "n", "both"), keys)
+    fits = again.select(
+        *keys, "o", F.col("n").alias("until"), "theta", F.lit(float("inf")).alias("sse"), none.cast("double").alias("held_out"),
+        none.cast("array<double>").alias("gradient"), none.cast("array<double>").alias("products"), F.lit(1e-3).alias("damping"),
+        F.col("theta").alias("trial"), F.element_at("both", F.col("o") + 1).alias("other"))
+    for _ in range(FINAL_PASSES + 1):
+        fits = _pass(pieces, fits, starts, keys, orders)
+    last = _chained(pieces, fits.withColumn("trial", F.col("theta")), keys, orders).where("seg < 0").select(*keys, "state")
+    done = starts.join(best.select(*keys, "score"), keys, "left").join(fits.select(*keys, "o", "theta", "sse"), keys, "left").join(last, keys, "left")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if r.theta is None:
+                    rows.append(dict(status="no estimable order"))
+                    continue
+                order = orders[int(r.o)]
+                errors = np.asarray(r.state, float).reshape(order.memory(), 3 + order.p + order.sp)[::-1, 0]
+                rows.append(_model(r, order, np.asarray(r.theta, float), r.sse, r.score / int(r.n_val), errors))
+            yield _model_rows(batch, keys, rows)
+
+    return done.mapInPandas(finish, _model_schema(starts, keys))
+
+
+def _own(order: Order, piece) -> np.ndarray:
+    """Readings of a piece with as many before it as the order reaches back."""
+    return np.asarray(piece.y, float)[max(0, int(piece.halo) - order.reach()):, None]
+
+
+def _chained(pieces: DataFrame, fits: DataFrame, keys: list[str], orders: list[Order]) -> DataFrame:
+    """(keys, o, seg, state): what precedes each piece under its fit's trial; under seg -1 what the last piece leaves."""
+    trials = fits.groupBy(*keys).agg(F.collect_list(F.struct("o", "trial")).alias("trials"))
+    joined = pieces.join(trials, keys)
+    own_keys = _key_fields(pieces, keys)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                out = []
+                for t in r.trials:
+                    order, theta = orders[int(t["o"])], np.asarray(t["trial"], float)
+                    errors, _, end = css.run(order, _own(order, r), theta[None])
+                    out.append((t["o"], r.seg, len(errors), list(theta), end[:, 0].ravel().tolist()))
+                found = pd.DataFrame(out, columns=["o", "seg", "rows", "trial", "end"])
+                yield pd.concat([pd.DataFrame({k: [getattr(r, k)] * len(found) for k in keys}), found], axis=1)
+
+    local = joined.mapInPandas(ends, f"{own_keys}, o int, seg long, rows long, trial array<double>, end array<double>")
+
+    def chain(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("seg")
+        order, theta = orders[int(batch["o"].iloc[0])], np.asarray(batch["trial"].iloc[0], float)
+        state, out = np.zeros((order.memory(), 3 + order.p + order.sp)), []
+        for rows, end in zip(batch["rows"], batch["end"]):
+            out.append(state.ravel().tolist())
+            state = css.carry(order, theta, int(rows), state) + np.asarray(end, float).reshape(state.shape)
+        found = {"o": [*batch["o"], batch["o"].iloc[0]], "seg": [*batch["seg"], -1], "state": [*out, state.ravel().tolist()]}
+        return pd.DataFrame({**{k: [batch[k].iloc[0]] * (len(batch) + 1) for k in keys}, **found})
+
+    return materialize(local.groupBy(*keys, "o").applyInPandas(chain, f"{own_keys}, o int, seg long, state array<double>"), "piece-states")
+
+
+def _pass(pieces: DataFrame, fits: DataFrame, starts: DataFrame, keys: list[str], orders: list[Order]) -> DataFrame:
+    """Evaluate every fit's trial over all pieces and take its next step."""
+    states = _chained(pieces, fits, keys, orders)
+    own_keys = _key_fields(pieces, keys)
+    wanted = states.where("seg >= 0").join(fits.select(*keys, "o", "trial", "until"), [*keys, "o"]).groupBy(*keys, "seg").agg(
+        F.collect_list(F.struct("o", "trial", "until", "state")).alias("trials"))
+    joined = pieces.join(wanted, [*keys, "seg"]).join(starts.select(*keys, "n_train", "n"), keys)
+
+    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                out = []
+                for t in r.trials:
+                    order, theta = orders[int(t["o"])], np.asarray(t["trial"], float)
+                    y = _own(order, r)
+                    state = np.asarray(t["state"], float).reshape(order.memory(), 1, 3 + order.p + order.sp)
+                    errors, derivatives, _ = css.run(order, y, theta[None], state)
+                    times = (int(r.first) + len(r.y) - len(errors) + np.arange(len(errors)))[:, None]
+                    sse, gradient, products = css.sums(errors, derivatives, times < int(t["until"]))
+                    held = (times >= int(r.n_train)) & (times < int(r.n))
+                    out.append((t["o"], [*sse, (np.where(held, errors, 0.0) ** 2).sum(), *gradient[0], *products[0].ravel()]))
+                found = pd.DataFrame(out, columns=["o", "sums"])
+                yield pd.concat([pd.DataFrame({k: [getattr(r, k)] * len(found) for k in keys}), found], axis=1)
+
+    parts = joined.mapInPandas(evaluate, f"{own_keys}, o int, sums array<double>")
+    each = parts.select(*keys, "o", F.posexplode("sums").alias("i", "x")).groupBy(*keys, "o", "i").agg(F.sum("x").alias("x"))
+    total = each.groupBy(*keys, "o").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("sums"))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [_learned(r, orders[int(r.o)]) for r in batch.itertuples(index=False)]
+            names = [f.split()[0] for f in FIT_FIELDS.split(", ")][1:]
+            learned = pd.DataFrame(out, columns=names)
+            yield pd.concat([batch[[*keys, "o"]].reset_index(drop=True), learned], axis=1)
+
+    return materialize(fits.join(total, [*keys, "o"]).mapInPandas(learn, f"{own_keys}, {FIT_FIELDS}"), "fits")
+
+
+def _learned(r, order: Order) -> tuple:
+    """One fit after its trial's sums: the same step as that of a whole series."""
+    size = order.size()
+    descent = css.Descent(order, np.asarray(r.trial, float)[None])
+    descent.theta, descent.sse, descent.damping = np.asarray(r.theta, float)[None].copy(), np.array([r.sse]), np.array([r.damping])
+    if r.gradient is not None:
+        descent.gradient = np.asarray(r.gradient, float)[None].copy()
+        descent.products = np.asarray(r.products, float).reshape(1, size, size).copy()
+    sums = np.asarray(r.sums, float)
+    before = float(descent.sse[0])
+    descent.learn(sums[:1], sums[None, 2:2 + size], sums[None, 2 + size:].reshape(1, size, size))
+    held_out = float(sums[1]) if descent.sse[0] < before else r.held_out
+    if r.other is not None:
+        trial = np.asarray(r.other, float)
+    else:
+        trial = descent.propose()[0]
+    return (r.until, descent.theta[0].tolist(), float(descent.sse[0]), held_out, descent.gradient[0].tolist(),
+            descent.products[0].ravel().tolist(), float(descent.damping[0]), trial.tolist(), None)
 
 
 def _advance(c: np.ndarray, q: np.ndarray, steps: int):
@@ -436,12 +584,8 @@ def one_step_errors(
 
 def _recur(w: np.ndarray, ma: list[float], state: list[float]) -> np.ndarray:
     """e[t] = w[t] - sum of ma[j] e[t-j]; ``state`` holds the errors before, latest first. Missing w gives 0."""
-    out, past = np.zeros(len(w)), list(state)
-    for t, x in enumerate(np.nan_to_num(w).tolist()):
-        e = x - sum(m * p for m, p in zip(ma, past))
-        past = [e, *past[:-1]]
-        out[t] = e
-    return out
+    past = np.array(state, float)[::-1].reshape(-1, 1, 1)
+    return css.recursion(np.nan_to_num(w)[:, None, None], np.array([[1.0, *ma]]), past)[len(state):, 0, 0]
 
 
 def _moving_errors(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
