@@ -169,12 +169,13 @@ def forecast_run_status(spark, sf):
 
 
 _inputs = [f"x{k}" for k in range(1, 13)]
-_scaled = f"""{fx.LONG_CTE}, s AS (SELECT station, feature, avg(value) FILTER (WHERE split = 'train') AS center,
+_samples_cte = f"""{fx.LONG_CTE}, s AS (SELECT station, feature, avg(value) FILTER (WHERE split = 'train') AS center,
     stddev_samp(value) FILTER (WHERE split = 'train') AS scale FROM long GROUP BY ALL),
   w AS (SELECT station, feature, split, pos, value,
     row_number() OVER (PARTITION BY station, feature, split ORDER BY pos) - 1 AS sp,
     {', '.join(f'lag(value, {k}) OVER v AS x{k}' for k in range(1, 13))} FROM long
-    WINDOW v AS (PARTITION BY station, feature ORDER BY pos))
+    WINDOW v AS (PARTITION BY station, feature ORDER BY pos))"""
+_scaled = f"""{_samples_cte}
   SELECT station, feature, split, pos, {s6('(value - center) / scale')} AS y1,
     {', '.join(s6(f'({x} - center) / scale') + f' AS {x}' for x in _inputs)}
   FROM w JOIN s USING (station, feature) WHERE sp >= 12"""
@@ -196,6 +197,32 @@ def model_round_trip(spark, sf):
     return learners.predict_features(samples, learners.load_models(list(fitted), path)).select(*KEYS, "pos", "forecast")
 
 
+@query("tree_roots", f"""WITH {_samples_cte}
+  SELECT feature, count(*) AS rows, {s6('avg((value - center) / scale)', 4)} AS value
+  FROM w JOIN s USING (station, feature) WHERE sp >= 12 AND split = 'train' GROUP BY feature""")
+def tree_roots(spark, sf):
+    """Roots of the first boosted trees as node rows: all training samples and their mean."""
+    samples = learners.scaled_samples(_long(spark, sf), KEYS, "xgboost")
+    table = learners.tree_table(samples, learners.fit_features(samples, learners.boosted())["y1"])
+    return table.where("tree = 0 AND node = 0").select("feature", "rows", r6("value", 4).alias("value"))
+
+
+@query("tree_table_forecasts", """SELECT learner, feature, true AS same FROM (VALUES ('boosted_trees'), ('sequence_one_step')) l(learner),
+  (VALUES ('f_disc'), ('f_price'), ('f_qty'), ('f_tax')) f(feature)""")
+def tree_table_forecasts(spark, sf):
+    """Forecasts from node rows alone beside those of the fitted ensembles, for every test sample."""
+    out = None
+    for name, model, learner in (("boosted_trees", "xgboost", learners.boosted()), ("sequence_one_step", "cnn_lstm", learners.forest())):
+        samples = learners.scaled_samples(_long(spark, sf), KEYS, model)
+        fitted = learners.fit_features(samples, learner)["y1"]
+        walked = learners.predict_trees(samples, learners.tree_table(samples, fitted)).select(*KEYS, "pos", F.col("forecast").alias("walked"))
+        both = learners.predict_features(samples, fitted).select(*KEYS, "pos", "forecast").join(walked, [*KEYS, "pos"], "full")
+        close = F.coalesce(F.abs(F.col("forecast") - F.col("walked")) <= 1e-9 * (1 + F.abs("forecast")), F.lit(False))
+        one = both.groupBy("feature").agg(F.bool_and(close).alias("same")).select(F.lit(name).alias("learner"), "feature", "same")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- what SQL can say about the learned and searched forecasters -----------
 
 _cases = f"""{fx.LONG_CTE}, c AS (SELECT station, feature, count(*) FILTER (WHERE split = 'train') AS n_train,
@@ -226,7 +253,7 @@ _outputs_sql = f"""WITH {_cases}, e AS (SELECT w.*, n_train, n_val, n_test FROM
 def forecast_outputs(spark, sf):
     """Which steps every forecaster gives and the actual value beside each; a missing forecast drops the row."""
     parts = {
-        "boosted_trees": learners.one_step(_long(spark, sf), KEYS, "xgboost", learners.forest())[0],
+        "boosted_trees": boosted_trees(spark, sf),
         "sequence_one_step": sequence_one_step(spark, sf), "sequence_multi_step": sequence_multi_step(spark, sf),
         "arima": arima_forecast(spark, sf), "sarima": sarima_forecast(spark, sf)}
     out = None

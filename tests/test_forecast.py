@@ -70,6 +70,52 @@ def test_learners_beat_the_mean(spark):
     assert by_step[1] < by_step[3]
 
 
+def test_trees_as_rows(spark):
+    """SQL that walks the node rows gives the forecasts of the fitted ensembles."""
+    import duckdb
+
+    rows = long_rows(spark, {f"s{i}": 10 * i + ar_series(300, [0.9], seed=i) for i in range(3)})
+    samples = learners.scaled_samples(rows, KEYS, "xgboost")
+    for learner in (learners.boosted().setMaxIter(8), learners.forest()):
+        fitted = learners.fit_features(samples, learner)["y1"]
+        nodes = learners.tree_table(samples, fitted)
+        want = {(r["station"], r["pos"]): r["forecast"] for r in learners.predict_features(samples, fitted).collect()}
+        walked = {(r["station"], r["pos"]): r["forecast"] for r in learners.predict_trees(samples, nodes).collect()}
+        assert walked.keys() == want.keys() and len(want) == 3 * 18
+        con = duckdb.connect()
+        con.register("node", nodes.toArrow())
+        con.register("sample", samples.where("split = 'test'").select(
+            "station", "pos", "center", "scale", F.array(*learners.INPUTS).alias("x")).toArrow())
+        found = con.execute("""WITH RECURSIVE w AS (
+              SELECT station, pos, center, scale, x, tree, 0 AS node FROM sample, (SELECT DISTINCT tree FROM node)
+              UNION ALL SELECT station, pos, center, scale, x, tree, CASE WHEN x[n.input] <= threshold THEN n."left" ELSE n."right" END
+              FROM w JOIN node n USING (tree, node) WHERE n.input IS NOT NULL)
+            SELECT station, pos, any_value(center + 0.0) + any_value(scale) * sum(weight * value) FROM w JOIN node n USING (tree, node)
+            WHERE n.input IS NULL GROUP BY ALL""").fetchall()
+        assert len(found) == len(want)
+        for station, pos, value in found:
+            assert value == pytest.approx(want[station, pos], rel=1e-9) == pytest.approx(walked[station, pos], rel=1e-9)
+
+
+def test_a_failed_feature_is_named(spark, monkeypatch):
+    """Without a run a failed fit raises; in a run its reason is the status of its series."""
+    x = ar_series(300, [0.8])
+    whole = split_table(spark, {"a": x}).withColumn("w", F.col("v") * 2)
+    fit = learners.fit_pooled
+
+    def broken(samples, regressor, feature, target="y1"):
+        if feature == "w":
+            raise RuntimeError("singular")
+        return fit(samples, regressor, feature, target)
+
+    monkeypatch.setattr(learners, "fit_pooled", broken)
+    long = forecast.series_of(whole, Layout(features=["v", "w"]), None)
+    with pytest.raises(RuntimeError, match="singular"):
+        learners.one_step(long, KEYS, "cnn_lstm", learners.forest())
+    run = forecast.forecast(whole, Layout(features=["v", "w"]), ["cnn_lstm"], top_n=None)
+    assert {r["feature"]: r["status"] for r in run.status.collect()} == {"v": "ok", "w": "failed: singular"}
+
+
 def test_run_by_name(spark):
     table = split_table(spark, {"long": ar_series(300, [0.8]), "mid": ar_series(250, [0.5], 2), "tiny": noise(12)})
     run = forecast.forecast(table, LAYOUT, ["arima", "arima_ann", "cnn_gru_attention"], top_n=None, horizon=2)

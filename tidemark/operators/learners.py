@@ -15,17 +15,18 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.linear import one_step_errors
 from tidemark.operators.series import LOOKBACK, floors, supervised_frame
-from tidemark.scratch import materialize
+from tidemark.scratch import materialize, scratch_path
 
 SEED = 17
 INPUTS = [f"x{k}" for k in range(1, LOOKBACK + 1)]
 PARALLEL_FITS = 4
+MAX_TREE_DEPTH = 30  # Spark ML builds none deeper
 
 
 def boosted() -> GBTRegressor:
@@ -92,11 +93,14 @@ def fit_pooled(samples: DataFrame, regressor, feature: str, target: str = "y1")
     return PipelineModel(stages=[assembler, learner.fit(rows)])
 
 
-def fit_features(samples: DataFrame, regressor, targets: tuple[str, ...] = ("y1",)) -> dict[str, dict[str, PipelineModel]]:
+def fit_features(
+    samples: DataFrame, regressor, targets: tuple[str, ...] = ("y1",), *, failed: dict[str, str] | None = None
+) -> dict[str, dict[str, PipelineModel]]:
     """One pooled model per target and feature, a few fits at a time.
 
-    The number of features is a property of the schema. A feature whose fit
-    fails is left out, and its series have no forecast; if all fail, so does this.
+    The number of features is a property of the schema. A fit that fails raises;
+    with a dict ``failed`` the reason goes there by feature, the feature is left
+    out, and only if all fail does this raise.
     """
     features = [r[0] for r in samples.select("feature").distinct().orderBy("feature").collect()]
     jobs = [(t, f) for t in targets for f in features]
@@ -110,9 +114,11 @@ def fit_features(samples: DataFrame, regressor, targets: tuple[str, ...] = ("y1"
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         models = list(pool.map(inheritable_thread_target(samples.sparkSession)(fit), jobs))
-    failed = [m for m in models if isinstance(m, Exception)]
-    if failed and len(failed) == len(models):
-        raise failed[0]
+    broken = {f: m for (_, f), m in zip(jobs, models) if isinstance(m, Exception)}
+    if broken and (failed is None or all(isinstance(m, Exception) for m in models)):
+        raise next(iter(broken.values()))
+    if broken:
+        failed.update({f: str(e)[:500] for f, e in broken.items()})
     fitted = [(job, m) for job, m in zip(jobs, models) if not isinstance(m, Exception)]
     return {t: {f: m for (u, f), m in fitted if u == t} for t in targets}
 
@@ -134,11 +140,11 @@ def _actual(rows: DataFrame, target: str = "y1"):
 
 
 def one_step(
-    long: DataFrame, keys: list[str], model: str, regressor, *, group_rows: int | None = None
+    long: DataFrame, keys: list[str], model: str, regressor, *, group_rows: int | None = None, failed: dict[str, str] | None = None
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """Twelve points to the next one: (test forecasts, fitted models)."""
+    """Twelve points to the next one: (test forecasts, fitted models). ``failed`` as in ``fit_features``."""
     samples = scaled_samples(long, keys, model, group_rows=group_rows)
-    fitted = fit_features(samples, regressor)["y1"]
+    fitted = fit_features(samples, regressor, failed=failed)["y1"]
     out = predict_features(samples, fitted)
     ids = [c for c in ("obs_time", "pos") if c in out.columns]
     return out.select(*keys, *ids, _actual(out).alias("actual"), "forecast"), fitted
@@ -266,11 +272,12 @@ def _hybrid_rows(samples: DataFrame, fitted: dict[str, PipelineModel], keys: lis
 
 
 def hybrid(
-    long: DataFrame, keys: list[str], linear_models: DataFrame, regressor, *, group_rows: int | None = None
+    long: DataFrame, keys: list[str], linear_models: DataFrame, regressor, *, group_rows: int | None = None,
+    failed: dict[str, str] | None = None
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Linear one-step prediction plus a learner on its residuals; both parts are returned."""
     samples = _residual_samples(long, keys, linear_models, group_rows)
-    fitted = fit_features(samples, regressor)["y1"]
+    fitted = fit_features(samples, regressor, failed=failed)["y1"]
     return _hybrid_rows(samples, fitted, keys), fitted
 
 
@@ -290,6 +297,81 @@ def importances(spark, fitted: dict[str, PipelineModel]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, lag int, importance double")
 
 
+# ---- ensembles as tables ----------------------------------------------------------------------------
+
+MAX_BROADCAST_NODES = 200_000
+
+
+def saved_tree_table(spark, features: list[str], path: str) -> DataFrame:
+    """Node rows of the tree ensembles that ``save_models`` wrote, one per (feature, tree, node).
+
+    ``input`` is the lag that a node splits on, left if its scaled value is at most
+    ``threshold``; leaves have null there and in ``left`` and ``right``. A
+    prediction is the sum over trees of ``weight`` times the leaf's ``value``.
+    ``rows`` counts the training rows at the node.
+    """
+    parts = []
+    for feature in features:
+        stage = PipelineModel.load(f"{path}/{feature}").stages[-1]
+        folder = _stage_folder(spark, f"{path}/{feature}")
+        weights = spark.read.parquet(f"{folder}/treesMetadata").select(F.col("_1").alias("tree"), F.col("_3").alias("_w"))
+        share = 1.0 if isinstance(stage, GBTRegressionModel) else 1.0 / stage.getNumTrees
+        node, leaf = F.col("nodeData"), F.col("nodeData.leftChild") < 0
+        nodes = spark.read.parquet(f"{folder}/data").select(F.col("treeID").alias("tree"), "nodeData")
+        parts.append(nodes.join(weights, "tree").select(
+            F.lit(feature).alias("feature"), "tree", (F.col("_w") * share).alias("weight"), node["id"].alias("node"),
+            F.when(~leaf, node["split"]["featureIndex"] + 1).alias("input"),
+            F.when(~leaf, node["split"]["leftCategoriesOrThreshold"][0]).alias("threshold"),
+            F.when(~leaf, node["leftChild"]).alias("left"), F.when(~leaf, node["rightChild"]).alias("right"),
+            node["prediction"].alias("value"), node["rawCount"].alias("rows")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _stage_folder(spark, path: str) -> str:
+    """Folder of a saved pipeline's last stage."""
+    jvm = spark.sparkContext._jvm
+    stages = jvm.org.apache.hadoop.fs.Path(f"{path}/stages")
+    found = stages.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(stages)
+    return max((str(f.getPath()) for f in found), key=lambda p: int(p.rsplit("/", 1)[1].split("_")[0]))
+
+
+def tree_table(samples: DataFrame, fitted: dict[str, PipelineModel]) -> DataFrame:
+    """The same for fitted ensembles, through the shared folder."""
+    path = scratch_path(samples.sparkSession, "trees")
+    save_models(fitted, path)
+    return saved_tree_table(samples.sparkSession, list(fitted), path)
+
+
+def predict_trees(samples: DataFrame, table: DataFrame, *, split: str = "test") -> DataFrame:
+    """Unscaled predictions from node rows alone: every sample walks every tree of its feature.
+
+    The walk is a fold over the levels, inside one projection. ``table`` has at most
+    trees x 2^(depth + 1) rows a feature; it is broadcast up to a size, joined beyond.
+    """
+    node = F.struct("node", "input", "threshold", "left", "right", "value")
+    trees = table.groupBy("feature", "tree", "weight").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    # Nodes come in preorder: an index is a node's number, and no path is longer than the splits.
+    levels = table.where("input IS NOT NULL").groupBy("feature", "tree").count().agg(F.max("count")).first()[0] or 0
+    depth = min(levels, MAX_TREE_DEPTH)
+    ensembles = trees.groupBy("feature").agg(F.collect_list(F.struct("tree", "weight", "nodes")).alias("_trees"))
+    small = table.count() <= MAX_BROADCAST_NODES
+    rows = samples.where(F.col("split") == split).join(F.broadcast(ensembles) if small else ensembles, "feature")
+    rows = rows.withColumn("_x", F.array(*INPUTS))
+
+    def walk(nodes):
+        def step(at, _):
+            here = F.get(nodes, at)
+            down = F.when(F.get(F.col("_x"), here["input"] - 1) <= here["threshold"], here["left"]).otherwise(here["right"])
+            return F.when(here["input"].isNull(), at).otherwise(down)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) if depth else F.lit(0)
+
+    total = F.aggregate(
+        F.transform(F.array_sort("_trees"), lambda t: t["weight"] * F.get(t["nodes"], walk(t["nodes"]))["value"]),
+        F.lit(0.0), lambda acc, v: acc + v)
+    return rows.withColumn("forecast", F.col("center") + F.col("scale") * total).drop("_trees", "_x")
+
+
 def save_models(fitted: dict[str, PipelineModel], path: str) -> None:
     for feature, model in fitted.items():
         model.write().overwrite().save(f"{path}/{feature}")
