@@ -65,6 +65,38 @@ def test_chains_and_shared_passages(spark, monkeypatch):
         assert sorted((tuple(r) for r in got), key=str) == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
+def test_dense_groups_give_links_in_proportion(spark, monkeypatch, width, percent):
+    """Groups of many blocks of rows, in which most pairs link: a few links a set, and the same components."""
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    made = []
+    write = jaccard.materialize
+
+    def counted(df, label, *rest):
+        out = write(df, label, *rest)
+        if label in ("cross-links", "star-links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    ratios = []
+    for n in (120, 360):
+        rnd = random.Random(n)
+        base = [f"b{i}" for i in range(100)]
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for _ in range(rnd.randrange(3)):
+                words[rnd.randrange(100)] = f"e{rnd.randrange(10 ** 6)}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = jaccard.jaccard_join(df, width=width, percent=percent).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute(rows, width, percent)
+        ratios.append(sum(made) / n)
+    assert max(ratios) < 4 and ratios[1] < 1.5 * ratios[0] + 0.5, ratios
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_join(data.empty(spark)).count() == 0
 

@@ -20,6 +20,7 @@ SETS_PER_BUCKET = 20_000
 TILE = 256
 LOCAL_BITS = 48
 LEAD_PERCENT = 15
+SHARE_GROWTH = 8
 MAX_CACHED = 300_000
 TILE_SCHEMA = "block int, sigs binary, sizes binary, counts binary, low binary, high binary, freq binary"
 
@@ -328,24 +329,61 @@ def _star_links(percent: int):
     return run
 
 
+class _Trees:
+    """Union-find over the labels of a product."""
+
+    def __init__(self, labels: np.ndarray):
+        self.names, self.at = np.unique(labels, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def roots(self) -> np.ndarray:
+        """Tree of each row."""
+        return self.root[self.at]
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> list[int]:
+        """Add links between rows; the places of those that joined two trees."""
+        root, used = self.root, []
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for n, (i, j) in enumerate(zip(self.at[x].tolist(), self.at[y].tolist())):
+            p, q = find(i), find(j)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                used.append(n)
+        for i in range(len(root)):  # every root is smaller than what it roots
+            root[i] = root[root[i]]
+        return used
+
+
 def _tile_links(percent: int):
-    """Product of two row blocks; one link between any two labels that link is enough."""
+    """Product of two row blocks; as many links as join its labels, fewer than it has rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sizes, label = (table[c].to_numpy() for c in ("id", "size", "label"))
+        ids, sizes = table["id"].to_numpy(), table["size"].to_numpy()
+        trees = _Trees(table["label"].to_numpy())
         rows, first = [x.values.to_numpy() for x in table["columns"]], table["first"].to_numpy(zero_copy_only=False)
         second = table["second"].to_numpy(zero_copy_only=False)
         a, b = np.flatnonzero(first), np.flatnonzero(second)
-        out: dict[tuple, tuple] = {}
+        out = []
         for i in range(0, len(a), TILE):
             for j in range(0, len(b), TILE):
                 x, y = a[i:i + TILE], b[j:j + TILE]
+                tree = trees.roots()
+                # Rows in one tree already need no product with each other.
+                one = tree[x[0]] if len(x) and (tree[x] == tree[x[0]]).all() else -1
+                y = y[tree[y] != one]
+                if not len(x) or not len(y):
+                    continue
                 found = linked([rows[k] for k in x], [rows[k] for k in y], sizes[x], sizes[y], percent)
-                found &= label[x][:, None] != label[y][None]
-                for p, q in zip(*np.nonzero(found)):
-                    u, v = x[p], y[q]
-                    out.setdefault((min(label[u], label[v]), max(label[u], label[v])), (ids[u], ids[v]))
-        u, v = zip(*out.values()) if out else ((), ())
+                p, q = np.nonzero(found & (tree[x][:, None] != tree[y][None]))
+                used = trees.join(x[p], y[q])
+                out += [(ids[x[p[k]]], ids[y[q[k]]]) for k in used]
+        u, v = zip(*out) if out else ((), ())
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
@@ -381,11 +419,12 @@ def _star_round(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return jobs.groupBy("pivot", "chunk").applyInArrow(_star_links(percent), "u long, v long")
 
 
-def _cross_round(rows: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of one neighbourhood that carry different labels.
+def _cross_round(rows: DataFrame, members: DataFrame, labels: DataFrame, percent: int, share: int) -> tuple[DataFrame, bool]:
+    """Links between sets of one neighbourhood that carry different labels, and whether all pairs were looked at.
 
-    A neighbourhood's members are cut into blocks of rows, large labels apart
-    from the rest; every pair of blocks with two labels is one product.
+    A neighbourhood's members are cut into blocks of rows, large labels apart from
+    the rest; a pair of blocks with two labels is one product. Of a neighbourhood of
+    n blocks a hash chooses the part ``share`` / n of the pairs.
     """
     named = members.select("pivot", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     per_label = named.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -402,14 +441,35 @@ def _cross_round(rows: DataFrame, members: DataFrame, labels: DataFrame, percent
         .otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))))
     placed = materialize(placed.select("pivot", "id", "label", "owner", "block"), "members")
     each = placed.select("pivot", "owner", "block").distinct()
+    counted = materialize(each.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), "block-counts")
+    most = counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
     a, b = (each.select("pivot", F.struct("owner", "block").alias(n)) for n in ("a", "b"))
     pairs = a.join(b, "pivot").where((F.col("a") <= F.col("b")) & ((F.col("a.owner") != F.col("b.owner")) | (F.col("a.owner") == -1)))
+    if most > share:
+        chosen = F.pmod(F.xxhash64("pivot", "a", "b"), F.lit(1 << 20)) * F.col("n") < (share << 20)
+        pairs = pairs.join(counted, "pivot").where(chosen).drop("n")
     jobs = pairs.select("pivot", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("own"))
     own = placed.withColumn("own", F.struct("owner", "block")).drop("owner", "block")
     filled = jobs.join(own, ["pivot", "own"]).withColumns(
         {"first": F.col("own") == F.col("a"), "second": F.col("own") == F.col("b")}).join(rows, "id")
-    return filled.select("pivot", "a", "b", "id", "label", "size", "columns", "first", "second").groupBy(
+    links = filled.select("pivot", "a", "b", "id", "label", "size", "columns", "first", "second").groupBy(
         "pivot", "a", "b").applyInArrow(_tile_links(percent), "u long, v long")
+    return materialize(links, "cross-links"), most <= share
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, label) after further links between ids."""
+    def label_of(side: str) -> DataFrame:
+        return labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
+
+    ends = links.join(label_of("u"), "u", "left").join(label_of("v"), "v", "left")
+    between = ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    merged = materialize(components(materialize(between, "label-links")).select(
+        F.col("id").alias("label"), F.col("label").alias("_root")), "merged-labels")
+    known = labels.join(merged, "label", "left").select("id", F.coalesce("_root", "label").alias("label"))
+    new = merged.join(labels.select(F.col("id").alias("label")), "label", "left_anti").select(
+        F.col("label").alias("id"), F.col("_root").alias("label"))
+    return materialize(known.unionByName(new), "labels")
 
 
 def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -448,8 +508,10 @@ def jaccard_join(
        left than a partner of the least size must share.
     4. Classes that share a rare leading column meet around a pivot: first each class
        is multiplied with one pivot, then, block by block, with all classes of
-       its neighbourhoods that are not yet in its component. No pair of one
-       component needs to be looked at again, and no link between two is missed.
+       its neighbourhoods that are not yet in its component. Large neighbourhoods
+       go through rounds over growing random parts of their block pairs, the last
+       of which takes all; a product gives only links that join components, and
+       pairs of one component are not looked at again. No link between two is missed.
     """
     spark = docs.sparkSession
     sets = materialize(shingle_sets(docs, width, id_col, text_col), "sets")
@@ -480,9 +542,13 @@ def _links(spark, docs, classes, entries, n, width, percent, id_col, text_col) -
     left = _joinable(_document_tiles(chosen, width, blocks(again["entries"])), again["n"], percent)
     rows = materialize(left.join(classes.drop("size"), "sig").select(F.col("rep").alias("id"), "size", "columns"), "rows")
     members = materialize(_neighbourhoods(rows, percent), "neighbourhoods")
-    star = materialize(_star_round(rows, members, percent), "star-links")
-    labels = components(star)
-    cross = materialize(_cross_round(rows, members, labels, percent), "cross-links")
-    if cross.isEmpty():
-        return labels
-    return components(star.unionByName(cross))
+    labels = materialize(components(materialize(_star_round(rows, members, percent), "star-links")), "labels")
+    # Ever larger random parts of the block pairs: what a part has connected the next one leaves
+    # out, so a neighbourhood of n sets gives some multiple of n links a round, however many link.
+    share, done = 1, False
+    while not done:
+        cross, done = _cross_round(rows, members, labels, percent, share)
+        if not cross.isEmpty():
+            labels = _relabelled(labels, cross)
+        share *= SHARE_GROWTH
+    return labels
