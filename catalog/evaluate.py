@@ -350,9 +350,8 @@ def split_station_files(spark, sf):
     df = fx.splits(spark, sf)
     columns = ["pos", "n", "obs_time", *fx.FEATURES]
     path = scratch_path(spark, "station-files")
-    for split, order in (("train", columns), ("val", columns[::-1]), ("test", columns)):
-        part = df.where(F.col("split") == split).withColumn("file", F.concat(parsing.safe_key(F.col("station")), F.lit(".csv")))
-        part.select("file", *order).repartition("file").write.option("header", True).partitionBy("file").csv(f"{path}/{split}")
+    tables.write_station_files(df.where("split <> 'val'"), path, columns)
+    tables.write_station_files(df.where("split = 'val'"), path, columns[::-1])
     return tables.read_station_files(spark, path, T.StructType([df.schema[c] for c in columns]))
 
 
@@ -370,14 +369,10 @@ def metrics_round_trip(spark, sf):
 def metrics_files(spark, sf):
     """One CSV table per model family, columns differing, read back by header name."""
     path = scratch_path(spark, "metrics-files")
-    for name in ("persist", "ma3", "persist_steps"):
-        family = metrics(spark, sf).where(F.col("model") == name).drop("model")
-        own = family if name == "persist_steps" else family.drop("step")
-        # Two files of one family with their columns in opposite order.
-        halves = [own.where(F.col("station") < "ST/00050"), own.where(F.col("station") >= "ST/00050")]
-        tables.write_table(halves[0], f"{path}/{name}_metrics.csv", fmt="csv")
-        halves[1].select(halves[1].columns[::-1]).write.mode("append").option("header", True).csv(
-            f"{path}/{name}_metrics.csv")
+    table = metrics(spark, sf)
+    steps = F.col("model") == "persist_steps"
+    tables.write_metrics_files(table.where(steps), path)
+    tables.write_metrics_files(table.where(~steps).select(*[c for c in table.columns[::-1] if c != "step"]), path)
     tables.write_table(reports.model_comparison(metrics(spark, sf)), f"{path}/model_comparison.csv", fmt="csv")
     return _round(tables.read_metrics_files(spark, f"{path}/*.csv")).drop("params")
 
