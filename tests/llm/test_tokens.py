@@ -3,12 +3,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import data
 from tidemark.llm import bpe, chat, packing
+from tidemark.llm.common import Recent
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -20,18 +23,31 @@ ODD = ["", " ", "  a", "a  b", "a \n b", "\n\n\nfoo", "don't I'll 'sx", "\x1c a\
 def codec():
     ranks = bpe.load_ranks(RANKS)
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return bpe.Encoder(ranks, public_tokenizers.PATTERN), bpe.Utf8Machine({i: t for t, i in ranks.items()}), reference, ranks
+    both = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    return both, both.machine, reference, ranks
 
 
-def test_encoding_equals_the_library(codec):
-    encoder, machine, reference, ranks = codec
+def test_encoding_equals_the_library(codec, monkeypatch):
+    wanted = []
+    both, machine, reference, ranks = codec
     rnd = random.Random(1)
     pieces = [t.decode("utf8", "ignore") for t in ranks]
     texts = ODD + ["".join(rnd.choice(pieces if rnd.random() < .5 else "aeésntr oi'.,\n 12ßü漢🙂\t") for _ in range(rnd.randint(1, 30)))
                    for _ in range(1500)]
     for text in texts:
-        ids, said = encoder.encode(text)
-        assert ids == reference.encode_ordinary(text) and said == " ".join(map(str, ids))
+        ids = both.encoder.encode(text)
+        assert ids == reference.encode_ordinary(text)
+        assert both.round_trip(text) == (len(ids), " ".join(map(str, ids)), text)
+        wanted.append((len(ids), " ".join(map(str, ids)).encode(), text.encode()))
+    plain = [" ".join(rnd.choice(["word", "Wörter,", "a1", "", "é.", "x'y", "don't", "漢字!", "12", "...", "ab\n", "\x85"]) for _ in range(rnd.randrange(9)))
+             for _ in range(800)]
+    for text in plain:
+        ids = reference.encode_ordinary(text)
+        wanted.append((len(ids), " ".join(map(str, ids)).encode(), text.encode()))
+    for size in (50, 5000, 10 ** 7):
+        monkeypatch.setattr(bpe, "SLICE_BYTES", size)
+        got = [(n, bytes(i), bytes(d)) for n, i, d in both.round_trips(pa.array(texts + plain))]
+        assert got == wanted
         assert machine.decode(ids) == text and "".join(machine.stream(ids)) == text
 
 
@@ -43,6 +59,25 @@ def test_states_may_be_forgotten(codec):
         assert ([whole] if whole is not None else small.encode(word.encode())) == reference.encode_ordinary(word)
 
 
+def test_small_caches(codec):
+    """Caches that turn over all the time give the same ids."""
+    _, _, reference, ranks = codec
+    own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    own.encoder.pieces.limit = own.said.limit = own.spaced.limit = 3
+    text = " ".join(t.decode("utf8", "ignore") for t in list(ranks)[5000:5400])
+    ids = reference.encode_ordinary(text)
+    assert own.round_trip(text) == (len(ids), " ".join(map(str, ids)), text)
+    assert max(map(len, (own.encoder.pieces, own.said, own.spaced))) <= 3
+
+
+def test_recent_keeps_what_is_used():
+    made = []
+    cache = Recent(lambda k: made.append(k) or k.upper(), 4, 3)
+    for i in range(40):
+        assert cache[f"a{i}"] == f"A{i}" and cache["x"] == "X" and cache["long"] == "LONG"
+    assert made.count("x") == 1 and len(cache) <= 4 and made.count("a39") == 1 and made.count("long") == 40
+
+
 def test_decoding_of_broken_bytes():
     machine = bpe.Utf8Machine({i: bytes((i,)) for i in range(256)})
     rnd = random.Random(4)
@@ -66,6 +101,12 @@ def test_word_ids_equal_the_library():
     tokenizer, own = Tokenizer.from_file(WORDS), packing.ChunkEncoder(WORDS)
     for text in ODD + ["É É K İ ǅ ΑΣ ΑΣ. ", "<|endoftext|> a <|ENDOFTEXT|>", "a\x1cb \x85 c"]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    rnd = random.Random(6)
+    parts = ["don't", "It's.", "a1", "9", "..", ".", "?!", "ß", "É", "x\u0301", "漢字", "'", "'s", "\n", " ", "²", "Ⅷ", "<", "|", "wörter", "İ", "_"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40))) for _ in range(1500)]
+    for small in (packing.ChunkEncoder(WORDS, limit=5), own):
+        for text, ids in zip(texts, small.encode_all(pa.array(texts))):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity", [16, 64, 4096])
@@ -135,3 +176,21 @@ def test_chat_round_trip(spark):
             assert inside == any(s < b and e > a for a, b in zip(r["loss_starts"], r["loss_ends"])) and not (inside and token in control)
     assert chat.read_back(chat.format_conversations(df, path)).count() == 4
     assert chat.format_conversations(df.where("turn > 99"), path).count() == 0
+
+
+def test_packing_of_one_piece_that_repeats(spark, monkeypatch):
+    """Identical rows are numbered by many buckets; columns that clash with internal names stay."""
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 10)
+    rows = [(7, 3, "x", 1, 2, 3)] * 400 + [(8, 5, "y", 1, 2, 3)] * 7
+    df = spark.createDataFrame(rows, "doc_id long, length long, _bucket string, _number long, _row long, offset long").repartition(3)
+    seen = packing._numbered(df.drop("offset", "_row").withColumn("_row", F.monotonically_increasing_id()), "_row", "__number", 40)
+    assert sorted(r["__number"] for r in seen.where("length = 3").collect()) == list(range(400))
+    got = packing.pack(df, capacity=13).collect()
+    assert len(got) == 407 and {(r["_bucket"], r["_number"], r["_row"]) for r in got} == {("x", 1, 2), ("y", 1, 2)}
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        places.sort()
+        assert [o for o, _ in places] == np.cumsum([0, *[n for _, n in places]])[:-1].tolist() and sum(n for _, n in places) <= 13
+    assert len(held) <= 104

@@ -5,16 +5,22 @@ from __future__ import annotations
 import base64
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Recent, in_slices, split_words
+
 MAX_STATES = 150_000
 MAX_PAIRS = 400_000
-MAX_CACHED = 600_000
+MAX_CACHED = 250_000
+SLICE_BYTES = 8_000_000
+MARKS = ".,;:!?"
 NEVER = 1 << 60
 
 
@@ -110,34 +116,36 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.merges, self.max_states = Merges(ranks), max_states
-        self.token_at: dict[bytes, int | None] = {}
         self.length = {rank: len(token) for token, rank in ranks.items()}
-        inner = set()
-        for token in ranks:
-            for n in range(1, len(token)):
-                self.token_at.setdefault(token[:n], None)
-                inner.add(token[:n])
-        self.token_at.update(ranks)
-        self.inner = inner
+        self.inner = {token[:n] for token in ranks for n in range(1, len(token))}
         self.lookahead = max(map(len, ranks))
         self._reset()
 
     def _reset(self) -> None:
         start = ((b"", b""),)
-        self.ids, self.states, self.steps = {start: 0}, [start], {}
+        self.ids, self.states, self.steps, self.ends = {start: 0}, [start], {}, {}
+
+    def _end(self, at: int, byte: int) -> int:
+        """The token that ends with a piece's last byte; what would stay open after it is not worked out."""
+        key = at << 8 | byte
+        token = self.ends.get(key)
+        if token is None:
+            letter, merges = bytes((byte,)), self.merges
+            for last, part in self.states[at]:
+                rank = merges.ranks.get(part + letter)
+                if rank is not None and merges.sides(part + letter) and (not last or merges.separate(last, part + letter)):
+                    token = self.ends[key] = rank
+                    break
+        return token
 
     def _step(self, at: int, byte: int) -> tuple[int, int]:
         readings, letter, done = [], bytes((byte,)), None
-        token_at, inner, merges = self.token_at, self.inner, self.merges
+        inner, merges, ranks = self.inner, self.merges, self.merges.ranks
         for last, part in self.states[at]:
             longer = part + letter
-            token = token_at.get(longer, -1)
-            if token == -1:
-                continue
             if longer in inner:
                 readings.append((last, longer))
-            if done is None and token is not None and merges.sides(longer) and (
-                    not last or merges.separate(last, longer)):
+            if done is None and longer in ranks and merges.sides(longer) and (not last or merges.separate(last, longer)):
                 done = longer
         readings.append((done, b""))
         state = tuple(readings)
@@ -145,7 +153,7 @@ class Transducer:
         if number is None:
             number = self.ids[state] = len(self.states)
             self.states.append(state)
-        step = self.steps[at << 8 | byte] = self.merges.ranks[done], number
+        step = self.steps[at << 8 | byte] = ranks[done], number
         return step
 
     def _back(self, ends: list[int], i: int, base: int) -> list[int]:
@@ -174,20 +182,22 @@ class Transducer:
         if len(self.states) > self.max_states:
             self._reset()
         out, ends, at, base, steps, step_of = [], [], 0, 0, self.steps, self._step
-        flush = 8 * self.lookahead
-        for n, byte in enumerate(piece):
-            token, at = steps.get(at << 8 | byte) or step_of(at, byte)
-            ends.append(token)
+        flush, inside = 8 * self.lookahead, len(piece) - 1
+        for i in range(0, inside, flush):
             if len(ends) > flush:
-                border = self._shared_border(ends, at, n + 1, base)
+                border = self._shared_border(ends, at, i, base)
                 out += self._back(ends, border, base)
                 del ends[:border - base]
                 base = border
+            for byte in piece[i:min(i + flush, inside)]:
+                token, at = steps.get(at << 8 | byte) or step_of(at, byte)
+                ends.append(token)
+        ends.append(self._end(at, piece[inside]))
         return out + self._back(ends, len(piece), base)
 
 
 class Encoder:
-    """Whole texts to ids: pattern, transducer, and a bounded cache of frequent chunks.
+    """Whole texts to ids: pattern, transducer, and bounded caches of frequent chunks.
 
     A text may be cut before a space between two other characters that are not
     white space: no match of the pattern reaches over that place.
@@ -201,40 +211,27 @@ class Encoder:
 
         self.ranks, self.machine = ranks, Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces = Recent(self._piece, MAX_CACHED)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            found = (whole,) if whole is not None else tuple(self.machine.encode(raw))
-            if len(piece) < 64:
-                if len(self.pieces) >= MAX_CACHED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        raw = piece.encode()
+        whole = self.ranks.get(raw)
+        return (whole,) if whole is not None else tuple(self.machine.encode(raw))
 
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(itertools.chain.from_iterable(map(self._piece, self.find(chunk))))
-        found = ids, " ".join(map(str, ids))
-        if len(chunk) < 64:
-            if len(self.chunks) >= MAX_CACHED:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk."""
+        return tuple(itertools.chain.from_iterable(map(self.pieces.__getitem__, self.find(chunk))))
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the ids as decimal text."""
+    def chunks(self, text: str) -> tuple[list[str], list[str]]:
+        """Chunks that are encoded each by itself: some as they are, then some without the space before them."""
         if self.NEAR_SPACE.search(text):
-            parts = self.CUT.split(text)
-        else:
-            head, *rest = text.split(" ")
-            parts = [head, *(" " + p for p in rest)]
-        get, chunk = self.chunks.get, self._chunk
-        found = [get(p) or chunk(p) for p in parts if p]
-        return list(itertools.chain.from_iterable(f[0] for f in found)), " ".join([f[1] for f in found])
+            return [p for p in self.CUT.split(text) if p], []
+        head, *rest = text.split(" ")
+        return [head] if head else [], rest
+
+    def encode(self, text: str) -> list[int]:
+        whole, spaced = self.chunks(text)
+        return list(itertools.chain.from_iterable(map(self.chunk, [*whole, *map(" ".__add__, spaced)])))
 
 
 class Utf8Machine:
@@ -303,10 +300,12 @@ class Utf8Machine:
         if pending:
             yield "�"
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The stream's text. Runs of tokens that are whole by themselves are joined at once;
         the machine steps through the others until no code point is open."""
-        whole = list(map(self.whole.__getitem__, ids))
+        whole = [self.whole[i] for i in ids]
+        if None not in whole:
+            return "".join(whole)
         out, at, n = [], 0, len(ids)
         pending = b""
         while at < n:
@@ -325,11 +324,79 @@ class Utf8Machine:
         return "".join(out)
 
 
+class Codec:
+    """Encoder and decoder, and what they say of each distinct chunk.
+
+    A chunk is whole code points, so the decoder is at rest where one ends: a text's
+    ids, and what they decode to, are those of its chunks, one after another. A word
+    of letters alone is one piece, and so is the mark after it.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        ranks = load_ranks(path)
+        self.encoder, self.machine = Encoder(ranks, pattern), Utf8Machine({i: t for t, i in ranks.items()})
+        self.letters = self.encoder.find(" a\u00e9\u00df") == [" a\u00e9\u00df"] and self.encoder.find(" a,") == [" a", ","]
+        self.marks = {m: self._said(self.encoder.chunk(m)) for m in MARKS}
+        self.said = Recent(lambda chunk: self._said(self.encoder.chunk(chunk)), MAX_CACHED)
+        self.spaced = Recent(self._spaced, MAX_CACHED)
+
+    def _said(self, ids: Sequence[int]) -> tuple[int, str, str]:
+        """Number of ids, the ids as decimal text, and the text they decode to."""
+        return len(ids), " ".join(map(str, ids)), self.machine.decode(ids)
+
+    def _spaced(self, word: str) -> tuple[int, str, str]:
+        """The same for a word after one blank, which the decoded text leaves out."""
+        if self.letters and word.isalpha():
+            raw = b" " + word.encode()
+            whole = self.encoder.ranks.get(raw)
+            n, ids, text = self._said((whole,) if whole is not None else self.encoder.machine.encode(raw))
+        elif self.letters and word[-1:] in self.marks and word[:-1].isalpha():
+            n, ids, text = self.spaced[word[:-1]]
+            more, id, mark = self.marks[word[-1]]
+            return n + more, f"{ids} {id}", text + mark
+        else:
+            n, ids, text = self._said(self.encoder.chunk(" " + word))
+        return n, ids, word if text[1:] == word else text[1:]
+
+    def round_trip(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, ids and decoded text of a whole text."""
+        whole, spaced = self.encoder.chunks(text)
+        found = [self.said[c] for c in whole]
+        after = [self.spaced[w] for w in spaced]
+        decoded = "".join([f[2] for f in found]) + "".join([" " + f[2] for f in after])
+        found += after
+        return sum([f[0] for f in found]), " ".join([f[1] for f in found]), decoded
+
+    def round_trips(self, texts: pa.Array) -> Iterator[tuple[int, object, object]]:
+        """The same for many texts, their words numbered together; ids and decoded text as UTF-8 buffers."""
+        for part in in_slices(texts, SLICE_BYTES):
+            if len(part) == 1 or pc.any(pc.match_substring_regex(part, r"( \s)|(\s )|\x1c|\x1d|\x1e|\x1f|\x85|\p{Z} | \p{Z}")).as_py():
+                for text in part:
+                    n, ids, decoded = self.round_trip(text.as_py())
+                    yield n, ids.encode(), decoded.encode()
+                continue
+            starts, number, words = split_words(part)
+            heads = starts[:-1]
+            first = [words[i] for i in number[heads].tolist()]
+            said = [self.spaced[w] for w in words] + [self.said[w] if w else (0, "", "") for w in first]
+            number = number.astype(np.int64)
+            number[heads] = len(words) + np.arange(len(first))
+            counts, ids, decoded = zip(*said)
+            total = np.r_[0, np.cumsum(np.array(counts, np.int64)[number])]
+            # An empty first part has no ids, but a blank follows it in the text.
+            kept = np.ones(len(number), bool)
+            kept[heads] = [bool(w) for w in first]
+            places = np.r_[0, np.cumsum(kept)][starts].astype(np.int32)
+            ids = pc.binary_join(pa.ListArray.from_arrays(places, pa.array(ids, pa.string()).take(pa.array(number[kept]))), " ")
+            decoded = pc.binary_join(pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(decoded, pa.string()).take(pa.array(number))), " ")
+            for n, i, d in zip((total[starts[1:]] - total[starts[:-1]]).tolist(), ids, decoded):
+                yield n, i.as_buffer(), d.as_buffer()
+
+
 @lru_cache(maxsize=2)
-def _codec(path: str, pattern: str) -> tuple[Encoder, Utf8Machine]:
+def _codec(path: str, pattern: str) -> Codec:
     """One per Python worker."""
-    ranks = load_ranks(path)
-    return Encoder(ranks, pattern), Utf8Machine({i: t for t, i in ranks.items()})
+    return Codec(path, pattern)
 
 
 def encode_column(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,8 +408,8 @@ def encode_column(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder, _ = _codec(ranks_path, pattern)
-            ids = pa.array([encoder.encode(t.as_py())[0] for t in batch["_text"]], pa.list_(pa.int32()))
+            encoder = _codec(ranks_path, pattern).encoder
+            ids = pa.array([encoder.encode(t.as_py()) for t in batch["_text"]], pa.list_(pa.int32()))
             yield pa.record_batch([batch[id_col], ids], [id_col, "ids"])
 
     return rows.mapInArrow(run, f"{id_col} long, ids array<int>")
@@ -353,7 +420,7 @@ def decode_column(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, machine = _codec(ranks_path, pattern)
+            machine = _codec(ranks_path, pattern).machine
             texts = [None if not x.is_valid else machine.decode(x.as_py()) for x in batch["ids"]]
             yield pa.record_batch([batch[id_col], pa.array(texts, pa.string())], [id_col, "text"])
 
@@ -371,16 +438,12 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "d
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def digest(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
+    def digest(text) -> str:
+        return hashlib.sha256(text).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder, machine = _codec(ranks_path, pattern)
-            found = []
-            for text in batch["_text"]:
-                ids, said = encoder.encode(text.as_py())
-                found.append((len(ids), digest(said), digest(machine.decode(ids))))
+            found = [(n, digest(said), digest(decoded)) for n, said, decoded in _codec(ranks_path, pattern).round_trips(batch["_text"])]
             n, said, decoded = zip(*found) if found else ((), (), ())
             yield pa.record_batch(
                 [batch[id_col], pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names)
