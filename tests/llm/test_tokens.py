@@ -97,15 +97,16 @@ def test_columns_round_trip(spark):
     assert bpe.round_trip(data.empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_word_ids_equal_the_library():
+def test_word_ids_equal_the_library(monkeypatch):
     tokenizer, own = Tokenizer.from_file(WORDS), packing.ChunkEncoder(WORDS)
     for text in ODD + ["É É K İ ǅ ΑΣ ΑΣ. ", "<|endoftext|> a <|ENDOFTEXT|>", "a\x1cb \x85 c"]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     rnd = random.Random(6)
     parts = ["don't", "It's.", "a1", "9", "..", ".", "?!", "ß", "É", "x\u0301", "漢字", "'", "'s", "\n", " ", "²", "Ⅷ", "<", "|", "wörter", "İ", "_"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 40))) for _ in range(1500)]
-    for small in (packing.ChunkEncoder(WORDS, limit=5), own):
-        for text, ids in zip(texts, small.encode_all(pa.array(texts))):
+    for size in (30, 10 ** 7):
+        monkeypatch.setattr(packing, "SLICE_BYTES", size)
+        for text, ids in zip(texts, own.encode_all(pa.array(texts))):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -4,57 +4,74 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import ASCII_LOWER
+from tidemark.llm.common import in_slices, split_words
 from tidemark.scratch import materialize
 
 CAPACITY = 4096
-MAX_CACHED = 400_000
+SLICE_BYTES = 32_000_000
+MARKS = (".", ",", ";", ":", "!", "?")
 ROWS_PER_BUCKET = 100_000
 MIN_BUCKETS = 64
 
 
 class ChunkEncoder:
-    """Token ids of whole texts through a bounded cache of white-space-free chunks.
+    """Token ids of whole texts, every distinct white-space-free chunk of a slice encoded once.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its chunks, one after another. Lower-casing A-Z
-    first is what its own normaliser does; texts that may hold a special token's
-    string are left as they are.
+    text's ids are those of its chunks, one after another. Nor does it join a
+    letter or digit and the mark after it, so a chunk's last mark is encoded apart.
+    Lower-casing A-Z first is what its own normaliser does; texts of a slice that
+    may hold a special token's string are left as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk as native 32-bit integers, from one call for all stems."""
+        places: dict[str, int] = {}
+        stems, marks = [], []
+        for chunk in chunks:
+            stem, mark = chunk[:-1], chunk[-1:]
+            # Some letters end in an accent when lower-cased, which joins the mark.
+            if mark not in MARKS or not (stem.isascii() or stem[-1:].lower()[-1:].isalnum()) or not stem[-1:].isalnum():
+                stem, mark = chunk, ""
+            stems.append(places.setdefault(stem, len(places)))
+            marks.append(mark)
+        found = self.tokenizer.encode_batch_fast([*places, *MARKS], add_special_tokens=False)
+        ids = [array("I", e.ids).tobytes() for e in found]
+        after = dict(zip(MARKS, ids[len(places):])) | {"": b""}
+        return [ids[i] + after[m] for i, m in zip(stems, marks)]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as native 32-bit integers."""
+        for part in in_slices(texts, SLICE_BYTES):
+            special = pc.any(pc.match_substring(part, "<|")).as_py()
+            starts, number, chunks = split_words(pc.replace_substring(part if special else pc.ascii_lower(part), "\n", " "))
+            ids = self._chunk_ids(chunks)
+            place = np.r_[0, np.cumsum(np.array(list(map(len, ids)), np.int64)[number])][starts].tolist()
+            data = pa.array(ids, pa.large_binary()).take(pa.array(number)).buffers()[2] or b""
+            for a, b in zip(place[:-1], place[1:]):
+                yield bytes(data[a:b])
 
     def encode(self, text: str) -> bytes:
-        """Ids as native 32-bit integers."""
-        if "<|" not in text:
-            text = text.encode().translate(ASCII_LOWER).decode()
-        parts = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        new = [p for p in set(parts) if p not in cache]
-        if new:
-            if len(cache) > MAX_CACHED:
-                cache.clear()
-                new = list(set(parts))
-            for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[part] = np.array(found.ids, "<u4").tobytes()
-        joined = b"".join(map(cache.__getitem__, parts))
-        if len(text) > 1_000_000:  # a text of many chunks need not stay
-            cache.clear()
-        return joined
+        """Ids of one text."""
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 @lru_cache(maxsize=2)
@@ -79,9 +96,9 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            encoder, found = _encoder(tokenizer_path), []
-            for key, text in zip(batch[id_col].to_pylist(), batch["_text"]):
-                ids = encoder.encode(text.as_py()) + end
+            found = []
+            for key, ids in zip(batch[id_col].to_pylist(), _encoder(tokenizer_path).encode_all(batch["_text"])):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at:at + 4 * capacity]
                     row = (key, piece, at // 4, len(own) // 4, zlib.crc32(own))
@@ -227,46 +244,55 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), table.T.copy()))
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length``.
 
-    The driver sees one count per length, never a piece. Pieces are numbered
-    within their length over hashed buckets, so a length that a third of all
-    pieces share is numbered by many tasks. An empty table gives an empty one.
+    The driver sees one count per length, never a piece. Every piece gets a number
+    of its own when it is written; pieces are counted within their length over
+    buckets of these, so a length that a third of all pieces share, or one piece that
+    repeats as often, is spread over many tasks. Columns named ``sequence_id`` or
+    ``offset`` are replaced, all others stay. An empty table gives an empty one.
     """
-    stored = materialize(pieces, "pieces")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row, number = _unused("_row", names), _unused("_number", names)
+    stored = materialize(pieces.select(*names, F.monotonically_increasing_id().alias(row)), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in stored.groupBy("length").count().collect():  # capacity rows at most
-        counts[row["length"]] = row["count"]
+    for found in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # capacity rows at most
+        counts[found["length"]] = found["n"]
     table = slots(plan(counts, capacity))
     buckets = max(MIN_BUCKETS, -(-int(counts.sum()) // ROWS_PER_BUCKET))
-    placed = _numbered(stored, buckets)
-    names = stored.columns
+    placed = _numbered(stored, row, number, buckets)
     key = (table["length"] << 42) + table["first"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, number = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_number"))
-            at = np.searchsorted(key, (length << 42) + number, "right") - 1
+            length, at_length = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", number))
+            at = np.searchsorted(key, (length << 42) + at_length, "right") - 1
             yield pa.record_batch(
-                [*(batch[c] for c in names), pa.array(table["sequence"][at] + number - table["first"][at]),
+                [*(batch[c] for c in names), pa.array(table["sequence"][at] + at_length - table["first"][at]),
                  pa.array(table["offset"][at])], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name != row)
     return placed.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def _numbered(pieces: DataFrame, buckets: int) -> DataFrame:
-    """``_number`` from 0 within each length, in no particular order."""
-    others = [c for c in pieces.columns if c != "ids"]
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*others), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    firsts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    local = W.partitionBy("length", "_bucket").orderBy(*others)
-    numbered = keyed.withColumn("_local", F.row_number().over(local) - 1)
-    return numbered.join(firsts, ["length", "_bucket"]).withColumn(
-        "_number", (F.col("_first") + F.col("_local")).cast("long")).drop("_bucket", "_first", "_local")
+def _numbered(pieces: DataFrame, row: str, number: str, buckets: int) -> DataFrame:
+    """``number`` from 0 within each length, in no particular order."""
+    columns = [c for c in pieces.columns if c != row]
+    bucket, n, first, local = (_unused(c, pieces.columns) for c in ("_bucket", "_n", "_first", "_local"))
+    keyed = pieces.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int"))
+    counts = keyed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    firsts = counts.select("length", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    numbered = keyed.withColumn(local, F.row_number().over(W.partitionBy("length", bucket).orderBy(row)) - 1)
+    return numbered.join(firsts, ["length", bucket]).select(
+        *columns, (F.col(first) + F.col(local)).cast("long").alias(number))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, **options) -> DataFrame:
