@@ -63,6 +63,35 @@ def global_quantiles_ranked(spark, sf):
     return out.select("feature", *[r6(F.col("q")[i]).alias(f"q{int(p * 100)}") for i, p in enumerate(_q)])
 
 
+_PROBS_SQL = f"(SELECT unnest([{', '.join(f'{p}e0' for p in _q)}]) AS p)"
+
+
+@query("series_quantiles_approx", f"""WITH {fx.LONG_CTE} SELECT station, feature, cnt, p, true AS near
+  FROM (SELECT station, feature, count(*) AS cnt FROM long GROUP BY ALL), {_PROBS_SQL}""")
+def series_quantiles_approx(spark, sf):
+    """Sketched quantiles of every series at a rank error of a fiftieth, held against the exact ranks of their values."""
+    return _near(fx.long_series(spark, sf), ["station", "feature"], 50)
+
+
+@query("global_quantiles_approx", f"""WITH {fx.TYPED_CTE}, u AS ({_per_feature('count({c}) AS cnt')})
+  SELECT feature, cnt, p, true AS near FROM u, {_PROBS_SQL}""")
+def global_quantiles_approx(spark, sf):
+    """The same over whole columns at a rank error of a thousandth."""
+    return _near(to_long(fx.typed(spark, sf), [], fx.FEATURES), ["feature"], 1000)
+
+
+def _near(rows, keys, accuracy):
+    """Whether a sketch's value holds a rank within cnt / accuracy, and one, of p * cnt."""
+    found = quantiles.quantiles(rows, keys, _q, method="approx", accuracy=accuracy)
+    each = found.select(*keys, "cnt", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in _q]).alias("p"), F.col("q"))).alias("z"))
+    wanted = each.select(*keys, "cnt", F.col("z.p").alias("p"), F.col("z.q").alias("q"))
+    ranks = rows.join(wanted, keys).groupBy(*keys, "cnt", "p").agg(
+        F.count_if(F.col("value") < F.col("q")).alias("below"), F.count_if(F.col("value") <= F.col("q")).alias("upto"))
+    at, slack = F.col("p") * F.col("cnt"), F.col("cnt") / accuracy + 1
+    near = (F.col("below") + 1 <= at + slack) & (F.col("upto") >= at - slack) & (F.col("upto") > F.col("below"))
+    return ranks.select(*keys, "cnt", "p", near.alias("near"))
+
+
 _pairs = " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {i} AS i, {j} AS j, "
     + (s6(f"corr({a}, {b})")) + " AS corr FROM typed"

@@ -82,19 +82,76 @@ def unit_root_lag0(spark, sf):
     return out.select(*KEYS, "nobs", "used_lag", r6("adf_stat").alias("adf_stat"))
 
 
-@query("unit_root_test")
+# Sums of products over one sample of (regressors …, change) are reduced one regressor at a
+# time; what is left in the last corner is the residual sum of squares on those removed so far.
+def _reduced(rows: str, name: str) -> str:
+    """Product sums of the lists ``v`` in ``rows`` and their reduction: one row per series and step."""
+    return f"""{name}_p AS (SELECT station, feature, i, list(g ORDER BY j) AS r FROM (
+      SELECT station, feature, i, j, sum(v[i] * v[j]) AS g FROM
+        (SELECT station, feature, v, unnest(range(1, len(v) + 1)) AS i FROM {rows}) a,
+        LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY ALL) GROUP BY station, feature, i),
+    {name} AS (
+      SELECT station, feature, 0 AS k, list(r ORDER BY i) AS m FROM {name}_p GROUP BY station, feature
+      UNION ALL
+      SELECT station, feature, k + 1, list_transform(m[2:], lambda r: list_transform(r[2:], lambda x, j: x - r[1] * m[1][j + 1] / m[1][1]))
+      FROM {name} WHERE len(m) > 2)"""
+
+
+# Fixed values of the p-value's response surface, as in the operator; the normal integral is its series.
+_z = """CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
+    ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END"""
+_normal = """CASE WHEN abs(z) > 8 THEN CASE WHEN z < 0 THEN 0e0 ELSE 1e0 END ELSE 0.5e0 + exp(-z * z / 2) / sqrt(2 * pi()) * z
+    * list_sum(list_transform(range(0, 150), lambda k: exp(k * ln(greatest(z * z, 1e-200)) - k * ln(2e0) - lgamma(k + 1.5e0) + lgamma(1.5e0)))) END"""
+_unit_root = f"""{fx.LONG_CTE}, n AS (SELECT station, feature, count(*) AS total, avg(value) AS mean,
+    CAST(least(count(*) // 2 - 2, ceil(12e0 * pow(count(*) / 100e0, 0.25e0))) AS BIGINT) AS longest, max(value) > min(value) AS moves
+    FROM long GROUP BY ALL HAVING count(*) >= 20),
+  x AS (SELECT station, feature, pos, longest, moves, value - mean AS x,
+    value - lag(value) OVER (PARTITION BY station, feature ORDER BY pos) AS dx FROM long JOIN n USING (station, feature)),
+  w AS MATERIALIZED (SELECT station, feature, pos, longest, dx, lag(x) OVER v AS level,
+    list(dx) OVER (PARTITION BY station, feature ORDER BY pos DESC ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS before
+    FROM x WHERE moves WINDOW v AS (PARTITION BY station, feature ORDER BY pos)),
+  s1 AS (SELECT station, feature, list_concat([level, 1e0], before[1:longest], [dx]) AS v FROM w WHERE pos >= longest + 1),
+  {_reduced('s1', 'e1')},
+  lagged AS (SELECT station, feature, k - 2 AS used_lag FROM (
+    SELECT e1.station, e1.feature, k, row_number() OVER (PARTITION BY e1.station, e1.feature
+      ORDER BY (total - 1 - longest) * ln(greatest(m[-1][-1], 0) / (total - 1 - longest)) + 2 * k, k) AS o
+    FROM e1 JOIN n ON n.station = e1.station AND n.feature = e1.feature WHERE k >= 2) WHERE o = 1),
+  s2 AS (SELECT w.station, w.feature, list_concat([1e0], before[1:used_lag], [level, dx]) AS v
+    FROM w JOIN lagged USING (station, feature) WHERE pos >= used_lag + 1),
+  {_reduced('s2', 'e2')},
+  t AS (SELECT e2.station, e2.feature, used_lag, total - 1 - used_lag AS nobs, m[1][2] / m[1][1] AS b, m[1][1] AS xx,
+    m[2][2] - m[1][2] * m[1][2] / m[1][1] AS ssr FROM e2 JOIN lagged ON lagged.station = e2.station AND lagged.feature = e2.feature
+    JOIN n ON n.station = e2.station AND n.feature = e2.feature WHERE len(m) = 2),
+  u AS (SELECT *, b / sqrt(ssr / (nobs - used_lag - 2) / xx) AS stat FROM t),
+  p AS (SELECT *, CASE WHEN stat > 2.74 THEN 1e0 WHEN stat < -18.83 THEN 0e0 ELSE {_normal} END AS p FROM (SELECT *, {_z} AS z FROM u)),
+  verdict AS (SELECT station, feature, stat, p, used_lag, nobs, p < 0.05 AS is_stationary FROM n LEFT JOIN p USING (station, feature))"""
+
+
+@query("unit_root_test", f"""WITH RECURSIVE {_unit_root} SELECT station, feature, {s6('stat', 4)} AS adf_stat, {s6('p')} AS adf_p_value,
+  used_lag, nobs, stat IS NOT NULL AS tested, is_stationary,
+  CASE WHEN is_stationary THEN 1 WHEN NOT is_stationary THEN 1 END AS p_min, CASE WHEN is_stationary THEN 3 WHEN NOT is_stationary THEN 2 END AS p_max,
+  CASE WHEN is_stationary THEN 0 WHEN NOT is_stationary THEN 1 END AS d, CASE WHEN is_stationary THEN 1 WHEN NOT is_stationary THEN 1 END AS q_min,
+  CASE WHEN is_stationary THEN 2 WHEN NOT is_stationary THEN 1 END AS q_max FROM verdict""")
 def unit_root_test(spark, sf):
+    """Unit-root test with the lag of least AIC, its verdict and the suggested orders, for every series."""
     out = autocorr.stationarity(lag_sums(spark, sf), KEYS)
-    return out.select(*KEYS, "adf_stat", "adf_p_value", "used_lag", "nobs", "status", "is_stationary", "orders.*")
+    return out.select(
+        *KEYS, r6("adf_stat", 4).alias("adf_stat"), r6("adf_p_value").alias("adf_p_value"), "used_lag", "nobs",
+        (F.col("status") == "ok").alias("tested"), "is_stationary", "orders.*")
 
 
-@query("unit_root_table")
+@query("unit_root_table", f"""WITH RECURSIVE {_unit_root}, {fx.DIM_CTE},
+  top AS (SELECT station FROM clean WHERE station IS NOT NULL GROUP BY station ORDER BY count(*) DESC, station LIMIT 3)
+  SELECT station || '_' || feature AS key, station, coalesce(english, station) AS english_station,
+  feature, feature AS english_feature, is_stationary, {s6('p')} AS adf_p_value
+  FROM verdict JOIN top USING (station) LEFT JOIN dim ON name = station""")
 def unit_root_table(spark, sf):
     """Result table of the stations with the most rows."""
     top = lookup.top_stations(fx.clean(spark, sf), 3)
     sums = lookup.keep_stations(lag_sums(spark, sf), top)
     tests = autocorr.stationarity(sums, KEYS)
-    return autocorr.unit_root_table(tests, fx.name_dimension(spark, sf), lookup.feature_names(spark))
+    table = autocorr.unit_root_table(tests, fx.name_dimension(spark, sf), lookup.feature_names(spark))
+    return table.withColumn("adf_p_value", r6("adf_p_value"))
 
 
 @query("unit_root_verdict_lag0", f"""WITH {fx.LONG_CTE}, l AS (

@@ -199,3 +199,29 @@ def test_tied_times_do_not_depend_on_arrival(spark):
         filled = series.fill_series(df, layout, group_rows=None if seed else 50)
         results.append(sorted(map(tuple, filled.collect())))
     assert results[0] == results[1] == results[2]
+
+
+def test_sketched_quantiles(spark):
+    """One pass, mergeable, within the stated rank error; exact and sketched forms share their columns."""
+    rnd = np.random.default_rng(2)
+    groups = {"wide": rnd.normal(size=5000), "ties": rnd.integers(0, 3, 2000).astype(float), "one": np.array([4.0]), None: rnd.random(300)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("wide", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(7)
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for accuracy in (20, 500):
+        got = quantiles.quantiles(df, ["g"], probs, method="approx", accuracy=accuracy)
+        assert set(got.columns) == {"g", "q", "cnt"} == set(quantiles.quantiles(df, ["g"], probs).columns)
+        found = {r["g"]: r for r in got.collect()}
+        assert found.keys() == groups.keys()
+        for g, values in groups.items():
+            assert found[g]["cnt"] == len(values)
+            for p, q in zip(probs, found[g]["q"]):
+                assert q in values
+                first, last = (values < q).sum() + 1, (values <= q).sum()
+                slack = len(values) / accuracy + 1
+                assert first - slack <= p * len(values) <= last + slack
+    with pytest.raises(ValueError):
+        quantiles.quantiles(df, ["g"], probs, method="guess")
+    features = df.withColumnRenamed("value", "v").where("g = 'wide'")
+    exact, near = (stats.describe(features, ["v"], method=m).first() for m in ("exact", "approx"))
+    assert near["q50"] == pytest.approx(exact["q50"], abs=0.01) and near["mean"] == exact["mean"]

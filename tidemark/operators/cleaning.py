@@ -36,10 +36,10 @@ def drop_empty(df: DataFrame, layout: Layout) -> DataFrame:
 
 
 def iqr_fences(
-    df: DataFrame, layout: Layout, *, factor: float = FENCE, group_values: int = MAX_GROUP_VALUES
+    df: DataFrame, layout: Layout, *, factor: float = FENCE, group_values: int = MAX_GROUP_VALUES, method: str = "exact"
 ) -> dict[str, tuple[float, float]]:
-    """Outlier fences per feature, from the quartiles over all stations."""
-    quartiles = feature_quantiles(df, layout.available(df), [0.25, 0.75], group_values=group_values)
+    """Outlier fences per feature, from the quartiles over all stations; ``method`` as in ``quantiles``."""
+    quartiles = feature_quantiles(df, layout.available(df), [0.25, 0.75], group_values=group_values, method=method)
     return {f: (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)) for f, (q1, q3) in quartiles.items()}
 
 

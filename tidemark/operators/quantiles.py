@@ -1,4 +1,4 @@
-"""Exact quantiles that never hold an unbounded group in one task."""
+"""Quantiles that never hold an unbounded group in one task: exact ones, and sketches of stated rank error."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from tidemark.operators.series import same
 from tidemark.scratch import materialize
 
 MAX_GROUP_VALUES = 100_000
+ACCURACY = 10_000
 CELLS = 1024
 
 
@@ -28,12 +29,17 @@ def exact_quantiles(
     rows per cell are counted with map-side combining, and only cells that hold
     a wanted rank go on. Ranges shrink to the values in their cell each time.
     The rows inside the last ranges are then counted by value and ranked. Groups
-    that are small from the start skip the narrowing. Null keys are a group.
+    that are small from the start skip the narrowing; if all are, one aggregation
+    that counts each group's values does. Null keys are a group.
     """
     names = {k: f"_key{i}" for i, k in enumerate(keys)}
     rows = df.where(F.col(value).isNotNull()).select(
         *[F.col(k).alias(n) for k, n in names.items()], F.col(value).cast("double").alias("_v"))
     by = list(names.values())
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= group_values:
+        found = rows.groupBy(*by).agg(F.percentile("_v", [float(p) for p in probs]).alias("q"), F.count(F.lit(1)).alias("cnt"))
+        return found.where("cnt > 0").select(*[F.col(n).alias(k) for k, n in names.items()], "q", "cnt")
     whole = rows.groupBy(*by).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     ranges = materialize(whole.withColumns({"_before": F.lit(0).cast("long"), "cnt": F.col("_n")}), "ranges")
@@ -54,6 +60,34 @@ def exact_quantiles(
     return ranks.select(*[F.col(n).alias(k) for k, n in names.items()], q.alias("q"), "cnt")
 
 
+def approx_quantiles(
+    df: DataFrame, keys: list[str], probs: list[float], *, value: str = "value", accuracy: int = ACCURACY
+) -> DataFrame:
+    """Quantiles per group from mergeable sketches, in the same columns as ``exact_quantiles``.
+
+    One pass: every task sends a summary of each of its groups, and summaries are
+    merged. A value is one of the group's, and its rank, counted from one, is off
+    ``prob * cnt`` by ``cnt / accuracy`` and one at most.
+    A summary holds a multiple of ``accuracy`` values, whatever the group's size.
+    Nulls do not count; null keys are a group; a group without a value has no row.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    found = rows.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), [float(p) for p in probs], accuracy).alias("q"),
+        F.count(F.lit(1)).alias("cnt"))
+    return found.where("cnt > 0")
+
+
+def quantiles(df: DataFrame, keys: list[str], probs: list[float], *, method: str = "exact", accuracy: int = ACCURACY, **kw) -> DataFrame:
+    """``exact_quantiles`` or, with ``method="approx"``, ``approx_quantiles``."""
+    if method == "approx":
+        kw.pop("group_values", None)
+        return approx_quantiles(df, keys, probs, accuracy=accuracy, **kw)
+    if method != "exact":
+        raise ValueError(f"method is exact or approx, not {method}")
+    return exact_quantiles(df, keys, probs, **kw)
+
+
 def _open(ranges: DataFrame, limit: int, wide: bool) -> DataFrame:
     too_full = (F.col("_n") > limit) & (F.col("_hi") > F.col("_lo"))
     return ranges.where(too_full if wide else ~too_full)
@@ -99,8 +133,8 @@ def _values_at_ranks(rows: DataFrame, ranges: DataFrame, by: list[str], probs: l
 
 
 def feature_quantiles(df: DataFrame, features: list[str], probs: list[float], **kw) -> dict[str, list[float]]:
-    """Quantiles of whole columns, one entry per feature that has a value."""
+    """Quantiles of whole columns, one entry per feature that has a value; ``method`` as in ``quantiles``."""
     from tidemark.operators.series import to_long
 
-    rows = exact_quantiles(to_long(df, [], features), ["feature"], probs, **kw).collect()
+    rows = quantiles(to_long(df, [], features), ["feature"], probs, **kw).collect()
     return {r["feature"]: list(r["q"]) for r in rows}

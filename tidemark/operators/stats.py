@@ -59,8 +59,10 @@ def with_feature_values(df: DataFrame, values: dict[str, list[float]], names: li
         for i, name in enumerate(names)})
 
 
-def describe(df: DataFrame, features: list[str], *, group_values: int = MAX_GROUP_VALUES) -> DataFrame:
-    """count, mean, std, min, quartiles, max, missing, skewness, kurtosis per feature."""
+def describe(
+    df: DataFrame, features: list[str], *, group_values: int = MAX_GROUP_VALUES, method: str = "exact"
+) -> DataFrame:
+    """count, mean, std, min, quartiles, max, missing, skewness, kurtosis per feature; ``method`` as in ``quantiles``."""
     rows = F.count(F.lit(1))
     moments = per_feature(df, features, lambda f: [
         F.count(f).alias("count"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"),
@@ -68,7 +70,7 @@ def describe(df: DataFrame, features: list[str], *, group_values: int = MAX_GROU
         (rows - F.count(f)).alias("missing"),
         F.try_divide((rows - F.count(f)) * 100.0, rows).alias("missing_pct"),
         corrected_skewness(f).alias("skewness"), corrected_kurtosis(f).alias("kurtosis")])
-    quartiles = feature_quantiles(df, features, [0.25, 0.5, 0.75], group_values=group_values)
+    quartiles = feature_quantiles(df, features, [0.25, 0.5, 0.75], group_values=group_values, method=method)
     return with_feature_values(moments, quartiles, ["q25", "q50", "q75"])
 
 
@@ -197,9 +199,11 @@ def density(df: DataFrame, features: list[str], *, grid: int = 200) -> DataFrame
         (F.coalesce("s", F.lit(0.0)) / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"))
 
 
-def box_stats(df: DataFrame, features: list[str], *, group_values: int = MAX_GROUP_VALUES) -> DataFrame:
-    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier counts."""
-    quartiles = feature_quantiles(df, features, [0.25, 0.5, 0.75], group_values=group_values)
+def box_stats(
+    df: DataFrame, features: list[str], *, group_values: int = MAX_GROUP_VALUES, method: str = "exact"
+) -> DataFrame:
+    """Quartiles, whisker ends (furthest values within 1.5 IQR) and outlier counts; ``method`` as in ``quantiles``."""
+    quartiles = feature_quantiles(df, features, [0.25, 0.5, 0.75], group_values=group_values, method=method)
 
     def measures(f):
         q1, _, q3 = quartiles[f]
