@@ -133,9 +133,42 @@ def sequence_one_step(spark, sf):
     return learners.one_step(_long(spark, sf), KEYS, "cnn_lstm", learners.forest())[0]
 
 
-@query("sequence_multi_step")
+_LAGS, _STEPS = 12, 5
+_t, _v, _e = floors("cnn_gru_attention", _STEPS)
+_ridge_sql = f"""WITH RECURSIVE {fx.LONG_CTE}, s AS (SELECT station, feature, avg(value) FILTER (WHERE split = 'train') AS center,
+    stddev_samp(value) FILTER (WHERE split = 'train') AS scale, count(*) FILTER (WHERE split = 'train') AS n_train,
+    count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test FROM long GROUP BY ALL),
+  w AS (SELECT station, feature, split, obs_time, pos, row_number() OVER v - 1 AS sp, count(*) OVER (PARTITION BY station, feature, split) AS sn,
+    [{', '.join(f'lag(value, {k}) OVER v' for k in range(1, _LAGS + 1))}] AS x,
+    [{', '.join(f'lead(value, {k}) OVER v' for k in range(_STEPS))}] AS y FROM long
+    WINDOW v AS (PARTITION BY station, feature, split ORDER BY pos)),
+  z AS MATERIALIZED (SELECT station, feature, split, obs_time, pos, center, scale, list_transform(list_concat(x, y), lambda a: (a - center) / scale) AS v, y
+    FROM w JOIN s USING (station, feature)
+    WHERE sp >= {_LAGS} AND sp + {_STEPS} <= sn AND scale > 0 AND n_train >= {_t} AND n_val >= {_v} AND n_test >= {_e}),
+  means AS (SELECT feature, list(a ORDER BY i) AS mean FROM (SELECT feature, i, avg(v[i]) AS a FROM
+    (SELECT feature, v, unnest(range(1, {_LAGS + _STEPS + 1})) AS i FROM z WHERE split = 'train') GROUP BY ALL) GROUP BY feature),
+  c AS (SELECT feature, i, j, avg((v[i] - mean[i]) * (v[j] - mean[j])) AS c FROM (SELECT feature, v, mean, i, unnest(range(1, {_LAGS + _STEPS + 1})) AS j FROM
+    (SELECT feature, v, mean, unnest(range(1, {_LAGS + 1})) AS i FROM z JOIN means USING (feature) WHERE split = 'train')) GROUP BY ALL),
+  g AS (SELECT feature, 1 AS k, list(r ORDER BY i) AS m FROM (
+      SELECT feature, i, list(CASE WHEN i = j THEN c + {learners.Ridge().penalty} * greatest(c, 1e-12) ELSE c END ORDER BY j) AS r FROM c GROUP BY feature, i)
+    GROUP BY feature
+    UNION ALL SELECT feature, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda a, j:
+      CASE WHEN i = k THEN a / m[k][k] ELSE a - r[k] * m[k][j] / m[k][k] END)) FROM g WHERE k <= {_LAGS}),
+  f AS (SELECT feature, step, list_transform(m, lambda r: r[{_LAGS} + step]) AS coef FROM g, (SELECT unnest(range(1, {_STEPS + 1})) AS step) WHERE k = {_LAGS + 1})
+  SELECT station, feature, obs_time, pos, CAST(step AS INTEGER) AS step, {s6('y[step]')} AS actual,
+    {s6(f"center + scale * (mean[{_LAGS} + step] + list_sum(list_transform(coef, lambda b, i: b * (v[i] - mean[i]))))", 4)} AS forecast
+  FROM z JOIN means USING (feature) JOIN f USING (feature) WHERE split = 'test'"""
+
+
+def _multi_step(spark, sf):
+    return learners.ridge_steps(_long(spark, sf), KEYS, "cnn_gru_attention", _STEPS)[0]
+
+
+@query("sequence_multi_step", _ridge_sql)
 def sequence_multi_step(spark, sf):
-    return learners.ridge_steps(_long(spark, sf), KEYS, "cnn_gru_attention", 5)[0]
+    """Twelve points to the next five, by pooled ridge regressions; SQL solves the same normal equations."""
+    out = _multi_step(spark, sf)
+    return out.select(*KEYS, "obs_time", "pos", "step", r6("actual").alias("actual"), r6("forecast", 4).alias("forecast"))
 
 
 @query("hybrid_forecast")
@@ -254,7 +287,7 @@ def forecast_outputs(spark, sf):
     """Which steps every forecaster gives and the actual value beside each; a missing forecast drops the row."""
     parts = {
         "boosted_trees": boosted_trees(spark, sf),
-        "sequence_one_step": sequence_one_step(spark, sf), "sequence_multi_step": sequence_multi_step(spark, sf),
+        "sequence_one_step": sequence_one_step(spark, sf), "sequence_multi_step": _multi_step(spark, sf),
         "arima": arima_forecast(spark, sf), "sarima": sarima_forecast(spark, sf)}
     out = None
     for name, df in parts.items():
