@@ -38,3 +38,16 @@ def test_awkward_and_empty_tables(spark, tmp_path):
     for df in (data.documents(spark), data.empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, str(tmp_path)).count() <= df.count()
+
+
+def test_rows_that_repeat_an_id(spark, tmp_path):
+    """Rows of one id are judged apart by the quality rules; of identical rows one is packed."""
+    base = texts(30)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(base)]
+    rows += [(3, "short text", "en", "s", 1), rows[5], rows[5], rows[5], (5, base[5].upper().lower(), "en", "t", 2), (None, base[8] + " x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    passed = corpus_pipeline.pass_quality_rules(spark, docs, str(tmp_path))
+    assert "short text" not in {r["text"] for r in passed.collect()} and passed.where("doc_id = 3").count() == 1
+    assert passed.where("doc_id = 5").count() == 5
+    exact = corpus_pipeline.drop_exact_copies(spark, passed, str(tmp_path))
+    assert exact.columns == docs.columns and exact.where("doc_id = 5").count() == 1 and exact.count() == 31
