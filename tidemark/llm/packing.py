@@ -20,7 +20,8 @@ from tidemark.llm.common import in_slices, split_words
 from tidemark.scratch import materialize
 
 CAPACITY = 4096
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 12_000_000
+STEMS_PER_CALL = 5000
 MARKS = (".", ",", ";", ":", "!", "?")
 ROWS_PER_BUCKET = 100_000
 MIN_BUCKETS = 64
@@ -43,7 +44,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk as native 32-bit integers, from one call for all stems."""
+        """Ids of each chunk as native 32-bit integers, stems encoded some thousands a call."""
         places: dict[str, int] = {}
         stems, marks = [], []
         for chunk in chunks:
@@ -53,8 +54,10 @@ class ChunkEncoder:
                 stem, mark = chunk, ""
             stems.append(places.setdefault(stem, len(places)))
             marks.append(mark)
-        found = self.tokenizer.encode_batch_fast([*places, *MARKS], add_special_tokens=False)
-        ids = [array("I", e.ids).tobytes() for e in found]
+        wanted, ids = [*places, *MARKS], []
+        for at in range(0, len(wanted), STEMS_PER_CALL):  # what a call returns is many times larger than the ids
+            found = self.tokenizer.encode_batch_fast(wanted[at:at + STEMS_PER_CALL], add_special_tokens=False)
+            ids += [array("I", e.ids).tobytes() for e in found]
         after = dict(zip(MARKS, ids[len(places):])) | {"": b""}
         return [ids[i] + after[m] for i, m in zip(stems, marks)]
 
