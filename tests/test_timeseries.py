@@ -359,3 +359,25 @@ def test_forecast_rows_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     got = {(r["station"], r["pos"]): r["forecast"] for r in out.collect()}
     assert got == {(f"s{s}", p): 1 + 2 * 0.5 ** (p - 89) for s in range(3) for p in range(90, 100)}
+
+
+def test_lags_share_one_filter(monkeypatch):
+    """The plain lags of all coefficients are shifts of one filtered series, not a filter each."""
+    calls, plain = [], css.filtered
+    monkeypatch.setattr(css, "filtered", lambda *a: calls.append(1) or plain(*a))
+    y = np.random.default_rng(9).normal(size=(200, 20))
+    order = css.Order(3, 1, 2)
+    theta = np.full((20, order.size()), 0.1)
+    errors, derivatives, _ = css.run(order, y, theta)
+    assert len(calls) == 1 + order.q
+    want = np.zeros((200, 20))
+    z = np.diff(y, axis=0, prepend=0.0)
+    for t in range(4, 200):
+        want[t] = z[t] - 0.1 - 0.1 * (z[t - 1] + z[t - 2] + z[t - 3] + want[t - 1] + want[t - 2])
+    np.testing.assert_allclose(errors, want[4:], atol=1e-12)
+    inside = np.arange(4, 200)[:, None] < np.arange(150, 170)
+    sse, gradient, products = css.sums(errors, derivatives, inside)
+    e, j = np.where(inside, errors, 0), np.where(inside[:, :, None], derivatives, 0)
+    np.testing.assert_allclose(sse, (e * e).sum(0))
+    np.testing.assert_allclose(gradient, np.einsum("ts,tsm->sm", e, j), atol=1e-9)
+    np.testing.assert_allclose(products, np.einsum("tsm,tsn->smn", j, j), atol=1e-9)
