@@ -39,7 +39,7 @@ def test_packed_samples_are_those_of_the_lags(spark):
 
 
 def test_samples_are_not_written_lag_by_lag(spark):
-    samples = learners.scaled_samples(_long(spark, [3000]), KEYS, "xgboost")
+    samples = learners.scaled_samples(_long(spark, [3000]), KEYS, "xgboost", packed=True)
     files = [f.removeprefix("file:") for f in samples.inputFiles()]
     assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 3
     assert not any("x12" in pq.ParquetFile(f).schema_arrow.names for f in files)
@@ -49,7 +49,7 @@ def test_samples_are_not_written_lag_by_lag(spark):
 def test_ridge_sums_of_two_features(spark):
     long = _long(spark, [400, 300])
     both = long.unionByName(_long(spark, [350], seed=9).replace("f", "g", "feature"))
-    samples = learners.scaled_samples(both, KEYS, "cnn_gru_attention", horizon=2)
+    samples = learners.scaled_samples(both, KEYS, "cnn_gru_attention", horizon=2, packed=True)
     table = {(r["feature"], r["step"]): r for r in learners.fit_ridge_steps(samples, 2, learners.Ridge(0.0)).collect()}
     assert len(table) == 4
     for feature in ("f", "g"):
