@@ -11,6 +11,7 @@ from tidemark.names import CATEGORY_DOMAIN
 from tidemark.operators import lookup, quantiles, stats
 from tidemark.operators.series import time_order, to_long
 from tidemark.plans import reports
+from tidemark.scratch import materialize
 
 _f = ", ".join(fx.FEATURES)
 
@@ -350,8 +351,8 @@ def series_trends(spark, sf):
 def station_series_report(spark, sf):
     """Values, mean and trend line of the stations with the most rows."""
     top = lookup.top_stations(fx.clean(spark, sf), 5)
-    long = lookup.keep_stations(fx.long_series(spark, sf), top)
-    return _with_lines(long)
+    long = lookup.keep_stations(fx.long_series(spark, sf), F.broadcast(top))  # five stations
+    return _with_lines(materialize(long, "report-series"))
 
 
 def _with_lines(long):
