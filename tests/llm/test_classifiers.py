@@ -154,3 +154,29 @@ def test_driver_receives_no_more_than_its_bounds(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     toxicity.learn(docs, labels, max_words=1500, max_text_words=100)
     assert taken and sum(map(len, taken)) <= 1500 + 4 * len(taken) and max(map(len, taken)) <= 104
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """Rows beyond the drawn ones move the thresholds, those that training saw do not; counts equal the direct search."""
+    rnd = np.random.default_rng(4)
+    rows = [(i, round(float(rnd.random()), 3), i % 2, int(rnd.random() < (0.3 if i % 2 else 0.6))) for i in range(800)]
+    found = spark.createDataFrame([r[:3] for r in rows] + [rows[7][:3]] * 50, "doc_id long, p double, language int")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    net = Fixed([], [])
+    net.fitted = tuple(range(0, 800, 5))
+    toxicity.calibrate_all(net, found, labels)
+    rest = [r for r in rows if r[0] % 5]
+    direct = Fixed([r[1] for r in rest], [r[2] for r in rest])
+    toxicity.calibrate(direct, list(range(len(rest))), np.array([r[3] for r in rest]))
+    assert np.allclose(net.thresholds, direct.thresholds, atol=1e-4)
+
+
+def test_no_row_count_limits_the_thresholds(spark, labelled, monkeypatch):
+    taken = []
+    counts = toxicity.best_threshold_of_counts
+    monkeypatch.setattr(
+        toxicity, "best_threshold_of_counts", lambda s, toxic, clean: taken.append(toxic.sum() + clean.sum()) or counts(s, toxic, clean))
+    out = toxicity.classify(labelled.drop("toxic"), labelled.select("doc_id", "toxic"), max_rows=100)
+    assert out.count() == 600
+    learned = sum(crc(i) % 3 != 1 for i in range(600))
+    assert learned - 100 <= max(taken) < learned

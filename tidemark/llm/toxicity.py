@@ -34,6 +34,7 @@ MAX_TEXT_WORDS = 20_000
 MAX_TRAINING_WORDS = 8_000_000
 SEGMENT = 100_000
 THRESHOLD = 0.7  # scores are calibrated so that this is every language's threshold
+CELLS = 10_000  # of probability, in which labelled rows are counted
 HALF_WEIGHT_TOXIC = 15  # toxic texts at which a language's own threshold weighs as much as that of all
 
 # Lower-case letters, digits and bytes above ASCII stay; all else ends a word.
@@ -88,6 +89,7 @@ class Network:
     languages: tuple[str, ...] = ()
     word_odds: np.ndarray | None = None  # bucket x language
     thresholds: np.ndarray = field(default_factory=lambda: np.array([0.5]))
+    fitted: tuple[int, ...] = ()  # ids of the rows that training saw
 
     def responses(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """Response of every filter in every window, per width."""
@@ -244,6 +246,46 @@ def calibrate(net: Network, texts: list[np.ndarray], labels: np.ndarray, half_we
             net.thresholds[k] += n / (n + half_weight) * (best_threshold(scores[owner == k], labels[owner == k]) - overall)
 
 
+def best_threshold_of_counts(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """``best_threshold`` of ``toxic`` and ``clean`` rows at each of the different scores."""
+    order = np.argsort(-scores)
+    hits, taken = np.cumsum(toxic[order]), np.cumsum((toxic + clean)[order])
+    at = int(np.argmax(2 * hits / (taken + max(1, toxic.sum()))))
+    lower = scores[order[at + 1]] if at + 1 < len(order) else 0.0
+    return float(np.clip((scores[order[at]] + lower) / 2, 0.02, 0.98))
+
+
+def calibrate_all(
+    net: Network, found: DataFrame, labels: DataFrame, half_weight: float = HALF_WEIGHT_TOXIC, cells: int = CELLS
+) -> None:
+    """``calibrate`` on every labelled row that training did not see, from counts per language and cell of probability.
+
+    ``found`` is the result of ``probabilities``. A row that repeats an id counts once. The driver
+    receives a row per language and cell that is met.
+    """
+    spark = found.sparkSession
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    seen = spark.createDataFrame([(int(i),) for i in net.fitted], "doc_id long")  # bounded by the rows of training
+    rows = found.join(F.broadcast(seen), "doc_id", "left_anti").join(known, "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.struct("p", "language")).alias("d"))
+    counts = rows.groupBy(F.col("d.language").alias("language"), F.round(F.col("d.p") * cells).alias("cell")).agg(
+        F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).collect()
+    owner, at, toxic, clean = (np.array([r[c] for r in counts]) for c in ("language", "cell", "toxic", "clean"))
+
+    def best(own: np.ndarray) -> float:
+        scores, slot = np.unique(at[own] / cells, return_inverse=True)
+        return best_threshold_of_counts(scores, np.bincount(slot, toxic[own]), np.bincount(slot, clean[own]))
+
+    if not counts or not toxic.sum() or not clean.sum():
+        return  # the thresholds of the drawn rows stay
+    overall = best(owner >= 0)
+    net.thresholds = np.full(max(1, len(net.languages)), overall)
+    for k in range(len(net.languages)):
+        n = int(toxic[owner == k].sum())
+        if n:
+            net.thresholds[k] += n / (n + half_weight) * (best(owner == k) - overall)
+
+
 def held_apart(ids: list, toxic: np.ndarray) -> np.ndarray:
     """A fifth of each class, by a hash of the id, for the thresholds; of two or more rows at least one, and not all."""
     order = np.array([xxhash.xxh3_64_intdigest(str(i), SEED) for i in ids], np.uint64)
@@ -301,6 +343,8 @@ def learn(
     net = train([words[i] for i in fit], toxic[fit])
     learn_languages(net, [words[i] for i in fit], [rows[i]["lang"] for i in fit])
     calibrate(net, [words[i] for i in test], toxic[test])
+    if net is not None:
+        net.fitted = tuple(sorted({rows[i]["doc_id"] for i in fit}))
     return net
 
 
@@ -321,11 +365,41 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def probabilities(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, p and language (a number) for every row, from the whole text alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [buckets(t.as_py()) for t in batch["_text"]]
+            yield pa.record_batch([
+                batch["doc_id"], pa.array([net.probability(w) for w in words], pa.float64()),
+                pa.array([net.language(w) for w in words], pa.int32())], ["doc_id", "p", "language"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, p double, language int")
+
+
+def scored(found: DataFrame, thresholds: np.ndarray) -> DataFrame:
+    """doc_id, score, predicted from ``probabilities``; a score is ``THRESHOLD`` where p is its language's threshold."""
+    p, t = F.col("p"), F.get(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("language"))
+    above = THRESHOLD + (1 - THRESHOLD) * (p - t) / F.greatest(1 - t, F.lit(1e-9))
+    each = found.withColumn("score", F.when(p < t, THRESHOLD * p / t).otherwise(above))
+    return each.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, **options) -> DataFrame:
     """doc_id, held_out, score, predicted; learned from labels of the other folds.
 
-    A row with a null doc_id is not learned from and not held out.
+    The network is fit on rows that ``learn`` draws; the thresholds come from all other
+    labelled rows of its folds. Every text is read once for its probability, which is written,
+    so that thresholds and scores start there. A row with a null doc_id is not learned from and not held out.
     """
-    net = learn(docs, labels.where(remainder("doc_id", folds) != held_out), **options)
+    own = labels.where(remainder("doc_id", folds) != held_out)
+    net = learn(docs, own, **options)
     fold = F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False))
-    return score(docs, net).select("doc_id", fold.alias("held_out"), "score", "predicted")
+    if net is None:
+        out = score(docs, net)
+    else:
+        found = materialize(probabilities(docs, net), "probabilities")
+        calibrate_all(net, found, own)
+        out = scored(found, net.thresholds)
+    return out.select("doc_id", fold.alias("held_out"), "score", "predicted")
