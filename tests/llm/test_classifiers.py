@@ -168,14 +168,14 @@ def test_thresholds_come_from_all_labelled_rows(spark):
     rest = [r for r in rows if r[0] % 5]
     direct = Fixed([r[1] for r in rest], [r[2] for r in rest])
     toxicity.calibrate(direct, list(range(len(rest))), np.array([r[3] for r in rest]))
-    assert np.allclose(net.thresholds, direct.thresholds, atol=1e-4)
+    assert np.allclose(net.thresholds, direct.thresholds, atol=1e-12)
 
 
 def test_no_row_count_limits_the_thresholds(spark, labelled, monkeypatch):
     taken = []
     counts = toxicity.best_threshold_of_counts
     monkeypatch.setattr(
-        toxicity, "best_threshold_of_counts", lambda s, toxic, clean: taken.append(toxic.sum() + clean.sum()) or counts(s, toxic, clean))
+        toxicity, "best_threshold_of_counts", lambda *a: taken.append(a[2].sum() + a[3].sum()) or counts(*a))
     out = toxicity.classify(labelled.drop("toxic"), labelled.select("doc_id", "toxic"), max_rows=100)
     assert out.count() == 600
     learned = sum(crc(i) % 3 != 1 for i in range(600))

@@ -246,13 +246,13 @@ def calibrate(net: Network, texts: list[np.ndarray], labels: np.ndarray, half_we
             net.thresholds[k] += n / (n + half_weight) * (best_threshold(scores[owner == k], labels[owner == k]) - overall)
 
 
-def best_threshold_of_counts(scores: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
-    """``best_threshold`` of ``toxic`` and ``clean`` rows at each of the different scores."""
-    order = np.argsort(-scores)
+def best_threshold_of_counts(low: np.ndarray, high: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """``best_threshold`` of ``toxic`` and ``clean`` rows in cells of scores from ``low`` to ``high``; no cell is cut."""
+    order = np.argsort(-low)
     hits, taken = np.cumsum(toxic[order]), np.cumsum((toxic + clean)[order])
     at = int(np.argmax(2 * hits / (taken + max(1, toxic.sum()))))
-    lower = scores[order[at + 1]] if at + 1 < len(order) else 0.0
-    return float(np.clip((scores[order[at]] + lower) / 2, 0.02, 0.98))
+    lower = high[order[at + 1]] if at + 1 < len(order) else 0.0
+    return float(np.clip((low[order[at]] + lower) / 2, 0.02, 0.98))
 
 
 def calibrate_all(
@@ -268,13 +268,18 @@ def calibrate_all(
     seen = spark.createDataFrame([(int(i),) for i in net.fitted], "doc_id long")  # bounded by the rows of training
     rows = found.join(F.broadcast(seen), "doc_id", "left_anti").join(known, "doc_id").groupBy("doc_id", "toxic").agg(
         F.min(F.struct("p", "language")).alias("d"))
-    counts = rows.groupBy(F.col("d.language").alias("language"), F.round(F.col("d.p") * cells).alias("cell")).agg(
+    counts = rows.groupBy(F.col("d.language").alias("language"), F.floor(F.col("d.p") * cells).alias("cell")).agg(
+        F.min("d.p").alias("low"), F.max("d.p").alias("high"),
         F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).collect()
-    owner, at, toxic, clean = (np.array([r[c] for r in counts]) for c in ("language", "cell", "toxic", "clean"))
+    owner, cell, low, high, toxic, clean = (
+        np.array([r[c] for r in counts]) for c in ("language", "cell", "low", "high", "toxic", "clean"))
 
     def best(own: np.ndarray) -> float:
-        scores, slot = np.unique(at[own] / cells, return_inverse=True)
-        return best_threshold_of_counts(scores, np.bincount(slot, toxic[own]), np.bincount(slot, clean[own]))
+        met, slot = np.unique(cell[own], return_inverse=True)
+        least, most = np.ones(len(met)), np.zeros(len(met))
+        np.minimum.at(least, slot, low[own])
+        np.maximum.at(most, slot, high[own])
+        return best_threshold_of_counts(least, most, np.bincount(slot, toxic[own]), np.bincount(slot, clean[own]))
 
     if not counts or not toxic.sum() or not clean.sum():
         return  # the thresholds of the drawn rows stay
